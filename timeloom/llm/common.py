@@ -10,6 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+LONG, TEXT = T.LongType(), T.StringType()
+
+
+def fields(**kinds: T.DataType) -> list[T.StructField]:
+    return [T.StructField(name, kind) for name, kind in kinds.items()]
 
 
 def shared_dir(spark: SparkSession) -> str:

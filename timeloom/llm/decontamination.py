@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import chunks, lists, own_name
+from .common import LONG, TEXT, chunks, fields, lists, own_name
 from .fm_index import FMIndex
 
 #: Bytes of text in one shard; its index takes some thirty times that.
@@ -136,7 +136,8 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text",
         """Adds what one pass finds; the text goes on only where another pass follows."""
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
         carried = [c for c in frame.columns if not (last and c == body)]
-        added = T._parse_datatype_string(f"_words{nth} long, _spans{nth} array<struct<start:long,end:long>>, _items{nth} array<string>").fields
+        span = T.StructType(fields(start=LONG, end=LONG))
+        added = fields(**{f"_words{nth}": LONG, f"_spans{nth}": T.ArrayType(span), f"_items{nth}": T.ArrayType(TEXT)})
         schema = T.StructType([frame.schema[c] for c in carried] + added)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
