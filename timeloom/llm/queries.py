@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, warc
+from . import decontamination, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,26 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select(page("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "url_key", "captured")
 
 
+#: The rules that the query applies, in the order host, path, verdict.
+RULES = [
+    url_filter.Rule("com", "/en/", "block"),
+    url_filter.Rule("example.com", "/en/7", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
+    url_filter.Rule("org", "/es/", "block"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rule`` is host and path of the fitting rule, such as ``net/de/``."""
+    found = url_filter.judge(read(spark, sf_dir, "pages"), RULES, ["page_id"])
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_warc": op3_warc,
+    "op10_url_filter": op10_url_filter,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
