@@ -18,6 +18,9 @@ from .common import LONG, TEXT, fields, new_path, written
 #: Payload bytes that one archive file holds, about.
 ARCHIVE_BYTES = 8_000_000
 
+#: Payloads with copies that are broadcast at most (about 60 bytes each); more are joined by a shuffle of all pages.
+BROADCAST_ROWS = 500_000
+
 #: Index lines in one part of the merged index, about.
 PART_LINES = 20_000
 
@@ -47,6 +50,9 @@ def records(pages: DataFrame, page_id: str, url: str, payload: str, captured=Non
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"),
     )
     first = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min(F.struct(F.col("page").isNotNull().alias("known"), F.col("page").alias("first"))).alias("least"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    first = written(first, "responses")
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
     rows = rows.join(first, ["digest", "size"], "left")
     again = F.col("least").isNotNull() & ~F.col("page").eqNullSafe(F.col("least.first"))
     line = "\r\n"
@@ -70,11 +76,13 @@ def records(pages: DataFrame, page_id: str, url: str, payload: str, captured=Non
     return rows.select("page", "size", F.concat(head, F.when(again, "").otherwise(F.col("body")), F.lit(line)).alias("record"))
 
 
-def write_archives(rows: DataFrame, path: str) -> None:
-    """Writes ``records`` as archive files of about ARCHIVE_BYTES: text files whose line end closes a record."""
-    total = rows.agg(F.sum(F.octet_length("record"))).first()[0] or 0
-    files = int(total // ARCHIVE_BYTES) + 1
-    rows.select("record").repartition(files).write.option("lineSep", "\r\n").text(path)
+def write_archives(rows: DataFrame, path: str, mean_bytes: float) -> None:
+    """Writes ``records`` as archive files of about ARCHIVE_BYTES: text files whose line end closes a record.
+
+    Each task writes what it has read, in as many files as that takes; no page moves.
+    """
+    most = max(1, int(ARCHIVE_BYTES / max(1.0, mean_bytes)))
+    rows.select("record").write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 def _parse(name: str, content: bytes) -> Iterator[tuple]:
@@ -184,5 +192,6 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     strings; an empty string stands for a null id. An empty table gives an empty index.
     """
     path = new_path(pages.sparkSession, "warc")
-    write_archives(records(pages, page_id, url, payload, captured, least_bytes), path)
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col(f"`{payload}`"), F.lit(""))) + 500)).first()[0]
+    write_archives(records(pages, page_id, url, payload, captured, least_bytes), path, mean or 0.0)
     return merge_runs(index_runs(pages.sparkSession, path)), path
