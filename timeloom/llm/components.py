@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -31,3 +33,42 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             return state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
+
+
+#: Nodes in a bucket from which it is first tried against one leader.
+LARGE = 16
+
+Side = Callable[[str], Column]
+
+
+def sides() -> tuple[Side, Side]:
+    """Columns of the two rows that a bucket brings together."""
+    return (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+
+
+def pair() -> list[Column]:
+    left, right = sides()
+    return [F.least(left("node"), right("node")).alias("a"), F.greatest(left("node"), right("node")).alias("b")]
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """Of rows (sig, node, …) those whose bucket holds several nodes, once each, with its leader: the smallest node."""
+    whole = Window.partitionBy("sig")
+    several = rows.withColumn("lead", F.min("node").over(whole)).withColumn("last", F.max("node").over(whole)).where("lead != last")
+    return written(several.drop("last").distinct(), "buckets")
+
+
+def leader_pairs(shared: DataFrame, near: Column) -> DataFrame:
+    """Candidates of large buckets: each node against the leader only, so their number is that of the rows."""
+    large = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") >= LARGE).select("sig")
+    rows, (left, right) = shared.join(large, "sig", "left_semi"), sides()
+    return rows.alias("x").join(rows.where("node = lead").alias("y"), (left("sig") == right("sig")) & (left("node") != right("node")) & near).select(*pair()).distinct()
+
+
+def open_pairs(shared: DataFrame, links: DataFrame, near: Column) -> DataFrame:
+    """Bucket rows (aliases x and y) of nodes that ``links`` do not connect yet; a bucket of one component is left out."""
+    group = written(components(links).withColumnRenamed("component", "group"), "groups")
+    rows = shared.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    mixed = rows.groupBy("sig").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("sig")
+    rows, (left, right) = written(rows.join(mixed, "sig", "left_semi"), "open"), sides()
+    return rows.alias("x").join(rows.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, chunks, discard, fields, lists, written
-from .components import components
+from .components import buckets, components, leader_pairs, open_pairs, pair, sides
 
 U = np.uint64
 
@@ -28,9 +28,6 @@ GROUPS = 8
 #: Prefix shingles that two linked sets share at least.
 SURE = GROUPS + 1
 
-#: Nodes of a signature from which its bucket is first tried against one leader.
-LARGE = 16
-
 #: Rows of (node, key) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -210,29 +207,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     levels = class_levels(classes, documents)
     nodes = survey_rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy(F.col("print").alias("node")).agg(F.min(F.col(key)).alias("rep"))
     nodes = written(nodes, "nodes")
-    bucket = Window.partitionBy("sig")
-    rows = _signature_rows(docs, key, text, size, percent, levels)
-    shared = rows.withColumn("lead", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).where("lead != last").drop("last")
-    shared = written(shared.distinct(), "signatures")
-
-    left, right = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    shared = buckets(_signature_rows(docs, key, text, size, percent, levels))
+    left, right = sides()
     need = F.ceil(percent * (left("n") + right("n")) / (100 + percent) - 1e-9)
     sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
-    placed = (left("at") < 0) | (right("at") < 0) | (1 + F.least(left("n") - left("at"), right("n") - right("at")) - 1 >= need)
-    ordered = [F.least(left("node"), right("node")).alias("a"), F.greatest(left("node"), right("node")).alias("b")]
-
-    large = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") >= LARGE).select("sig")
-    star = shared.join(large, "sig", "left_semi")
-    stars = star.alias("x").join(star.where("node = lead").alias("y"), (left("sig") == right("sig")) & (left("node") != right("node")) & sizes & placed).select(*ordered).distinct()
-    links = _verified(docs, key, text, size, percent, nodes, stars)
-    group = components(links).withColumnRenamed("component", "group")
-    group = written(group, "groups")
-    open_ = shared.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = open_.groupBy("sig").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("sig")
-    open_ = written(open_.join(mixed, "sig", "left_semi"), "open")
-    met = open_.alias("x").join(open_.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & sizes)
+    placed = (left("at") < 0) | (right("at") < 0) | (F.least(left("n") - left("at"), right("n") - right("at")) >= need)
+    links = _verified(docs, key, text, size, percent, nodes, leader_pairs(shared, sizes & placed))
+    met = open_pairs(shared, links, sizes)
     sure = F.least(F.lit(SURE), F.ceil(percent * F.greatest(left("n"), right("n")) / 100 - 1e-9)) - F.least(left("f"), right("f"))
-    met = met.select(*ordered, sure.alias("sure"), placed.alias("placed"), (left("at") >= 0).alias("single"))
+    met = met.select(*pair(), sure.alias("sure"), placed.alias("placed"), (left("at") >= 0).alias("single"))
     met = met.groupBy("a", "b").agg(F.count(F.when(F.col("single"), 1)).alias("singles"), F.max("sure").alias("sure"), F.max("placed").alias("placed"))
     more = _verified(docs, key, text, size, percent, nodes, met.where("placed and singles >= sure").select("a", "b"))
     grouped = components(links.unionByName(more))
