@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, line_dedup, url_filter, warc
+from . import decontamination, jaccard, language_id, line_dedup, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    found = language_id.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", (language_id.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -60,6 +67,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_warc": op3_warc,
     "op4_line_dedup": op4_line_dedup,
+    "op7_language_id": op7_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
