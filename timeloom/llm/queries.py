@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language_id, line_dedup, url_filter, warc
+from . import decontamination, jaccard, language_id, line_dedup, quality, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (language_id.fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_line_dedup": op4_line_dedup,
     "op7_language_id": op7_language_id,
+    "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
 }
