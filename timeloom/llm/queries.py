@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard, language_id, line_dedup, quality, url_filter, warc
+from . import decontamination, embedding_dedup, jaccard, language_id, line_dedup, packing, quality, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.tokenize(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.train(docs, "doc_id", "text", "lang")
@@ -77,6 +84,7 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_warc": op3_warc,
     "op4_line_dedup": op4_line_dedup,
+    "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
