@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard, language_id, line_dedup, packing, quality, url_filter, warc
+from . import decontamination, embedding_dedup, jaccard, language_id, license_scan, line_dedup, packing, quality, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_starts").cast("long").alias("n_base"),
+        F.array_min("base_starts").alias("first_word"),
+        F.array_max("base_starts").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +98,7 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_warc": op3_warc,
     "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_packing": op6_packing,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
