@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, chunks, discard, fields, lists, written
-from .components import buckets, components, leader_pairs, open_pairs, pair, sides
+from .components import buckets, components, open_pairs, pair, sides
 
 U = np.uint64
 
@@ -178,11 +178,11 @@ def _verified(docs: DataFrame, key: str, text: str, size: int, percent: int, rep
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = _bounded(written(ends.join(reps, "node").select("node", F.col("rep").alias("_rep")), "wanted"))
     texts = docs.join(wanted.select("_rep").distinct(), F.col("_key") == F.col("_rep"), "left_semi")
-    sets = written(_set_rows(texts.select("_text"), "_text", size).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(_set_rows(texts.select("_text"), "_text", size).join(wanted.select("node"), "node", "left_semi"), "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("items").alias(f"items_{name}"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     linked = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both))
-    found = written(linked.select("a", "b"), "links")
+    found = written(linked.select("a", "b").distinct(), "links")
     discard(pairs, sets)
     return found
 
@@ -196,8 +196,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     with nothing, and a row whose key is null has its own null component. Equal sets are one
     node of the graph, so copies are never paired. Rows of one key are separate documents.
 
-    Pairs of a signature's bucket are first tried against one leader if the bucket is
-    large; in the second round only nodes that are not yet connected are paired.
+    Nodes of a signature's bucket are first tried against leaders if the bucket is large;
+    then only nodes that are not yet connected are paired.
     """
     name = key
     docs = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -212,12 +212,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     need = F.ceil(percent * (left("n") + right("n")) / (100 + percent) - 1e-9)
     sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
     placed = (left("at") < 0) | (right("at") < 0) | (F.least(left("n") - left("at"), right("n") - right("at")) >= need)
-    links = _verified(docs, key, text, size, percent, nodes, leader_pairs(shared, sizes & placed))
-    met = open_pairs(shared, links, sizes)
+    verified = lambda pairs: _verified(docs, key, text, size, percent, nodes, pairs)
+    links, met = open_pairs(shared, sizes, verified, placed)
     sure = F.least(F.lit(SURE), F.ceil(percent * F.greatest(left("n"), right("n")) / 100 - 1e-9)) - F.least(left("f"), right("f"))
     met = met.select(*pair(), sure.alias("sure"), placed.alias("placed"), (left("at") >= 0).alias("single"))
     met = met.groupBy("a", "b").agg(F.count(F.when(F.col("single"), 1)).alias("singles"), F.max("sure").alias("sure"), F.max("placed").alias("placed"))
-    more = _verified(docs, key, text, size, percent, nodes, met.where("placed and singles >= sure").select("a", "b"))
+    more = verified(met.where("placed and singles >= sure").select("a", "b"))
     grouped = components(links.unionByName(more))
     least = nodes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("print"), "component_id")
