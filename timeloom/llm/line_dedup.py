@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, TEXT, chunks, fields, written
-from .components import buckets, components, leader_pairs, open_pairs, pair, sides
+from .components import buckets, components, open_pairs, pair, sides
 
 U = np.uint64
 
@@ -31,6 +31,9 @@ BROADCAST_ROWS = 1_000_000
 
 CHUNK = 4_000_000
 
+#: Words whose 64 signs are held at a time.
+SIMHASH_WORDS = 1 << 16
+
 _ONE_DIGIT = np.arange(256, dtype=np.uint8)
 _ONE_DIGIT[48:58] = 48
 
@@ -51,14 +54,17 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray,
 def simhash(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
     """64 sums of signs over each line's words, a word counting by its length."""
     out = np.zeros(len(first), U)
-    step = 1 << 15  # lines in one go
-    for a in range(0, len(first), step):
-        begin, end = first[a], first[a + step] if a + step < len(first) else len(h)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + SIMHASH_WORDS, "right")) - 1)
+        b = len(first) if len(h) - first[a] <= SIMHASH_WORDS else b
+        begin, end = first[a], first[b] if b < len(first) else len(h)
         w = weight[begin:end].astype(np.int32)
         bits = np.unpackbits(W.mix(h[begin:end]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * w[:, None]
-        at = first[a : a + step] - begin
+        at = first[a:b] - begin
         sums = np.add.reduceat(bits, at, axis=0)
-        out[a : a + step] = np.packbits(2 * sums > np.add.reduceat(w, at)[:, None], axis=1, bitorder="little").view(U)[:, 0]
+        out[a:b] = np.packbits(2 * sums > np.add.reduceat(w, at)[:, None], axis=1, bitorder="little").view(U)[:, 0]
+        a = b
     return out
 
 
@@ -136,7 +142,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     pairs = written(pairs, "pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = written(_line_texts(docs).join(few, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = written(_line_texts(docs).join(few, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
     side = lambda name: texts.select(F.col("node").alias(name), F.col("body").alias(f"text_{name}"))
     schema = T.StructType(fields(a=LONG, b=LONG))
 
@@ -172,8 +178,9 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFra
     left, right = sides()
     near = (F.bit_count(left("sim").bitwiseXOR(right("sim"))) <= DISTANCE) & (F.least(left("size"), right("size")) >= similarity * F.greatest(left("size"), right("size")) - 1e-9)
     shared = buckets(nodes.select(_block_keys().alias("sig"), "node", "sim", "size"))
-    links = _verified(docs, leader_pairs(shared, near), similarity)
-    links = links.unionByName(_verified(docs, open_pairs(shared, links, near).select(*pair()).distinct(), similarity))
+    verified = lambda pairs: _verified(docs, pairs, similarity)
+    links, met = open_pairs(shared, near, verified)
+    links = links.unionByName(verified(met.select(*pair()).distinct()))
     grouped = nodes.join(components(links), "node", "left")
     first = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("keeper"))
     many = grouped.join(first, "component", "left").where((F.col("places") > 1) | F.col("keeper").isNotNull())
