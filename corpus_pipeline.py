@@ -1,8 +1,72 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``. Null keys go through; rows
+that repeat a key are separate documents to all stages but the n-gram join, where they stay
+or go together.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from timeloom.llm import decontamination, jaccard, language_id, line_dedup, packing
+from timeloom.llm.common import written
+
+#: A text without any of these has no word.
+_WORD = "[0-9A-Za-z]|[^\\x00-\\x7F]"
+
+
+def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """Documents that still have a word, with n_chars counted again, in the columns of ``like``."""
+    columns: list[Column] = [F.length("text").cast(like.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in like.columns]
+    return docs.where(F.col("text").rlike(_WORD)).select(*columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the rows that name a language; texts that are null or have no letter go, a missing lang is filled in."""
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    found = language_id.identify(docs, model, docs.columns).where("lang_pred != 'und'")
+    return found.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go of which an earlier occurrence stays; a document without a word left goes."""
+    return _with_text(line_dedup.dedup(docs), docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group that five-word shingles at a similarity of 0.8 connect: that with the smallest id."""
+    gone = jaccard.join(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans that a test phrase covers are cut out; a document without a word left goes."""
+    return _with_text(decontamination.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", dedup_documents),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", pack),
+]
+
+#: SimHash, Viterbi scores and the tokenizer have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs
