@@ -11,8 +11,8 @@ words AS (SELECT rec, turn, idx, w, CAST(e - dur AS BIGINT) AS start_ms, CAST(e
 """
 
 SPANS = """
-at AS (SELECT user_id AS rec, event_id AS id, event_type AS kind, epoch_us(ts) // 1000 AS a FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
-spans AS (SELECT rec, id, kind, a, a + 1800000 + a % 7200000 AS b FROM at)
+stamps AS (SELECT user_id AS rec, event_id AS id, event_type AS kind, epoch_us(ts) // 1000 AS a FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+spans AS (SELECT rec, id, kind, a, a + 1800000 + a % 7200000 AS b FROM stamps)
 """
 
 LINES = SPANS + """,
