@@ -1 +1,132 @@
-"""Queries."""
+"""Queries over script text, examples, pages and event documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from timeloom.functions import text as t
+from timeloom.operators import align, rank, rules
+from timeloom.sources import documents as docs
+from timeloom.sources import fixtures as fx
+
+from .registry import query
+
+# sentences without look-behind: a mark behind . ! or ? and a blank, then a split at the mark
+SENTENCES = """
+sent AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS ord, text FROM (
+    SELECT doc_id AS rec, generate_subscripts(x, 1) AS pos, unnest(x) AS text FROM (
+        SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL)) WHERE text <> '')
+"""
+
+
+@query(f"WITH {SENTENCES} SELECT rec, ord, text, regexp_matches(rtrim(text), '[.!]$') AS statement, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n_words FROM sent")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return fx.sentences(spark, sf_dir).select("rec", "ord", "text", t.statement_end(text).alias("statement"), t.word_count(text).alias("n_words"))
+
+
+@query(f"""WITH {SENTENCES}, m AS (SELECT rec, ord, list_filter([
+    CASE WHEN regexp_matches(lower(text), '(^|[^a-z])kind of([^a-z]|$)') THEN 'filler:kind of' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])of the([^a-z]|$)') THEN 'filler:of the' END,
+    CASE WHEN regexp_matches(text, '[A-Za-z]\\. +[a-z]') THEN 'stop-inside' END, CASE WHEN regexp_matches(trim(text), '^[a-z]') THEN 'lower-start' END,
+    CASE WHEN regexp_matches(trim(text), '^[^,]*, *[A-Za-z0-9'']+ *,') THEN 'comma-pair' END, CASE WHEN contains(text, '  ') THEN 'double-space' END,
+    CASE WHEN len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) > 20 THEN 'too-long' END], lambda x: x IS NOT NULL) AS notes FROM sent)
+SELECT rec, ord, array_to_string(notes, '|') AS notes FROM m WHERE len(notes) > 0""")
+def script_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that the test texts can meet; the English ones (formats, "one of the …") are in the unit tests."""
+    found = rules.notes(F.col("text"), F.lit(20), phrases=["kind of", "of the"])
+    found = F.filter(found, lambda n: ~n.isin("word-format", "singular"))
+    return fx.sentences(spark, sf_dir).select("rec", "ord", F.array_join(found, "|").alias("notes")).where("notes <> ''")
+
+
+@query(f"""WITH {SENTENCES}, p AS (SELECT rec, ord, text, lead(text) OVER (PARTITION BY rec ORDER BY ord) AS after FROM sent),
+s AS (SELECT *, len(regexp_extract_all(after, '[^ \\t\\n\\r]+')) / greatest(1, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))) AS share FROM p WHERE after IS NOT NULL)
+SELECT rec, ord, CASE WHEN trim(after) = '' THEN 'rejected' WHEN share NOT BETWEEN 0.55 AND 1.6 THEN 'rejected' WHEN after = text THEN 'kept' ELSE 'changed' END AS verdict FROM s""")
+def clean_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sentence judged as if the one behind it were its rewrite."""
+    pairs = fx.sentences(spark, sf_dir).withColumn("after", F.lead("text").over(Window.partitionBy("rec").orderBy("ord"))).where("after IS NOT NULL")
+    return pairs.select("rec", "ord", rules.clean_verdict(F.col("text"), F.col("after")).alias("verdict"))
+
+
+@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9'']+'), lambda x: lower(x)), lambda x: length(x) > 3 AND x NOT IN ('that', 'with'))) AS want FROM benchmark WHERE item_id < 20),
+d AS (SELECT doc_id, source, list_distinct(list_filter(list_transform(regexp_extract_all(left(text, 400), '[A-Za-z0-9'']+'), lambda x: lower(x)), lambda x: length(x) > 3 AND x NOT IN ('that', 'with'))) AS known FROM documents WHERE lang = 'en'),
+s AS (SELECT item_id, source, doc_id, len(list_intersect(known, want)) AS shared, len(known) AS size FROM w, d), r AS (SELECT *, shared * shared * 1000000 // (size + 1) AS score FROM s WHERE shared > 0),
+c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) <= 4)
+SELECT item_id, source, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM c QUALIFY place <= 14""")
+def example_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of twenty wanted lines the fourteen best examples, four of one source at most.
+
+    The score is the squared, whole-number form of the overlap, so that both engines rank alike.
+    Examples are matched through the content words that they share, not by pairing all.
+    """
+    stop = ["that", "with"]
+    want = fx.table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.explode(t.content_words(F.col("text"), stop)).alias("word"))
+    bank = fx.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", t.content_words(F.substring("text", 1, 400), stop).alias("known"))
+    words = bank.select("doc_id", "source", F.size("known").alias("size"), F.explode("known").alias("word"))
+    met = words.join(F.broadcast(want), "word").groupBy("item_id", "source", "doc_id", "size").agg(F.count(F.lit(1)).alias("shared"))
+    scored = met.select("item_id", "source", "doc_id", F.floor(F.col("shared") * F.col("shared") * 1_000_000 / (F.col("size") + 1)).alias("score"))
+    return rank.capped(scored, ["item_id"], "source", [F.desc("score"), F.col("doc_id")])
+
+
+@query("SELECT left(text, 60) AS opening, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def dedupe_prefix60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return rows.groupBy(F.substring("text", 1, 60).alias("opening")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="[^"]*"')) AS links,
+length(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text_chars FROM pages""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    body = F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), "[ \t\n\r]+", " ")
+    links = F.size(F.regexp_extract_all(html, F.lit('(<a href="[^"]*")'), 1)).cast("long")
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), links.alias("links"), F.length(body).cast("long").alias("text_chars"))
+
+
+@query("""WITH l AS (SELECT page_id, generate_subscripts(x, 1) AS pos, unnest(x) AS line FROM (SELECT page_id, string_split(replace(html, '>', '>' || chr(10)), chr(10)) AS x FROM pages)),
+c AS (SELECT *, last_value(nullif(regexp_extract(line, '^<(h1|p|li|div|nav|article)( |>)', 1), '') IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS section FROM l)
+SELECT page_id, section, count(*) AS lines FROM c GROUP BY 1, 2""")
+def log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a page, each under the last section tag before it: a section carried forward."""
+    lines = fx.table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.replace("html", F.lit(">"), F.lit(">\n")), "\n")).alias("pos", "line"))
+    return docs.carry_forward(lines, "page_id", "pos", "line", "^<(h1|p|li|div|nav|article)( |>)").groupBy("page_id", "section").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.from_json("props", "k DOUBLE")["k"]
+    return fx.table(spark, sf_dir, "events").groupBy("event_type", docs.finite(k).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def seq_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal long words of one first letter, length and ending among the benchmark's."""
+    from timeloom.operators.detect import seq_ratio
+
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
+    words = fx.table(spark, sf_dir, "benchmark").select(found.alias("w")).where("length(w) >= 7").distinct()
+    keyed = words.withColumn("key", F.concat(F.substring("w", 1, 1), F.length("w").cast("string"), F.substring("w", -2, 2)))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.w") < F.col("y.w"))).select(F.col("x.w").alias("a"), F.col("y.w").alias("b"))
+    return pairs.withColumn("permille", F.floor(seq_ratio("a", "b") * 1000)).where("permille >= 600")
+
+
+@query()
+def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of the conversations against the one before it."""
+    turns = fx.table(spark, sf_dir, "conversations").withColumn("old", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("old IS NOT NULL")
+    return turns.select("conv_id", "turn", F.to_json(align.word_diff("old", "text")).alias("diff"))
+
+
+@query()
+def take_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as wanted text, heard without their last word."""
+    rows = fx.table(spark, sf_dir, "benchmark").select("item_id", "text", F.regexp_replace("text", "[ \n][^ \n]+$", "").alias("heard"))
+    return rows.select("item_id", align.compare_takes("text", "heard").alias("v")).select("item_id", "v.ok", "v.missing_head", "v.missing_tail", "v.inserted", "v.trailing", F.floor(F.col("v.score") * 1000).alias("permille"))
+
+
+@query()
+def unit_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as script units, located in the words of their conversation."""
+    units = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec"), F.col("turn").cast("long").alias("unit"), "text")
+    return align.align_units(units, fx.words(spark, sf_dir))
