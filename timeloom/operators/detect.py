@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timeloom.functions import constants as C
 from timeloom.functions import text as t
@@ -83,7 +84,7 @@ def repeats(words: DataFrame, longest: int = 4, reach: int = 600, hard: list[str
     return taken.join(live, ["rec", "place"]).select("rec", "idx")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two strings."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("rec").orderBy("k")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("rec").orderBy("k")
 
 
 def pct_index(values: Column, q: float) -> Column:
@@ -53,7 +55,7 @@ def quiet_runs(levels: DataFrame, least: int = 2) -> DataFrame:
 
 def moving_sum(frames: DataFrame, radius: int = 3) -> DataFrame:
     """(rec, k, total, n): sums over a window that shrinks at the edges; their quotient is the moving average."""
-    near = ORDER.rowsBetween(-radius, radius)
+    near = _order().rowsBetween(-radius, radius)
     return frames.select("rec", "k", F.sum("v").over(near).alias("total"), F.count(F.lit(1)).over(near).alias("n"))
 
 
@@ -72,7 +74,7 @@ def extent(frames: DataFrame, share: float = 0.5) -> DataFrame:
 
 def spikes(frames: DataFrame, factor: int = 3, radius: int = 10) -> DataFrame:
     """(rec, k): magnitudes above ``factor`` times the middle one of the window around them."""
-    near = ORDER.rowsBetween(-radius, radius - 1)
+    near = _order().rowsBetween(-radius, radius - 1)
     middle = pct_index(F.collect_list(F.abs("v")).over(near), 0.5)
     return frames.withColumn("middle", middle).where(F.abs("v") > factor * F.col("middle")).select("rec", "k")
 
@@ -89,7 +91,7 @@ def prosody(frames: DataFrame, tail: int = 16) -> DataFrame:
 
 def jitter(frames: DataFrame) -> DataFrame:
     """(rec, jitter): the upper median of the steps between neighbouring frames."""
-    steps = frames.withColumn("step", F.abs(F.col("v") - F.lag("v").over(ORDER))).where("step IS NOT NULL")
+    steps = frames.withColumn("step", F.abs(F.col("v") - F.lag("v").over(_order()))).where("step IS NOT NULL")
     return steps.groupBy("rec").agg(upper_median(F.collect_list("step")).alias("jitter"))
 
 

@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("rec").orderBy("ord")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("rec").orderBy("ord")
 
 
 def live_neighbours(lines: DataFrame) -> DataFrame:
     """Lines with prev_live and next_live: ids of the nearest lines that are not dropped."""
     live = F.when(~F.col("dropped"), F.col("id"))
-    before = F.last(live, ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(live, ignorenulls=True).over(ORDER.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(live, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(live, ignorenulls=True).over(_order().rowsBetween(1, Window.unboundedFollowing))
     return lines.withColumn("prev_live", before).withColumn("next_live", after)
 
 
 def word_budget(lines: DataFrame, words_per_s: int = 3) -> DataFrame:
     """Lines with ``budget``: words that can be said until the next line starts, or until its own end for the last."""
-    until = F.coalesce(F.lead("start").over(ORDER), F.col("end"))
+    until = F.coalesce(F.lead("start").over(_order()), F.col("end"))
     return lines.withColumn("budget", F.floor(F.greatest(until - F.col("start"), F.lit(0)) * words_per_s / 1000))
 
 
 def overlaps_next(lines: DataFrame, least: int = 60) -> DataFrame:
     """Live lines that reach over the start of the next live one by more than ``least``."""
-    rows = lines.where("NOT dropped").withColumn("over", F.col("end") - F.lead("start").over(ORDER))
+    rows = lines.where("NOT dropped").withColumn("over", F.col("end") - F.lead("start").over(_order()))
     return rows.where(F.col("over") > least).select("rec", "id", "over")
 
 
 def reclaimable(lines: DataFrame, least: int = 800) -> DataFrame:
     """Gaps of ``least`` or more behind live lines, up to the next live one."""
-    gap = F.lead("start").over(ORDER) - F.max("end").over(ORDER)
+    gap = F.lead("start").over(_order()) - F.max("end").over(_order())
     return lines.where("NOT dropped").withColumn("gap", gap).where(F.col("gap") >= least).select("rec", "id", "gap")
 
 
