@@ -32,7 +32,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, _ = warc.archive(read(spark, sf_dir, "pages"))
     page = lambda c: F.expr(f"try_cast({c} AS long)")
-    return index.select(page("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "url_key", "captured")
+    return index.select(page("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 #: The rules that the query applies, in the order host, path, verdict.
@@ -159,3 +159,44 @@ counts AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings LEFT JOIN counts c ON c.x = vec_id JOIN least l ON l.x = vec_id
 """
+
+# base32 digits are five bits each: five hexadecimal digits hold four of them
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(hex, {5 * g + 1}, 5) AS INTEGER) >> {15 - 5 * j}) & 31) + 1, 1)" for g in range(8) for j in range(4))
+
+ORACLES["op3_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(body) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
+def _license_oracle() -> str:
+    templates = ", ".join(f"({i}, '{label}', '{notice}')" for i, (label, notice) in enumerate(license_scan.TEMPLATES))
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, i AS start FROM d, unnest(range(greatest(len(ws) - {len(p) - 1}, 0))) AS r(i) WHERE ws[i + 1:i + {len(p)}] = [{', '.join(repr(w) for w in p)}]" for label, p in license_scan.PHRASES.items()
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
+places AS ({phrases}),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id),
+templates(template, label, notice) AS (VALUES {templates}),
+tw AS (SELECT *, string_split(notice, ' ') AS words FROM templates),
+tg AS (SELECT template, i AS place, array_to_string(words[i + 1:i + 3], ' ') AS gram FROM tw, unnest(range(len(words) - 2)) AS r(i)),
+dg AS (SELECT doc_id, i AS here, array_to_string(ws[i + 1:i + 3], ' ') AS gram FROM d, unnest(range(greatest(len(ws) - 2, 0))) AS r(i)),
+votes AS (SELECT doc_id, template, here - place AS diagonal, min(here) AS f, max(here) AS l, list(DISTINCT place) AS p FROM dg JOIN tg USING (gram) GROUP BY 1, 2, 3),
+far AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 3 THEN 0 ELSE 1 END AS fresh FROM votes WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM far),
+merged AS (SELECT doc_id, template, min(f) AS f, max(l) + 3 AS l, list_distinct(flatten(list(p))) AS p FROM islands GROUP BY doc_id, template, island),
+spans AS (SELECT doc_id, label, notice, ws, len(words) AS many, greatest(f - list_min(p), 0) AS a, l FROM merged JOIN tw USING (template) JOIN d USING (doc_id) WHERE len(p) >= 0.5 * (len(words) - 2)),
+bodies AS (SELECT doc_id, label, notice, array_to_string(ws[a + 1:a + least(greatest(l - a, least(many, len(ws) - a)), many + 3)], ' ') AS body FROM spans),
+alike AS (SELECT doc_id, label, 1 - levenshtein(body, notice) / greatest(length(body), length(notice)) AS likeness FROM bodies),
+found AS (SELECT doc_id, max(likeness) AS likeness, list(DISTINCT label) AS labels FROM alike WHERE likeness >= 0.9 GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(coalesce(b.labels, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(likeness, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
+ORACLES["op5_license_scan"] = _license_oracle()
