@@ -36,10 +36,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 #: Nodes in a bucket from which it is first tried against one leader.
-LARGE = 16
-
-#: Rounds in which large buckets are tried against leaders.
-TURNS = 4
+LARGE = 64
 
 Side = Callable[[str], Column]
 
@@ -61,46 +58,26 @@ def buckets(rows: DataFrame) -> DataFrame:
     return written(several.drop("least", "most").distinct(), "buckets")
 
 
-def leader_pairs(shared: DataFrame, near: Column, turn: int = 0) -> DataFrame:
+def leader_pairs(shared: DataFrame, near: Column) -> DataFrame:
     """Candidates of large buckets: each node against one leader only, so their number is that of the rows.
 
-    The leader is a bucket's smallest node by a hash of node, bucket and ``turn``, so that
-    nodes which meet in several buckets meet several leaders. Where ``shared`` has a column
-    group, nodes of the leader's group are left out.
+    The leader is a bucket's smallest node by a hash of node and bucket, so that nodes which
+    meet in several buckets meet several leaders.
     """
-    leader = F.min_by(F.struct(*[c for c in shared.columns if c != "sig"]), F.xxhash64("node", "sig", F.lit(turn))).alias("leader")
+    leader = F.min_by(F.struct(*[c for c in shared.columns if c != "sig"]), F.xxhash64("node", "sig")).alias("leader")
     large = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), leader).where(F.col("many") >= LARGE).select("sig", "leader.*")
     left, right = sides()
-    apart = left("node") != right("node")
-    if "group" in shared.columns:
-        apart &= left("group") != right("group")
-    return shared.alias("x").join(large.alias("y"), (left("sig") == right("sig")) & apart & near).select(*pair()).distinct()
-
-
-def _open_rows(shared: DataFrame, links: DataFrame) -> DataFrame:
-    """Bucket rows with the group that ``links`` puts their node in; buckets of one group are left out."""
-    group = written(components(links).withColumnRenamed("component", "group"), "groups")
-    rows = shared.drop("group").join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = rows.groupBy("sig").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("sig")
-    return written(rows.join(mixed, "sig", "left_semi"), "open")
+    return shared.alias("x").join(large.alias("y"), (left("sig") == right("sig")) & (left("node") != right("node")) & near).select(*pair()).distinct()
 
 
-def open_pairs(shared: DataFrame, near: Column, verified: Callable[[DataFrame], DataFrame], also: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links found in rounds of leaders, and the bucket rows (aliases x and y) of nodes that those do not connect.
+def open_pairs(shared: DataFrame, links: DataFrame, near: Column) -> DataFrame:
+    """Bucket rows (aliases x and y) of nodes that ``links`` do not connect yet; a bucket of one component is left out.
 
-    The rounds only save work: the pairs that are left cover whatever they miss. Leaders'
-    candidates have to meet ``also``, too. ``shared`` is deleted.
+    Leaders only save work: these pairs cover whatever they miss. ``shared`` is deleted.
     """
-    tried = near if also is None else near & also
-    links = verified(leader_pairs(shared, tried))
-    rows = _open_rows(shared, links)
+    group = written(components(links).withColumnRenamed("component", "group"), "groups")
+    rows = shared.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    mixed = rows.groupBy("sig").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("sig")
+    rows, (left, right) = written(rows.join(mixed, "sig", "left_semi"), "open"), sides()
     discard(shared)
-    for turn in range(1, TURNS):
-        more = verified(leader_pairs(rows, tried, turn))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        last, rows = rows, _open_rows(rows, links)
-        discard(last)
-    left, right = sides()
-    return links, rows.alias("x").join(rows.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)
+    return rows.alias("x").join(rows.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)

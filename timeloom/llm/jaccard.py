@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, chunks, discard, fields, lists, written
-from .components import buckets, components, open_pairs, pair, sides
+from .components import Side, buckets, components, leader_pairs, open_pairs, pair, sides
 
 U = np.uint64
 
@@ -187,6 +187,12 @@ def _verified(docs: DataFrame, key: str, text: str, size: int, percent: int, rep
     return found
 
 
+def _most_frequent(pairs: str) -> Column:
+    """The most frequent shingles that two prefixes can share if they share so many pairs: c in each group make c (c - 1) / 2."""
+    each = F.floor((1 + F.sqrt(1 + 8 * F.col(pairs) / GROUPS)) / 2 + 1e-9)
+    return GROUPS * each + F.floor((F.col(pairs) - GROUPS * each * (each - 1) / 2) / each)
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, n_shingles and component_id.
 
@@ -196,8 +202,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     with nothing, and a row whose key is null has its own null component. Equal sets are one
     node of the graph, so copies are never paired. Rows of one key are separate documents.
 
-    Nodes of a signature's bucket are first tried against leaders if the bucket is large;
-    then only nodes that are not yet connected are paired.
+    Nodes of a signature's bucket are first tried against a leader if the bucket is large;
+    then only nodes that are not yet connected are paired. A pair is verified if its prefixes
+    share as many shingles as its overlap asks for: the i-th shared shingle of o has o - i
+    behind it, so it lies in a prefix of p of n shingles if i <= o - n + p.
     """
     name = key
     docs = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -213,11 +221,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
     placed = (left("at") < 0) | (right("at") < 0) | (F.least(left("n") - left("at"), right("n") - right("at")) >= need)
     verified = lambda pairs: _verified(docs, key, text, size, percent, nodes, pairs)
-    links, met = open_pairs(shared, sizes, verified, placed)
-    sure = F.least(F.lit(SURE), F.ceil(percent * F.greatest(left("n"), right("n")) / 100 - 1e-9)) - F.least(left("f"), right("f"))
-    met = met.select(*pair(), sure.alias("sure"), placed.alias("placed"), (left("at") >= 0).alias("single"))
-    met = met.groupBy("a", "b").agg(F.count(F.when(F.col("single"), 1)).alias("singles"), F.max("sure").alias("sure"), F.max("placed").alias("placed"))
-    more = verified(met.where("placed and singles >= sure").select("a", "b"))
+    links = verified(leader_pairs(shared, sizes & placed))
+    met = open_pairs(shared, links, sizes)
+
+    def prefix(side: Side) -> Column:
+        alpha = F.ceil(percent * side("n") / 100 - 1e-9)
+        return F.when(alpha < SURE, side("n")).otherwise(side("n") - alpha + SURE)
+
+    sure = need + F.least(prefix(left) - left("n"), prefix(right) - right("n"))
+    met = met.select(*pair(), sure.alias("sure"), placed.alias("placed"), (left("at") >= 0).alias("single"), F.least(left("f"), right("f")).alias("f"))
+    met = met.groupBy("a", "b").agg(F.count_if("single").alias("singles"), F.count_if(~F.col("single")).alias("pairs"), F.max("sure").alias("sure"), F.max("placed").alias("placed"), F.max("f").alias("f"))
+    more = verified(met.where(F.col("placed") & (F.col("singles") + F.least(F.col("f"), _most_frequent("pairs")) >= F.col("sure"))).select("a", "b"))
     grouped = components(links.unionByName(more))
     least = nodes.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("print"), "component_id")
