@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, TEXT, chunks, fields, written
-from .components import buckets, components, open_pairs, pair, sides
+from .components import buckets, components, leader_pairs, open_pairs, pair, sides
 
 U = np.uint64
 
@@ -179,8 +179,8 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFra
     near = (F.bit_count(left("sim").bitwiseXOR(right("sim"))) <= DISTANCE) & (F.least(left("size"), right("size")) >= similarity * F.greatest(left("size"), right("size")) - 1e-9)
     shared = buckets(nodes.select(_block_keys().alias("sig"), "node", "sim", "size"))
     verified = lambda pairs: _verified(docs, pairs, similarity)
-    links, met = open_pairs(shared, near, verified)
-    links = links.unionByName(verified(met.select(*pair()).distinct()))
+    links = verified(leader_pairs(shared, near))
+    links = links.unionByName(verified(open_pairs(shared, links, near).select(*pair()).distinct()))
     grouped = nodes.join(components(links), "node", "left")
     first = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("keeper"))
     many = grouped.join(first, "component", "left").where((F.col("places") > 1) | F.col("keeper").isNotNull())
