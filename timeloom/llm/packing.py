@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,14 @@ from .common import LONG, chunks, fields, own_name, written
 RANK_ROWS = 500_000
 
 CHUNK = 4_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PARTS = 300_000, 600_000
+
+#: Letters, then ASCII marks other than the apostrophe, which begins contractions.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+#: The characters that byte-level vocabularies write bytes as: printable ones as themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 #: Tokenizers and the ids of words met so far, by file, in each Python worker.
 _LOADED: dict[str, tuple] = {}
@@ -27,23 +36,47 @@ def _ids_of(path: str, texts: list[bytes]) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers.
 
     The tokenizer drops white space and no token reaches over it, so words between ASCII
-    white space are encoded one by one and remembered.
+    white space are encoded one by one and remembered, and so are the parts of plain ones.
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _LOADED[path]
-    if len(known) > CACHED_WORDS:
-        known.clear()
+        _LOADED[path] = (Tokenizer.from_file(path), {}, {})
+    tokenizer, known, parts = _LOADED[path]
+    for cache, most in ((known, CACHED_WORDS), (parts, CACHED_PARTS)):
+        if len(cache) > most:
+            cache.clear()
     split = [t.split() for t in texts]
-    new = list(set().union(*split).difference(known))
-    for word, found in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-        known[word] = np.array(found.ids, "<u4").tobytes()
+    new = {w: _parts(w.decode()) for w in set().union(*split).difference(known)}
+    fresh = {p for found in new.values() for p in found}.difference(parts)
+    whole = [p for p in fresh if not _is_plain(p)]
+    for part, found in zip(whole, tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
+        parts[part] = array("I", found.ids).tobytes()
+    merge = tokenizer.model.tokenize
+    for part in fresh.difference(whole):
+        parts[part] = array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+    for word, found in new.items():
+        known[word] = b"".join([parts[p] for p in found])
     return [b"".join([known[w] for w in words]) for words in split]
 
 
+def _is_plain(part: str) -> bool:
+    """Lower-case letters that no normaliser changes and that are one word to the tokenizer."""
+    return part.isalpha() and max(part) < "\u0250" and part.islower() and "\u0130" not in part
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """A plain word, lower-cased, and the marks behind it, which the tokenizer encodes apart; else the word itself."""
+    found = _PLAIN.fullmatch(word)
+    if found is None:
+        return (word,)
+    letters, marks = found[1].lower(), found[2]
+    if not _is_plain(letters) or "\u0130" in word:
+        return (word,)
+    return (letters, marks) if marks else (letters,)
+
+
 def tokenize(docs: DataFrame, path: str, keep: list[str], text: str = "text", length: int = 2048, end: int = 0) -> DataFrame:
     """Pieces of at most ``length`` tokens: ``keep`` columns, piece, start, length and ids (32-bit little-endian).
 
