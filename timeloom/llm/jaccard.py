@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,6 +187,15 @@ def _verified(docs: DataFrame, key: str, text: str, size: int, percent: int, rep
     return found
 
 
+def _able(shared: DataFrame, percent: int) -> DataFrame:
+    """Without nodes that share too few shingles with any others to have a link: all of a link's lie in larger buckets."""
+    alpha = F.ceil(percent * F.col("n") / 100 - 1e-9)
+    rows = shared.withColumn("met", F.count_if(F.col("at") >= 0).over(Window.partitionBy("node")))
+    able = written(rows.where(F.col("met") + F.col("f") >= F.least(F.lit(SURE), alpha)).drop("met"), "able")
+    discard(shared)
+    return able
+
+
 def _most_frequent(pairs: str) -> Column:
     """The most frequent shingles that two prefixes can share if they share so many pairs: c in each group make c (c - 1) / 2."""
     each = F.floor((1 + F.sqrt(1 + 8 * F.col(pairs) / GROUPS)) / 2 + 1e-9)
@@ -215,11 +224,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     levels = class_levels(classes, documents)
     nodes = survey_rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy(F.col("print").alias("node")).agg(F.min(F.col(key)).alias("rep"))
     nodes = written(nodes, "nodes")
-    shared = buckets(_signature_rows(docs, key, text, size, percent, levels))
+    shared = _able(buckets(_signature_rows(docs, key, text, size, percent, levels)), percent)
     left, right = sides()
     need = F.ceil(percent * (left("n") + right("n")) / (100 + percent) - 1e-9)
     sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
     placed = (left("at") < 0) | (right("at") < 0) | (F.least(left("n") - left("at"), right("n") - right("at")) >= need)
+    # what two sets can share before, at and behind a shingle that stands in both
+    room = F.least(left("at"), right("at")) + F.least(left("n") - left("at"), right("n") - right("at"))
+    sizes &= (left("at") < 0) | (right("at") < 0) | (room >= need)
     verified = lambda pairs: _verified(docs, key, text, size, percent, nodes, pairs)
     links = verified(leader_pairs(shared, sizes & placed))
     met = open_pairs(shared, links, sizes)
