@@ -51,6 +51,20 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray,
     return found, first, row[first], line[first]
 
 
+#: The bits of a byte as counters of 16 bits each, four to a number.
+_COUNTERS = ((np.arange(256)[:, None, None] >> np.arange(8).reshape(2, 4)) & 1).astype(U)
+_COUNTERS = (_COUNTERS << (U(16) * np.arange(4, dtype=U))).sum(axis=2, dtype=U)
+
+
+def _sums(h: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Weights of the words that have each of the 64 bits, by line."""
+    mixed = W.mix(h).view(np.uint8).reshape(-1, 8)
+    if int(np.add.reduceat(weight, at).max()) < 1 << 16:
+        counters = (_COUNTERS[mixed] * weight.astype(U)[:, None, None]).reshape(-1, 16)
+        return np.add.reduceat(counters, at, axis=0).view(np.uint16).astype(np.int64)
+    return np.add.reduceat(np.unpackbits(mixed, axis=1, bitorder="little") * weight.astype(np.int32)[:, None], at, axis=0)
+
+
 def simhash(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
     """64 sums of signs over each line's words, a word counting by its length."""
     out = np.zeros(len(first), U)
@@ -59,11 +73,8 @@ def simhash(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
         b = max(a + 1, int(np.searchsorted(first, first[a] + SIMHASH_WORDS, "right")) - 1)
         b = len(first) if len(h) - first[a] <= SIMHASH_WORDS else b
         begin, end = first[a], first[b] if b < len(first) else len(h)
-        w = weight[begin:end].astype(np.int32)
-        bits = np.unpackbits(W.mix(h[begin:end]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * w[:, None]
-        at = first[a:b] - begin
-        sums = np.add.reduceat(bits, at, axis=0)
-        out[a:b] = np.packbits(2 * sums > np.add.reduceat(w, at)[:, None], axis=1, bitorder="little").view(U)[:, 0]
+        w, at = weight[begin:end].astype(np.int64), first[a:b] - begin
+        out[a:b] = np.packbits(2 * _sums(h[begin:end], w, at) > np.add.reduceat(w, at)[:, None], axis=1, bitorder="little").view(U)[:, 0]
         a = b
     return out
 
@@ -137,12 +148,16 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of lines whose edit similarity, 1 - distance / longer length, reaches ``similarity``."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines whose edit similarity, 1 - distance / longer length, reaches ``similarity``.
+
+    Their texts come from the documents that have the first occurrence of one of them.
+    """
     pairs = written(pairs, "pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = written(_line_texts(docs).join(few, "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print")), "node"), "wanted")
+    few = (lambda df: F.broadcast(df)) if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
+    held = docs.join(few(wanted.select("its_doc", "its_print").distinct()), F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("print") == F.col("its_print")), "left_semi")
+    texts = written(_line_texts(held).join(few(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
     side = lambda name: texts.select(F.col("node").alias(name), F.col("body").alias(f"text_{name}"))
     schema = T.StructType(fields(a=LONG, b=LONG))
 
@@ -178,7 +193,7 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFra
     left, right = sides()
     near = (F.bit_count(left("sim").bitwiseXOR(right("sim"))) <= DISTANCE) & (F.least(left("size"), right("size")) >= similarity * F.greatest(left("size"), right("size")) - 1e-9)
     shared = buckets(nodes.select(_block_keys().alias("sig"), "node", "sim", "size"))
-    verified = lambda pairs: _verified(docs, pairs, similarity)
+    verified = lambda pairs: _verified(docs, nodes, pairs, similarity)
     links = verified(leader_pairs(shared, near))
     links = links.unionByName(verified(open_pairs(shared, links, near).select(*pair()).distinct()))
     grouped = nodes.join(components(links), "node", "left")
