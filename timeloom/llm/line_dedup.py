@@ -29,6 +29,9 @@ LEAST_WORDS = 3
 #: Lines of candidate pairs (16 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
+#: Removed lines (8 bytes each, and 24 for their document) that are broadcast at most; beyond, all texts are shuffled to them.
+BROADCAST_LINES = 2_000_000
+
 CHUNK = 4_000_000
 
 #: Words whose 64 signs are held at a time.
@@ -215,6 +218,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     lines, keepers = groups(named.select("doc", "print", "body"), similarity)
     again = lines.join(keepers, "node").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
     gone = again.groupBy(F.col("doc").alias("gone_doc"), F.col("print").alias("gone_print")).agg(F.collect_set("line").alias("gone"))
+    gone = written(gone, "gone")
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     joined = named.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("print") == F.col("gone_print")), "left")
     split = F.split("body", "\n", -1)
     rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
