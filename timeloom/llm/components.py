@@ -51,11 +51,12 @@ def pair() -> list[Column]:
     return [F.least(left("node"), right("node")).alias("a"), F.greatest(left("node"), right("node")).alias("b")]
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """Of rows (sig, node, …) those whose bucket holds several nodes, once each."""
+def buckets(rows: DataFrame, counted: bool = False) -> DataFrame:
+    """Of rows (sig, node, …) those whose bucket holds several nodes, once each; if counted, with its number of rows as many."""
     whole = Window.partitionBy("sig")
     several = rows.withColumn("least", F.min("node").over(whole)).withColumn("most", F.max("node").over(whole)).where("least != most")
-    return written(several.drop("least", "most").distinct(), "buckets")
+    several = several.drop("least", "most").distinct()
+    return written(several.withColumn("many", F.count(F.lit(1)).over(whole)) if counted else several, "buckets")
 
 
 def leader_pairs(shared: DataFrame, near: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, chunks, discard, fields, lists, written
-from .components import Side, buckets, components, leader_pairs, open_pairs, pair, sides
+from .components import LARGE, Side, buckets, components, leader_pairs, open_pairs, pair, sides
 
 U = np.uint64
 
@@ -31,8 +31,12 @@ SURE = GROUPS + 1
 #: Rows of (node, key) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
+#: 64-bit numbers of a node's bitmap: each bit tells whether an odd number of its shingles fall on it.
+BITMAP = 8
+
 CHUNK = 6_000_000
 INT = T.IntegerType()
+_BITS = [f"b{i}" for i in range(BITMAP)]
 
 
 def shingle_sets(found: W.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +78,17 @@ def fingerprints(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return W.mix(total[ends] - total[ends - sizes] + sizes.astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def bitmaps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each row BITMAP numbers of 64 bits. Two rows' bits differ in no more places than their sets."""
+    width = 64 * BITMAP
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(row * width + (values % U(width)).astype(np.int64), minlength=len(sizes) * width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), BITMAP)
+
+
 def survey(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Per row (key, n, print), and counts of shingles by token class over all rows."""
-    schema = T.StructType([docs.schema[key], *fields(n=LONG, print=LONG, cls=INT, freq=LONG)])
+    """Per row (key, n, print, its bitmap), and counts of shingles by token class over all rows."""
+    schema = T.StructType([docs.schema[key], *fields(n=LONG, print=LONG, cls=INT, freq=LONG), *fields(**dict.fromkeys(_BITS, LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = np.zeros(1 << CLASS_BITS, np.int64), None
@@ -84,14 +96,14 @@ def survey(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame,
             values, sizes = shingle_sets(W.find(data, offsets, W.SPACED), size)
             counts += np.bincount((values >> U(64 - CLASS_BITS)).astype(np.int64), minlength=len(counts))
             kind, empty = batch.column(key).type, [None] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(fingerprints(values, sizes)), pa.array(empty, pa.int32()), pa.array(empty, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64()), pa.array(fingerprints(values, sizes)), pa.array(empty, pa.int32()), pa.array(empty, pa.int64()), *map(pa.array, bitmaps(values, sizes).T)], names=schema.names)
         some = np.flatnonzero(counts)
         if len(some):
             empty = [None] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(empty, kind), pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(some, pa.int32()), pa.array(counts[some])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(empty, kind), pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(some, pa.int32()), pa.array(counts[some]), *[pa.array(empty, pa.int64())] * BITMAP], names=schema.names)
 
     both = written(docs.select(F.col(key), F.col(text)).mapInArrow(run, schema), "survey")
-    rows = both.where(F.col("n").isNotNull()).select(key, "n", "print")
+    rows = both.where(F.col("n").isNotNull()).select(key, "n", "print", *_BITS)
     return rows, both.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.sum("freq").alias("freq"))
 
 
@@ -187,11 +199,13 @@ def _verified(docs: DataFrame, key: str, text: str, size: int, percent: int, rep
     return found
 
 
-def _able(shared: DataFrame, percent: int) -> DataFrame:
-    """Without nodes that share too few shingles with any others to have a link: all of a link's lie in larger buckets."""
+def _able(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Without nodes that share too few shingles with any others to have a link; rows of large buckets get their node's bitmap."""
     alpha = F.ceil(percent * F.col("n") / 100 - 1e-9)
     rows = shared.withColumn("met", F.count_if(F.col("at") >= 0).over(Window.partitionBy("node")))
-    able = written(rows.where(F.col("met") + F.col("f") >= F.least(F.lit(SURE), alpha)).drop("met"), "able")
+    able = rows.where(F.col("met") + F.col("f") >= F.least(F.lit(SURE), alpha)).join(nodes.select("node", *_BITS), "node", "left")
+    bits = [F.when(F.col("many") >= LARGE, F.col(b)).alias(b) for b in _BITS]
+    able = written(able.select("sig", "node", "n", "f", "at", *bits), "able")
     discard(shared)
     return able
 
@@ -212,7 +226,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     node of the graph, so copies are never paired. Rows of one key are separate documents.
 
     Nodes of a signature's bucket are first tried against a leader if the bucket is large;
-    then only nodes that are not yet connected are paired. A pair is verified if its prefixes
+    then only nodes that are not yet connected are paired. There, two sets whose bitmaps differ in
+    more bits than linked sets can differ in shingles are no pair. A pair is verified if its prefixes
     share as many shingles as its overlap asks for: the i-th shared shingle of o has o - i
     behind it, so it lies in a prefix of p of n shingles if i <= o - n + p.
     """
@@ -222,9 +237,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     survey_rows, classes = survey(docs, key, text, size)
     documents = survey_rows.count()
     levels = class_levels(classes, documents)
-    nodes = survey_rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy(F.col("print").alias("node")).agg(F.min(F.col(key)).alias("rep"))
+    nodes = survey_rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy(F.col("print").alias("node")).agg(F.min(F.col(key)).alias("rep"), *[F.first(b).alias(b) for b in _BITS])
     nodes = written(nodes, "nodes")
-    shared = _able(buckets(_signature_rows(docs, key, text, size, percent, levels)), percent)
+    shared = _able(buckets(_signature_rows(docs, key, text, size, percent, levels), counted=True), nodes, percent)
     left, right = sides()
     need = F.ceil(percent * (left("n") + right("n")) / (100 + percent) - 1e-9)
     sizes = 100 * F.least(left("n"), right("n")) >= percent * F.greatest(left("n"), right("n"))
@@ -232,6 +247,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     # what two sets can share before, at and behind a shingle that stands in both
     room = F.least(left("at"), right("at")) + F.least(left("n") - left("at"), right("n") - right("at"))
     sizes &= (left("at") < 0) | (right("at") < 0) | (room >= need)
+    # sets differ in as many shingles as their bitmaps in bits at least
+    differ = sum((F.bit_count(left(b).bitwiseXOR(right(b))) for b in _BITS), F.lit(0))
+    sizes &= F.coalesce(differ <= left("n") + right("n") - 2 * need, F.lit(True))
     verified = lambda pairs: _verified(docs, key, text, size, percent, nodes, pairs)
     links = verified(leader_pairs(shared, sizes & placed))
     met = open_pairs(shared, links, sizes)
