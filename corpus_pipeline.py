@@ -33,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go of which an earlier occurrence stays; a document without a word left goes."""
-    return _with_text(line_dedup.dedup(docs), docs)
+    return _with_text(line_dedup.dedup(docs, least_words=1), docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

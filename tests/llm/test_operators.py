@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom.llm import components, decontamination, embedding_dedup, fm_index, jaccard, language_id, license_scan, line_dedup, packing, quality, url_filter, warc
-from timeloom.llm.queries import RULES
+from timeloom.llm.queries import RULES, op4_line_dedup
 
 DOCS = "doc_id long, text string, spans int, sig int"
 
@@ -182,6 +182,19 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs.where("false")).count() == 0
 
 
+def test_line_dedup_of_all_lines_with_a_word(spark, tmp_path):
+    """Lines of one or two words go as soon as they stand again; near copies are bounded in characters, not bytes or words."""
+    chinese = "".join(chr(0x4E00 + i) for i in range(40))
+    texts = ["les\nand ornd\n--\n", "LES\nand ornd.\n--\n\nles", chinese, chinese + "\n本", "本", "ab\nac\nab", None]
+    docs = spark.createDataFrame([(i, x, i, i) for i, x in enumerate(texts)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].n_removed for i in range(7)] == [0, 3, 0, 1, 1, 1, 0]
+    assert [got[i].text_sha256 for i in range(6)] == [hashlib.sha256(x.encode()).hexdigest() for x in [texts[0], "--\n", chinese, "本", "", "ab\nac"]]
+    named = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("print"), F.col("text").alias("body"))
+    assert {r.size for r in line_dedup.line_table(named.where("doc = 2"), 1).collect()} == {40}
+
+
 def test_line_groups_equal_all_pairs(spark):
     """The links are those that SimHash distance and edit similarity give over all pairs of lines."""
     rng = random.Random(8)

@@ -23,7 +23,7 @@ DISTANCE = 3
 #: Blocks of a SimHash; BLOCKS - DISTANCE of them are equal in any two linked lines.
 BLOCKS = 5
 
-#: Words that a line needs to be compared at all.
+#: Words that a line needs to be compared at all, unless the caller says otherwise; op4 and the pipeline compare all lines with a word.
 LEAST_WORDS = 3
 
 #: Lines of candidate pairs (16 bytes each) that are broadcast at most.
@@ -91,8 +91,15 @@ def _nodes(found: W.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return W.mix(total + count.astype(U)).view(np.int64), h, count
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """Of docs (doc, print, body): one row per line that is compared (doc, print, line, node, sim, size)."""
+def _sizes(found: W.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Characters of each line, with one blank between its words."""
+    begins = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+    length = begins[found.end] - begins[found.start]
+    return (np.add.reduceat(length, first) if len(first) else length) + count - 1
+
+
+def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Of docs (doc, print, body): one row per line that is compared (doc, print, line, node, sim, size in characters)."""
     schema = T.StructType([docs.schema["doc"], *fields(print=LONG, line=LONG, node=LONG, sim=LONG, size=LONG)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +107,9 @@ def line_table(docs: DataFrame) -> DataFrame:
             found, first, row, line = _lines(data, offsets)
             node, h, count = _nodes(found, first)
             length = found.end - found.start
-            some = np.flatnonzero(count >= LEAST_WORDS)
+            some = np.flatnonzero(count >= least_words)
             sim = simhash(h, np.minimum(length, 16), first)
-            size = (np.add.reduceat(length, first) if len(first) else length) + count - 1
+            size = _sizes(found, first, count)
             at = pa.array(row[some])
             columns = [batch.column("doc").take(at), batch.column("print").take(at), *(pa.array(x[some].astype(np.int64)) for x in (line, node)), pa.array(sim[some].view(np.int64)), pa.array(size[some].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -110,7 +117,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _line_texts(docs: DataFrame) -> DataFrame:
+def _line_texts(docs: DataFrame, least_words: int) -> DataFrame:
     schema = T.StructType(fields(node=LONG, body=TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +125,7 @@ def _line_texts(docs: DataFrame) -> DataFrame:
             found, first, _, _ = _lines(data, offsets)
             node, _, count = _nodes(found, first)
             flat = np.where(W.ALNUM[found.data], found.data, 32).astype(np.uint8).tobytes()
-            some = np.flatnonzero(count >= LEAST_WORDS)
+            some = np.flatnonzero(count >= least_words)
             texts = [b" ".join(flat[found.start[first[i]] : found.end[first[i] + count[i] - 1]].split()).decode() for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(texts, pa.string())], names=schema.names)
 
@@ -151,7 +158,7 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, least_words: int) -> DataFrame:
     """Pairs of lines whose edit similarity, 1 - distance / longer length, reaches ``similarity``.
 
     Their texts come from the documents that have the first occurrence of one of them.
@@ -160,7 +167,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print")), "node"), "wanted")
     few = (lambda df: F.broadcast(df)) if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
     held = docs.join(few(wanted.select("its_doc", "its_print").distinct()), F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("print") == F.col("its_print")), "left_semi")
-    texts = written(_line_texts(held).join(few(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
+    texts = written(_line_texts(held, least_words).join(few(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
     side = lambda name: texts.select(F.col("node").alias(name), F.col("body").alias(f"text_{name}"))
     schema = T.StructType(fields(a=LONG, b=LONG))
 
@@ -185,18 +192,19 @@ def _block_keys() -> F.Column:
     return F.explode(F.array(*keys))
 
 
-def groups(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc, print, body): the compared lines, and (node, keeper) of lines that stand in several places.
 
     The keeper is the place (doc, print, line) that stays: the first of the connected group.
+    Equal lines share a node. A line too short for a single edit within ``similarity`` has no near copy but an equal one.
     """
-    lines = written(line_table(docs), "lines")
+    lines = written(line_table(docs, least_words), "lines")
     place = F.struct("doc", "print", "line")
     nodes = written(lines.groupBy("node").agg(F.min("sim").alias("sim"), F.min("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places")), "nodes")
     left, right = sides()
     near = (F.bit_count(left("sim").bitwiseXOR(right("sim"))) <= DISTANCE) & (F.least(left("size"), right("size")) >= similarity * F.greatest(left("size"), right("size")) - 1e-9)
-    shared = buckets(nodes.select(_block_keys().alias("sig"), "node", "sim", "size"))
-    verified = lambda pairs: _verified(docs, nodes, pairs, similarity)
+    shared = buckets(nodes.where((1 - similarity) * F.col("size") + 1e-9 >= 1).select(_block_keys().alias("sig"), "node", "sim", "size"))
+    verified = lambda pairs: _verified(docs, nodes, pairs, similarity, least_words)
     links = verified(leader_pairs(shared, near))
     links = links.unionByName(verified(open_pairs(shared, links, near).select(*pair()).distinct()))
     grouped = nodes.join(components(links), "node", "left")
@@ -205,17 +213,17 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFra
     return lines, written(many.select("node", F.coalesce("keeper", "first").alias("keeper")), "keepers")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the lines gone of which an earlier occurrence stays, and columns lines and removed in front.
 
     Lines are compared as lower-cased words with every digit 0; lines of fewer than
-    LEAST_WORDS words always stay. Two lines link when their SimHashes differ in at most
+    ``least_words`` words always stay, and lines without a word in any case. Two lines link when their SimHashes differ in at most
     DISTANCE bits and their edit similarity reaches ``similarity``; of each connected group the
     first occurrence by key, text hash and line stays. A null key comes first; rows that
     repeat key and text count as one and lose the same lines. Null texts stay null.
     """
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("print"), F.col(f"`{text}`").cast("string").alias("body"))
-    lines, keepers = groups(named.select("doc", "print", "body"), similarity)
+    lines, keepers = groups(named.select("doc", "print", "body"), similarity, least_words)
     again = lines.join(keepers, "node").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
     gone = again.groupBy(F.col("doc").alias("gone_doc"), F.col("print").alias("gone_print")).agg(F.collect_set("line").alias("gone"))
     gone = written(gone, "gone")

@@ -52,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
     return done.select("doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
