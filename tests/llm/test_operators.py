@@ -108,6 +108,25 @@ def test_decontamination_in_passes(spark, monkeypatch):
     assert [(s.start, s.end) for s in row.spans] == [(0, 6), (7, 10)] and sorted(row.item_ids) == ["1", "2", "8"]
 
 
+def test_decontamination_cuts_the_united_spans(spark, monkeypatch):
+    """Overlapping items of different passes: every pass sees the original text, and what stays is what scan does not cover."""
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 20)
+    letters = "abcdefghijklmno"
+    items = [(i, " ".join(f"w{x}" for x in letters[i : i + 3])) for i in range(0, 14, 2)] + [(20, "left right")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(f"w{x}" for x in letters), "keep left wa wb wc right keep", "x wa wb wc wd we y wg wh wi z", None, "", "nothing"]
+    docs = spark.createDataFrame([(i, x, i, i) for i, x in enumerate(texts)], DOCS)
+    assert len({r[0] for r in bench.select(F.pmod(F.xxhash64("text"), F.lit(sum(len(t) for _, t in items) // 20 + 1))).collect()}) > 1
+    cleaned = {r.doc_id: r for r in decontamination.remove_spans(docs, bench).collect()}
+    for i, x in enumerate(texts):
+        w, hit = (x or "").split(), set()
+        for _, item in items:
+            p = item.split()
+            hit |= {j for at in range(len(w)) if w[at : at + len(p)] == p for j in range(at, at + len(p))}
+        assert cleaned[i].spans == i and (cleaned[i].text or "").split() == [y for j, y in enumerate(w) if j not in hit]
+    assert cleaned[1].text.split() == ["keep", "left", "right", "keep"] and cleaned[3].text is None and cleaned[0].text == ""
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(20, 16))

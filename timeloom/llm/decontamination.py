@@ -113,12 +113,12 @@ def _spans(found: W.Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begin, end, np.diff(np.searchsorted(begin, found.first))
 
 
-def _load(items: DataFrame, item_id: str, item_text: str, k: int) -> list[Phrases]:
-    """Phrases in passes of a bounded size: items are dealt by a hash of their text."""
+def _load(items: DataFrame, item_id: str, item_text: str, k: int) -> tuple[int, Iterator[Phrases]]:
+    """Number of passes of a bounded size and the phrases of each, collected as it is asked for: items are dealt by a hash of their text."""
     texts = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("t").isNotNull())
     size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = size // PASS_BYTES + 1
-    return [Phrases([(r.i, r.t) for r in texts.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).collect()], k) for p in range(passes)]
+    return passes, (Phrases([(r.i, r.t) for r in texts.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == p).collect()], k) for p in range(passes))
 
 
 def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 10) -> DataFrame:
@@ -156,13 +156,13 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "text",
 
         return frame.mapInArrow(run, schema)
 
-    loaded = _load(items, item_id, item_text, k)
+    passes, loaded = _load(items, item_id, item_text, k)
     for nth, phrases in enumerate(loaded):
-        frame = pass_over(phrases, frame, nth, nth == len(loaded) - 1)
+        frame = pass_over(phrases, frame, nth, nth == passes - 1)
     spans, found = F.col("_spans0"), F.col("_items0")
-    if len(loaded) > 1:
-        spans = _united(F.array_sort(F.concat(*[f"_spans{i}" for i in range(len(loaded))])))
-        found = F.array_distinct(F.concat(*[f"_items{i}" for i in range(len(loaded))]))
+    if passes > 1:
+        spans = _united(F.array_sort(F.concat(*[f"_spans{i}" for i in range(passes)])))
+        found = F.array_distinct(F.concat(*[f"_items{i}" for i in range(passes)]))
     return frame.select(*[F.col(f"`{c}`") for c in keep], F.col("_words0").alias("n_words"), spans.alias("spans"), found.alias("item_ids"))
 
 
@@ -181,33 +181,64 @@ def _united(spans):
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 10) -> DataFrame:
     """``docs`` with every merged removal span cut out of ``text``, from its first word to its last.
 
+    Every pass searches the original text; the spans of all are cut at once at the end.
     Rows without a hit are returned as they are, null texts too. A text of which nothing
     but separators remains becomes empty.
     """
-    loaded = _load(items, item_id, item_text, k)
-    for phrases in loaded:
+    passes, loaded = _load(items, item_id, item_text, k)
+    before = own_name(docs, "_spans")
+    frame, span_type = docs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    carried = T.StructType([*docs.schema, *fields(**{before: T.ArrayType(T.StructType(fields(start=LONG, end=LONG)))})])
+
+    def pass_over(phrases: Phrases, frame: DataFrame, nth: int) -> DataFrame:
+        """Unites its spans with those of the passes before; the last pass cuts."""
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = shared.value
             for batch, data, offsets in chunks(batches, text, SHARD_BYTES):
                 found = W.find(data, offsets, W.ALNUM)
                 hit, _, _ = search_shard(found, phrases)
+                if nth:
+                    hit = hit | _marked(found, batch.column(before))
+                    batch = batch.drop_columns([before])
                 begin, end, many = _spans(found, hit)
-                if not len(begin):
-                    yield batch
-                    continue
-                column = batch.column(text).to_pylist()
-                ends = np.cumsum(many)
-                for row in np.flatnonzero(many):
-                    raw, base, at, parts = data[offsets[row] : offsets[row + 1]].tobytes(), offsets[row], 0, []
-                    for s in range(ends[row] - many[row], ends[row]):
-                        parts.append(raw[at : found.start[begin[s]] - base])
-                        at = found.end[end[s] - 1] - base
-                    left = b"".join([*parts, raw[at:]])
-                    column[row] = left.decode() if W.ALNUM[np.frombuffer(left, np.uint8)].any() else ""
-                at = batch.schema.get_field_index(text)
-                yield batch.set_column(at, batch.schema.field(at), pa.array(column, batch.column(at).type))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                if nth < passes - 1:
+                    base = np.repeat(found.first[:-1], many)
+                    span = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], ["start", "end"])
+                    yield batch.append_column(before, lists(span, many).cast(span_type))
+                else:
+                    yield _cut(batch, text, data, offsets, found, begin, end, many)
+
+        return frame.mapInArrow(run, docs.schema if nth == passes - 1 else carried)
+
+    for nth, phrases in enumerate(loaded):
+        frame = pass_over(phrases, frame, nth)
+    return frame
+
+
+def _marked(found: W.Words, spans: pa.ListArray) -> np.ndarray:
+    """The words that a column of spans, counted in words of each row, covers."""
+    flat = spans.flatten()
+    base = np.repeat(found.first[:-1], spans.value_lengths().to_numpy(zero_copy_only=False))
+    edges = np.zeros(len(found.start) + 1, np.int64)
+    np.add.at(edges, flat.field("start").to_numpy(zero_copy_only=False) + base, 1)
+    np.add.at(edges, flat.field("end").to_numpy(zero_copy_only=False) + base, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _cut(batch: pa.RecordBatch, text: str, data: np.ndarray, offsets: np.ndarray, found: W.Words, begin: np.ndarray, end: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    """The batch with its spans cut out of ``text``."""
+    if not len(begin):
+        return batch
+    column = batch.column(text).to_pylist()
+    ends = np.cumsum(many)
+    for row in np.flatnonzero(many):
+        raw, base, at, parts = data[offsets[row] : offsets[row + 1]].tobytes(), offsets[row], 0, []
+        for s in range(ends[row] - many[row], ends[row]):
+            parts.append(raw[at : found.start[begin[s]] - base])
+            at = found.end[end[s] - 1] - base
+        left = b"".join([*parts, raw[at:]])
+        column[row] = left.decode() if W.ALNUM[np.frombuffer(left, np.uint8)].any() else ""
+    at = batch.schema.get_field_index(text)
+    return batch.set_column(at, batch.schema.field(at), pa.array(column, batch.column(at).type))
