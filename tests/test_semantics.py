@@ -1,13 +1,16 @@
 """Hand-made cases for operators whose SQL form is missing or whose edges the test tables do not reach."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as t
 from timeloom.functions import units as u
 from timeloom.operators import align, detect, intervals, lines, plan, rank, rules
+from timeloom.plans import registry
 from timeloom.sources import documents as docs
+from timeloom.sources import fixtures
 
 WORD = "rec long, idx long, w string, start_ms long, end_ms long, p_milli long"
 
@@ -195,3 +198,26 @@ def test_sources(spark, tmp_path):
     assert docs.last_values(log, "k", "n", "line", ["RMS level"]).first().value == -21.0
     cues = spark.createDataFrame([(1, 0, 1500, "Hi"), (1, 1500, 2000, "you")], "rec long, a long, b long, text string")
     assert docs.subtitles(cues, srt=True).first().body == "1\n00:00:00,000 --> 00:00:01,500\nHi\n\n2\n00:00:01,500 --> 00:00:02,000\nyou\n"
+
+
+def test_example_retrieval_whole_equals_brute_force(spark, tmp_path):
+    """All items, whole texts and all languages: with late matches, null texts and sources, and ties."""
+    rng = random.Random(13)
+    vocabulary = ["that", "with", "cat", *(f"Word{i}" for i in range(25))]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(6))) for i in range(30)] + [(30, None), (31, "a b c"), (32, "needle")]
+    texts = [(i, rng.choice(["web", "book", "code", None]), rng.choice(["en", "de", None]), " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30)))) for i in range(150)]
+    texts += [(200, "web", "zh", "filler " * 100 + "needle"), (201, "web", "en", None), (202, "web", "en", "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(texts, "doc_id long, source string, lang string, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    content = lambda text: {w.lower() for w in re.findall("[A-Za-z0-9']+", text or "") if len(w) > 3} - {"that", "with"}
+    want = set()
+    for item, text in items:
+        rows = [(-(n * n * 1_000_000 // (len(content(x)) + 1)), doc, source) for doc, source, _, x in texts if (n := len(content(x) & content(text)))]
+        taken, place = {}, 0
+        for score, doc, source in sorted(rows, key=lambda r: r[:2]):
+            taken[source] = taken.get(source, 0) + 1
+            if taken[source] <= 4 and place < 14:
+                place += 1
+                want.add((item, source, doc, -score, place))
+    got = {tuple(r) for r in registry.QUERIES["example_retrieval_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and (32, "web", 200, 1_000_000 // 3, 1) in want and {r[0] for r in want} >= set(range(20, 30))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.functions import text as t
+
 
 def candidate_score(clicks: Column, pace: Column, pace_sd: Column, pitch_sd: Column, level_sd: Column, target: float = 145.0) -> Column:
     """Lower is better; a missing pitch spread counts as 3."""
@@ -52,6 +58,43 @@ def capped(rows: DataFrame, group: list[str], within: str, order: list[Column],
     return rows.drop("own")
 
 
+def pick_examples(wanted: DataFrame, bank: DataFrame, stop: list[str], each: int = 4, overall: int = 14) -> DataFrame:
+    """(item_id, source, doc_id, score, place): of bank (doc_id, source, text) the best for each wanted line (item_id, text), ``each`` of one source at most.
+
+    The score is the squared overlap of content words for the size of the example. All rows
+    are scored; each batch passes on its ``each`` best of an item and source, as no other can
+    be among the best. The wanted lines' words are broadcast; repeated items count as one text.
+    """
+    lines = wanted.select("item_id", F.explode(t.content_words(F.col("text"), stop)).alias("word")).groupBy("word").agg(F.collect_set("item_id").alias("items")).collect()
+    ids = sorted({i for r in lines for i in r["items"]})
+    number = {x: i for i, x in enumerate(ids)}
+    shared = wanted.sparkSession.sparkContext.broadcast({r["word"]: np.array([number[i] for i in r["items"]], np.int64) for r in lines})
+    token, schema = re.compile("[A-Za-z0-9']+"), wanted.select("item_id").schema.simpleString()[7:-1] + "," + bank.select("source", "doc_id").schema.simpleString()[7:-1] + ",score:bigint"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items_of = shared.value
+        for batch in batches:
+            docs, items, scores = [], [], []
+            for at, text in enumerate(batch["text"]):
+                known = {w.lower() for w in token.findall(text or "") if len(w) > 3}.difference(stop)
+                met = [items_of[w] for w in known if w in items_of]
+                if met:
+                    item, n = np.unique(np.concatenate(met), return_counts=True)
+                    docs.append(np.full(len(item), at))
+                    items.append(item)
+                    scores.append(n * n * 1_000_000 // (len(known) + 1))
+            if docs:
+                rows = batch[["source", "doc_id"]].iloc[np.concatenate(docs)].reset_index(drop=True)
+                rows.insert(0, "item", np.concatenate(items))
+                rows["score"] = np.concatenate(scores)
+                best = rows.sort_values(["score", "doc_id"], ascending=[False, True]).groupby(["item", "source"], dropna=False, sort=False).head(each)
+                best.insert(0, "item_id", [ids[i] for i in best["item"]])
+                yield best.drop(columns="item")
+
+    scored = bank.select("source", "doc_id", "text").mapInPandas(run, schema)
+    return capped(scored, ["item_id"], "source", [F.desc("score"), F.col("doc_id")], each, overall)
+
+
 def retrieval_score(known: Column, wanted: Column, said_words: Column, final_words: Column) -> Column:
     """Overlap of content words against the example's size, and how much the example was shortened."""
     shared = F.size(F.array_intersect(known, wanted))

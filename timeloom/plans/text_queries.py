@@ -68,6 +68,15 @@ def example_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.capped(scored, ["item_id"], "source", [F.desc("score"), F.col("doc_id")])
 
 
+@query()
+def example_retrieval_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen best examples for every benchmark item, from the whole texts of all documents.
+
+    ``example_retrieval`` is bound to SQL over twenty items, 400 characters and one language; a cross join of the whole is too slow for SQL.
+    """
+    return rank.pick_examples(fx.table(spark, sf_dir, "benchmark").select("item_id", "text"), fx.table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["that", "with"])
+
+
 @query("SELECT left(text, 60) AS opening, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def dedupe_prefix60(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "documents").where("text IS NOT NULL")
