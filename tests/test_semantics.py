@@ -1,5 +1,6 @@
 """Hand-made cases for operators whose SQL form is missing or whose edges the test tables do not reach."""
 
+import difflib
 import random
 import re
 
@@ -200,6 +201,31 @@ def test_sources(spark, tmp_path):
     assert docs.subtitles(cues, srt=True).first().body == "1\n00:00:00,000 --> 00:00:01,500\nHi\n\n2\n00:00:01,500 --> 00:00:02,000\nyou\n"
 
 
+def test_mangled_names_against_the_whole_lexicon(spark, tmp_path):
+    """Against brute force over all terms: near misses of any term are found, and the best one is reported."""
+    rng = random.Random(11)
+    terms = sorted({"".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(5, 10))) for _ in range(60)})
+    heard = list(terms[:5])
+    for term in terms * 2:
+        w = list(term)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = rng.choice("abcdeilnorstz")
+        heard.append("".join(w) + rng.choice(["", "", "s", "x"]))
+    spark.createDataFrame([(0, " ".join(terms))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, " ".join(heard)), (2, 0, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sure = {(r.rec, r.idx): r.p_milli for r in fixtures.words(spark, str(tmp_path)).collect()}
+    want = set()
+    for i, n in enumerate(heard):
+        if n in terms or any(long.startswith(short) and long[len(short) :] in ("s", "es", "'s", "ed", "d", "ing") for x in terms for short, long in ((n, x), (x, n))):
+            continue
+        ratio, _, term = max((difflib.SequenceMatcher(None, n, x).ratio() if abs(len(n) - len(x)) <= 2 else 0.0, -k, x) for k, x in enumerate(terms) if abs(len(n) - len(x)) <= 3)
+        known = any(n.endswith(suffix) and len(n) - len(suffix) >= 3 and n[: len(n) - len(suffix)] + instead in terms for suffix, instead in t.SUFFIXES)
+        if (0.8 if known else 0.65) <= ratio < 0.97 and (not known or sure[1, i] < 550):
+            want.add((1, i, term, int(ratio * 1000)))
+    got = {tuple(r) for r in registry.QUERIES["mangled_names"](spark, str(tmp_path)).collect()}
+    assert len(want) > 60 and got == want
+
+
 def test_example_retrieval_whole_equals_brute_force(spark, tmp_path):
     """All items, whole texts and all languages: with late matches, null texts and sources, and ties."""
     rng = random.Random(13)

@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,19 +90,41 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def letters(word: Column) -> Column:
+    """Two bits for each of 31 classes of characters: whether a word has one of the class, and whether several."""
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    codes = F.transform(F.split(word, ""), lambda c: F.pmod(F.ascii(c), F.lit(31)))
+    once = F.aggregate(codes, F.lit(0).cast("long"), lambda seen, c: seen.bitwiseOR(bit(c)))
+    again = lambda seen, c: F.when(seen["last"] == c, seen["bits"].bitwiseOR(bit(c + 31))).otherwise(seen["bits"])
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("bits"))
+    twice = F.aggregate(F.array_sort(codes), start, lambda seen, c: F.struct(c.alias("last"), again(seen, c).alias("bits")), lambda seen: seen["bits"])
+    return once.bitwiseOR(twice)
+
+
+def may_reach(a: Column, b: Column, letters_a: Column, letters_b: Column, floor: float) -> Column:
+    """Whether the sequence ratio of two words can be ``floor`` or more: each bit that differs is a character without a partner."""
+    both = F.length(a) + F.length(b)
+    return (2 * F.least(F.length(a), F.length(b)) >= floor * both - 1e-9) & (F.bit_count(letters_a.bitwiseXOR(letters_b)) <= (1 - floor) * both + 1e-9)
+
+
 def mangled_names(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, floor: float = 0.65, known_floor: float = 0.80, ceiling: float = 0.97, gate: int = 550) -> DataFrame:
     """(rec, idx, term, ratio): words that are nearly a lexicon term (ord, term), from distinct tokens only.
 
     A dictionary word (``dictionary`` has one column, word) is a candidate only below the
     confidence ``gate`` and from ``known_floor`` on. A plural or tense of any term is no miss.
-    The lexicon is broadcast; it is a word list by contract.
+    The lexicon is broadcast; it is a word list by contract. Candidates are all pairs that
+    lengths and letter counts leave possible.
     """
     terms = lexicon.select("ord", t.norm(F.col("term")).alias("term_n"), "term").where((F.length("term_n") >= 4) & ~F.trim("term").contains(" "))
     tokens = words.select("rec", "idx", "p_milli", t.norm(F.col("w")).alias("n")).where(F.length("n") >= 4)
     distinct = tokens.select("n").distinct().join(F.broadcast(terms), F.col("n") == F.col("term_n"), "left_anti")
     stems = distinct.select("n", F.explode(t.stems(F.col("n"))).alias("word")).join(dictionary, "word", "left_semi").select("n", F.lit(True).alias("known")).distinct()
     distinct = distinct.join(stems, "n", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    near = distinct.join(F.broadcast(terms), (F.abs(F.length("n") - F.length("term_n")) <= 3))
+    # a variant's ratio is 8/11 or more, as words have four letters and endings three at most
+    least = min(floor, known_floor, 8 / 11)
+    sized = terms.withColumn("lt", letters(F.col("term_n"))).withColumn("size", F.explode(F.sequence(F.length("term_n") - 3, F.length("term_n") + 3)))
+    tried = distinct.withColumn("ln", letters(F.col("n"))).withColumn("size", F.length("n"))
+    near = tried.join(F.broadcast(sized), "size").where(may_reach(F.col("n"), F.col("term_n"), F.col("ln"), F.col("lt"), least))
     near = near.withColumn("variant", t.variant_of(F.col("n"), F.col("term_n"))).withColumn("ratio", F.when(F.abs(F.length("n") - F.length("term_n")) <= 2, seq_ratio("n", "term_n")).otherwise(0.0))
     best = near.groupBy("n", "known").agg(F.max("variant").alias("variant"), F.max_by(F.struct("term", "ratio"), F.struct("ratio", -F.col("ord"))).alias("best")).where("NOT variant")
     hit = (F.col("best.ratio") >= F.when(F.col("known"), known_floor).otherwise(floor)) & (F.col("best.ratio") < ceiling)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as t
@@ -194,8 +194,8 @@ def repeat_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mangled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence similarity has no SQL form; the ratio is rounded to thousandths."""
-    lexicon = _lexicon(spark, sf_dir).select(F.crc32(F.encode("word", "UTF-8")).alias("ord"), F.col("word").alias("term")).where(F.col("ord") % 7 == 0)
+    """Against the whole lexicon, in alphabetical order. Sequence similarity has no SQL form; the ratio is rounded down to thousandths."""
+    lexicon = _lexicon(spark, sf_dir).select(F.row_number().over(Window.orderBy("word")).alias("ord"), F.col("word").alias("term"))
     found = detect.mangled_names(fx.words(spark, sf_dir), lexicon, _lexicon(spark, sf_dir))
     return found.select("rec", "idx", "term", F.floor(F.col("ratio") * 1000).alias("permille"))
 
