@@ -226,6 +226,26 @@ def test_mangled_names_against_the_whole_lexicon(spark, tmp_path):
     assert len(want) > 60 and got == want
 
 
+def test_seq_ratio_pairs_equal_all_pairs(spark, tmp_path):
+    rng = random.Random(12)
+    base = ["workspace", "workspaces", "licensing", "lincensing", "banana", "collaboration", "elaboration"] + ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(7, 12))) for _ in range(25)]
+    other = ["xworkspace", "workspade", "collaborations", "short"]
+    for x in base * 3:
+        w = list(x)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = rng.choice("abcdeilnorst")
+        other.append("".join(w))
+    spark.createDataFrame([(0, " ".join(base)), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, " ".join(other)), (1, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    mine = {x for x in base if len(x) >= 7}
+    rest = {x for x in other if len(x) >= 7} | mine
+    ratio = lambda a, b: difflib.SequenceMatcher(None, min(a, b), max(a, b)).ratio()
+    want = {(a, b, int(ratio(a, b) * 1000)) for a in mine for b in rest if a != b and (b not in mine or a < b) and ratio(a, b) >= 0.6}
+    got = [tuple(r) for r in registry.QUERIES["seq_ratio_pairs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {("workspace", "workspaces", 947), ("licensing", "lincensing", 947)} <= want
+
+
 def test_example_retrieval_whole_equals_brute_force(spark, tmp_path):
     """All items, whole texts and all languages: with late matches, null texts and sources, and ties."""
     rng = random.Random(13)

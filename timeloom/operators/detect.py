@@ -107,6 +107,22 @@ def may_reach(a: Column, b: Column, letters_a: Column, letters_b: Column, floor:
     return (2 * F.least(F.length(a), F.length(b)) >= floor * both - 1e-9) & (F.bit_count(letters_a.bitwiseXOR(letters_b)) <= (1 - floor) * both + 1e-9)
 
 
+def near_words(some: DataFrame, others: DataFrame, floor: float) -> DataFrame:
+    """(a, b, ratio): pairs of different words, a of ``some`` (word), which is broadcast, and b of ``others`` (word), whose ratio reaches ``floor``.
+
+    The words of a pair are compared in their order. A pair of which both words stand in both tables comes once, a before b.
+    Candidates are all that lengths and letter counts leave possible.
+    """
+    some = some.distinct().select(F.col("word").alias("a"), letters(F.col("word")).alias("la"))
+    rows = others.distinct().select(F.col("word").alias("b"), letters(F.col("word")).alias("lb"))
+    rows = rows.join(F.broadcast(some.select(F.col("a").alias("b"), F.lit(True).alias("in_some"))), "b", "left").where(F.col("b").isNotNull())
+    reach = F.explode(F.sequence(F.ceil(F.length("a") * floor / (2 - floor) - 1e-9), F.floor(F.length("a") * (2 - floor) / floor + 1e-9)))
+    keyed = F.broadcast(some.where("length(a) > 0").select("a", "la", reach.alias("size")))
+    fits = (F.col("a") != F.col("b")) & (F.col("in_some").isNull() | (F.col("a") < F.col("b"))) & may_reach(F.col("a"), F.col("b"), F.col("la"), F.col("lb"), floor)
+    pairs = rows.withColumn("size", F.length("b").cast("long")).join(keyed, "size").where(fits).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b")
+    return pairs.withColumn("ratio", seq_ratio("x", "y")).where(F.col("ratio") >= floor).select("a", "b", "ratio")
+
+
 def mangled_names(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, floor: float = 0.65, known_floor: float = 0.80, ceiling: float = 0.97, gate: int = 550) -> DataFrame:
     """(rec, idx, term, ratio): words that are nearly a lexicon term (ord, term), from distinct tokens only.
 

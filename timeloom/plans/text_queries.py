@@ -109,15 +109,16 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seq_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-equal long words of one first letter, length and ending among the benchmark's."""
-    from timeloom.operators.detect import seq_ratio
-
-    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
-    words = fx.table(spark, sf_dir, "benchmark").select(found.alias("w")).where("length(w) >= 7").distinct()
-    keyed = words.withColumn("key", F.concat(F.substring("w", 1, 1), F.length("w").cast("string"), F.substring("w", -2, 2)))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.w") < F.col("y.w"))).select(F.col("x.w").alias("a"), F.col("y.w").alias("b"))
-    return pairs.withColumn("permille", F.floor(seq_ratio("a", "b") * 1000)).where("permille >= 600")
+    """Long words, of seven letters or more, of the benchmark that are nearly another of its own or one of the documents'."""
+    from timeloom.operators.detect import near_words
+
+    def long_words(name: str) -> DataFrame:
+        found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)))
+        return fx.table(spark, sf_dir, name).select(found.alias("word")).where("length(word) >= 7").distinct()
+
+    wanted = long_words("benchmark")
+    pairs = near_words(wanted, wanted.unionByName(long_words("documents")), 0.6)
+    return pairs.select("a", "b", F.floor(F.col("ratio") * 1000).alias("permille"))
 
 
 @query()
