@@ -107,6 +107,11 @@ def may_reach(a: Column, b: Column, letters_a: Column, letters_b: Column, floor:
     return (2 * F.least(F.length(a), F.length(b)) >= floor * both - 1e-9) & (F.bit_count(letters_a.bitwiseXOR(letters_b)) <= (1 - floor) * both + 1e-9)
 
 
+def dealt(words: DataFrame, key: str) -> DataFrame:
+    """Few bytes but much work each: over several tasks a core, which adaptive execution would make one."""
+    return words.repartition(4 * max(8, words.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def near_words(some: DataFrame, others: DataFrame, floor: float) -> DataFrame:
     """(a, b, ratio): pairs of different words, a of ``some`` (word), which is broadcast, and b of ``others`` (word), whose ratio reaches ``floor``.
 
@@ -114,7 +119,7 @@ def near_words(some: DataFrame, others: DataFrame, floor: float) -> DataFrame:
     Candidates are all that lengths and letter counts leave possible.
     """
     some = some.distinct().select(F.col("word").alias("a"), letters(F.col("word")).alias("la"))
-    rows = others.distinct().select(F.col("word").alias("b"), letters(F.col("word")).alias("lb"))
+    rows = dealt(others.distinct(), "word").select(F.col("word").alias("b"), letters(F.col("word")).alias("lb"))
     rows = rows.join(F.broadcast(some.select(F.col("a").alias("b"), F.lit(True).alias("in_some"))), "b", "left").where(F.col("b").isNotNull())
     reach = F.explode(F.sequence(F.ceil(F.length("a") * floor / (2 - floor) - 1e-9), F.floor(F.length("a") * (2 - floor) / floor + 1e-9)))
     keyed = F.broadcast(some.where("length(a) > 0").select("a", "la", reach.alias("size")))
@@ -139,7 +144,7 @@ def mangled_names(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, f
     # a variant's ratio is 8/11 or more, as words have four letters and endings three at most
     least = min(floor, known_floor, 8 / 11)
     sized = terms.withColumn("lt", letters(F.col("term_n"))).withColumn("size", F.explode(F.sequence(F.length("term_n") - 3, F.length("term_n") + 3)))
-    tried = distinct.withColumn("ln", letters(F.col("n"))).withColumn("size", F.length("n"))
+    tried = dealt(distinct, "n").withColumn("ln", letters(F.col("n"))).withColumn("size", F.length("n"))
     near = tried.join(F.broadcast(sized), "size").where(may_reach(F.col("n"), F.col("term_n"), F.col("ln"), F.col("lt"), least))
     near = near.withColumn("variant", t.variant_of(F.col("n"), F.col("term_n"))).withColumn("ratio", F.when(F.abs(F.length("n") - F.length("term_n")) <= 2, seq_ratio("n", "term_n")).otherwise(0.0))
     best = near.groupBy("n", "known").agg(F.max("variant").alias("variant"), F.max_by(F.struct("term", "ratio"), F.struct("ratio", -F.col("ord"))).alias("best")).where("NOT variant")
