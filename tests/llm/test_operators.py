@@ -214,28 +214,81 @@ def test_line_dedup_of_all_lines_with_a_word(spark, tmp_path):
     assert {r.size for r in line_dedup.line_table(named.where("doc = 2"), 1).collect()} == {40}
 
 
-def test_line_groups_equal_all_pairs(spark):
-    """The links are those that SimHash distance and edit similarity give over all pairs of lines."""
-    rng = random.Random(8)
-    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 12))) for _ in range(rng.randrange(20, 90))) for _ in range(25)]
-    lines = []
-    for _ in range(220):
-        w = rng.choice(base).split()
-        w[rng.randrange(len(w))] = rng.choice(["ab", "cd", w[0]])
+def _near_lines(rng, n, least, most):
+    """Base lines, and copies with up to a tenth of their words changed, put in or left out."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 11)))
+    base = [[word() for _ in range(rng.randrange(least, most))] for _ in range(n // 5)]
+    lines = [" ".join(w) for w in base]
+    while len(lines) < n:
+        w = list(rng.choice(base))
+        for _ in range(max(1, rng.randrange(len(w) // 10 + 1))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[word()], [word()], [w[at], word()], []])
         lines.append(" ".join(w))
+    return lines
+
+
+def _blocks_of(lines):
+    data, offsets = np.frombuffer("\n".join(lines).encode(), np.uint8), np.array([0, len("\n".join(lines).encode())])
+    found, first, _, _ = line_dedup._lines(data, offsets)
+    _, _, h, count = line_dedup._nodes(found, first)
+    h, letters, line = line_dedup._features(found, h, np.repeat(np.arange(len(first)), count))
+    of, block = line_dedup.blocks(h, letters, line, len(first))
+    out = [set() for _ in lines]
+    for i, x in zip(of, block, strict=True):
+        out[i].add(int(x))
+    return out
+
+
+@pytest.mark.parametrize("least,most", [(4, 8), (8, 13), (13, 24), (24, 60), (60, 150), (150, 400)])
+def test_line_blocks_reach_near_copies(least, most):
+    """Of all pairs of lines with an edit similarity of 0.8 or more, nine of ten share a block, in each class of length."""
+    lines = sorted({x for x in _near_lines(random.Random(least), 150, least, most) if len(x) >= line_dedup.LEAST_SIZE})
+    held = _blocks_of(lines)
+    near = [(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.edit_distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b]))]
+    assert len(near) > 80 and sum(bool(held[a] & held[b]) for a, b in near) >= 0.9 * len(near)
+
+
+def test_line_blocks_hold_one_changed_word():
+    rng = random.Random(20)
+    for n in (4, 5, 7, 9, 12, 40, 100, 250):
+        for _ in range(20):
+            w = ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(n)]
+            other = [*w]
+            other[rng.randrange(n)] = "other"
+            a, b, again = _blocks_of([" ".join(w), " ".join(other), " ".join(reversed(w))])
+            assert a & b and a == again
+    text = "".join(chr(0x4E00 + i * 7) for i in range(60))
+    a, b = _blocks_of([text, text[:30] + "一" + text[31:]])
+    assert a & b
+
+
+def test_line_groups_equal_all_pairs(spark, monkeypatch):
+    """The groups are those that a shared block and the edit similarity give over all pairs of lines, hot blocks too."""
+    monkeypatch.setattr(components, "LOOK", 1)
+    rng = random.Random(8)
+    lines = _near_lines(rng, 160, 5, 70) + ["the same words all over " * 3 + f"and x{chr(97 + i)}" for i in range(26)] + ["short", "short", "two words", "x " * 3000]
     docs = spark.createDataFrame([(i, x, 0, 0) for i, x in enumerate(lines)], DOCS)
     named = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("print"), F.col("text").alias("body"))
-    table, keepers = line_dedup.groups(named)
-    rows = {r.doc: r for r in table.collect()}
+    table, keepers = line_dedup.groups(named, least_words=1)
+    node = {r.doc: r.node for r in table.collect()}
     first = {}
     for i, x in enumerate(lines):
         first.setdefault(x, i)
+    held = _blocks_of([x if len(x) >= line_dedup.LEAST_SIZE else "x" for x in lines])
     near = lambda a, b: line_dedup.edit_distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b]))
     distinct = sorted(first.values())
-    links = [(a, b) for a in distinct for b in distinct if a < b and ((rows[a].sim ^ rows[b].sim) & (2**64 - 1)).bit_count() <= line_dedup.DISTANCE and near(a, b)]
+    links = [(a, b) for a in distinct for b in distinct if a < b and held[a] & held[b] and near(a, b)]
     want = groups(range(len(lines)), links + [(first[x], i) for i, x in enumerate(lines) if first[x] != i])
     by_node = {r.node: r.keeper.doc for r in keepers.collect()}
-    assert len(links) > 50 and {i: by_node.get(rows[i].node, i) for i in rows} == want
+    assert len(links) > 50 and {i: by_node.get(node[i], i) for i in node} == want
+
+
+def test_line_dedup_clashing_names(spark):
+    rows = [(1, "a b c\nd e f", 5, 6, 7, 8), (2, "a b c", 1, 2, 3, 4), (2, "a b c", 1, 2, 3, 4), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines int, removed int, split int, gone int")
+    got = sorted(line_dedup.dedup(docs).collect(), key=lambda r: r.doc_id or 0)
+    assert [(r.lines_, r.removed_, r.text, r.lines, r.removed, r.split, r.gone) for r in got] == [(0, 0, None, None, None, None, None), (2, 0, "a b c\nd e f", 5, 6, 7, 8), (1, 1, "", 1, 2, 3, 4), (1, 1, "", 1, 2, 3, 4)]
 
 
 def test_license_scan(spark):
@@ -331,6 +384,13 @@ def test_viterbi_equals_all_paths():
         assert value(label[a:b], scores[a:b]) == pytest.approx(best, abs=1e-4)
 
 
+def test_viterbi_of_many_languages():
+    scores = np.full((400, 200), -9, np.float32)
+    want = np.repeat(np.arange(200), 2)
+    scores[np.arange(400), want] = 0
+    assert (language_id.viterbi(scores, np.array([0, 400]), 1.0) == want).all()
+
+
 def test_quality(spark):
     rng = random.Random(13)
     good = lambda: ". ".join(" ".join(rng.choice(["the", "river", "of", "stones", "was", "calm", "and", "wide"]) for _ in range(9)).capitalize() for _ in range(rng.randrange(2, 9)))

@@ -31,7 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         discard(last, hung)
         now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
-            return state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            found = written(state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+            discard(state)
+            return found
         before = now
 
 
@@ -71,14 +73,43 @@ def leader_pairs(shared: DataFrame, near: Column) -> DataFrame:
     return shared.alias("x").join(large.alias("y"), (left("sig") == right("sig")) & (left("node") != right("node")) & near).select(*pair()).distinct()
 
 
-def open_pairs(shared: DataFrame, links: DataFrame, near: Column) -> DataFrame:
+#: Nodes of which one in so many is looked at to find the buckets that stand out, and how many of those are treated apart.
+LOOK, HOT = 64, 1000
+
+
+def meetings(rows: DataFrame, *carried: str) -> DataFrame:
+    """Of rows (sig, node, …), one for each pair of both: those whose bucket holds several nodes, with its least node as leader
+    and that node's ``carried`` columns as leader_….
+
+    A bucket is gathered by a window over its signature. The few hundred that a look at some of the
+    nodes shows as large never are: their least node comes from partial aggregates, their
+    rows stay where they are. That changes where rows are worked on, not which come out.
+    """
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(LOOK)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many >= 16").orderBy(F.desc("many"), "sig").limit(HOT)
+    hot = [r.sig for r in some.select("sig").collect()]
+    least, columns = F.struct("node", *carried), ["sig", "node", *carried]
+    told = [F.col("least.node").alias("leader"), *[F.col(f"least.{c}").alias(f"leader_{c}") for c in carried]]
+    whole = Window.partitionBy("sig")
+    if not hot:
+        alone, large = rows, None
+    else:
+        large_sigs = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], "sig long"))
+        alone = rows.join(large_sigs, "sig", "left_anti")
+        large = rows.join(large_sigs, "sig")
+        large = large.join(F.broadcast(large.groupBy("sig").agg(F.min(least).alias("least"))), "sig").select(*columns, *told)
+    met = alone.withColumn("least", F.min(least).over(whole)).withColumn("most", F.max("node").over(whole)).where("least.node != most").select(*columns, *told)
+    return written(met if large is None else met.unionByName(large), "meetings")
+
+
+def open_pairs(shared: DataFrame, links: DataFrame, near: Column, owned: DataFrame | None = None) -> DataFrame:
     """Bucket rows (aliases x and y) of nodes that ``links`` do not connect yet; a bucket of one component is left out.
 
-    Leaders only save work: these pairs cover whatever they miss. ``shared`` is deleted.
+    Leaders only save work: these pairs cover whatever they miss. The table behind ``shared`` (or ``owned``) is deleted.
     """
-    group = written(components(links).withColumnRenamed("component", "group"), "groups")
+    found = components(links)
+    group = found.withColumnRenamed("component", "group")
     rows = shared.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
     mixed = rows.groupBy("sig").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("sig")
     rows, (left, right) = written(rows.join(mixed, "sig", "left_semi"), "open"), sides()
-    discard(shared)
+    discard(shared if owned is None else owned, found)
     return rows.alias("x").join(rows.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import LONG, TEXT, chunks, fields, written
-from .components import buckets, components, leader_pairs, open_pairs, pair, sides
+from .common import LONG, TEXT, chunks, discard, fields, lists, own_name, written
+from .components import components, meetings, open_pairs, pair, sides
 
 U = np.uint64
 
-#: Bits that the SimHashes of two linked lines may differ in.
-DISTANCE = 3
+#: Characters and features from which a line is compared with lines that are not equal to it.
+LEAST_SIZE, LEAST_FEATURES = 20, 4
 
-#: Blocks of a SimHash; BLOCKS - DISTANCE of them are equal in any two linked lines.
-BLOCKS = 5
+#: Lines of so many features or fewer have a SimHash for each feature left out, and those of TWO_OUT or fewer for each two.
+ONE_OUT, TWO_OUT = 12, 7
+
+#: Features from which a line's are dealt to 4, 8, 16, … classes; those of CLASSES_OVERLAP times a number or more are dealt to both.
+CLASSES_FROM = [8, 24, 64, *(192 << i for i in range(14))]
+CLASSES_OVERLAP = 0.85
+
+#: Letters of the features that a block of a SimHash is made of at least (of 4 classes, of more), each counting up to 15; a
+#: smaller class is joined by those behind it, so that a few very common words are no block.
+LETTERS = (12, 18)
+
+#: Words of more bytes are many features, one for each two characters side by side: text without blanks between words.
+LONG_WORD = 24
 
 #: Words that a line needs to be compared at all, unless the caller says otherwise; op4 and the pipeline compare all lines with a word.
 LEAST_WORDS = 3
@@ -32,10 +42,10 @@ BROADCAST_ROWS = 1_000_000
 #: Removed lines (8 bytes each, and 24 for their document) that are broadcast at most; beyond, all texts are shuffled to them.
 BROADCAST_LINES = 2_000_000
 
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 
-#: Words whose 64 signs are held at a time.
-SIMHASH_WORDS = 1 << 16
+#: Features whose bit counters are held at a time.
+SIMHASH_FEATURES = 1 << 16
 
 _ONE_DIGIT = np.arange(256, dtype=np.uint8)
 _ONE_DIGIT[48:58] = 48
@@ -59,36 +69,132 @@ _COUNTERS = ((np.arange(256)[:, None, None] >> np.arange(8).reshape(2, 4)) & 1).
 _COUNTERS = (_COUNTERS << (U(16) * np.arange(4, dtype=U))).sum(axis=2, dtype=U)
 
 
-def _sums(h: np.ndarray, weight: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Weights of the words that have each of the 64 bits, by line."""
-    mixed = W.mix(h).view(np.uint8).reshape(-1, 8)
-    if int(np.add.reduceat(weight, at).max()) < 1 << 16:
-        counters = (_COUNTERS[mixed] * weight.astype(U)[:, None, None]).reshape(-1, 16)
-        return np.add.reduceat(counters, at, axis=0).view(np.uint16).astype(np.int64)
-    return np.add.reduceat(np.unpackbits(mixed, axis=1, bitorder="little") * weight.astype(np.int32)[:, None], at, axis=0)
-
-
-def simhash(h: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64 sums of signs over each line's words, a word counting by its length."""
-    out = np.zeros(len(first), U)
-    a = 0
-    while a < len(first):
-        b = max(a + 1, int(np.searchsorted(first, first[a] + SIMHASH_WORDS, "right")) - 1)
-        b = len(first) if len(h) - first[a] <= SIMHASH_WORDS else b
-        begin, end = first[a], first[b] if b < len(first) else len(h)
-        w, at = weight[begin:end].astype(np.int64), first[a:b] - begin
-        out[a:b] = np.packbits(2 * _sums(h[begin:end], w, at) > np.add.reduceat(w, at)[:, None], axis=1, bitorder="little").view(U)[:, 0]
+def _counters(h: np.ndarray) -> np.ndarray:
+    """64 counters of 16 bits for each hash, packed in 16 numbers."""
+    return _COUNTERS[W.mix(h).view(np.uint8).reshape(-1, 8)].reshape(-1, 16)
+
+
+def _signs(sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """SimHashes: the bits that more than half of the features have."""
+    return np.packbits(2 * sums > count[:, None], axis=1, bitorder="little").view(U)[:, 0]
+
+
+def _tagged(sim: np.ndarray, levels: int, which: np.ndarray, count: np.ndarray) -> np.ndarray:
+    tag = (U(levels) << U(48)) | (which.astype(U) << U(24)) | count.astype(U)
+    return W.mix(sim ^ W.mix(tag))
+
+
+def _left_out(key: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, block) of short lines: the SimHash of all features, and of all but each one, and each two where three stay."""
+    line = np.repeat(np.arange(len(first)), count)
+    bits = np.unpackbits(W.mix(key).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
+    sums = np.add.reduceat(bits, first, axis=0)
+    zeros = lambda n: np.zeros(len(n), np.int64)
+    of, out = [np.arange(len(first)), line], [_tagged(_signs(sums, count), 0, zeros(count), count), _tagged(_signs(sums[line] - bits, count[line] - 1), 0, zeros(line), count[line] - 1)]
+    for n in range(5, TWO_OUT + 1):
+        mine = np.flatnonzero(count == n)
+        i, j = np.triu_indices(n, 1)
+        its = np.repeat(mine, len(i))
+        left = sums[its] - bits[(first[mine][:, None] + i).ravel()] - bits[(first[mine][:, None] + j).ravel()]
+        of.append(its)
+        out.append(_tagged(_signs(left, count[its] - 2), 0, zeros(its), count[its] - 2))
+    return np.concatenate(of), np.concatenate(out)
+
+
+def _by_class(key: np.ndarray, first: np.ndarray, count: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, block): the SimHash of each of 2^level classes of features, a class of too few joined by those behind it."""
+    classes = 1 << level
+    line = np.repeat(np.arange(len(first)), count)
+    cell = line * classes + ((key >> U(44 - level)) & U(classes - 1)).astype(np.int64)
+    head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sums = np.zeros((len(first) * classes, 64), np.uint16)
+    sums[cell[head]] = np.add.reduceat(_counters(key), head, axis=0).view(np.uint16).reshape(-1, 64)
+    size = np.bincount(cell, minlength=len(sums)).astype(np.uint16)
+    letters = np.bincount(cell, (key & U(15)).astype(np.float64), minlength=len(sums))
+    own, least = np.arange(len(sums)), LETTERS[level > 2]
+    few = np.flatnonzero(letters < least)
+    all_sums, all_size, all_letters = sums.copy(), size.copy(), letters.copy()
+    for step in range(1, classes):
+        if not len(few):
+            break
+        behind = few - few % classes + (few % classes + step) % classes
+        all_sums[few] += sums[behind]
+        all_size[few] += size[behind]
+        all_letters[few] += letters[behind]
+        few = few[all_letters[few] < least]
+    return own // classes, _tagged(_signs(all_sums, all_size), level, own % classes, all_size)
+
+
+def blocks(h: np.ndarray, letters: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pigeonhole blocks of the lines' SimHashes: (line, block), ordered by line, for features ``h`` of so many ``letters``, of ascending ``line``.
+
+    The features of a line are dealt to 4 or more classes by their hash, and every class has a
+    SimHash of its own. A changed word changes two classes at most, so two lines that differ in
+    fewer words than half their classes share a block. Lines of a few features share one
+    if one of them (of seven or fewer: two) was changed, put in or left out. The n-th
+    occurrence of a feature in a line is another feature than the first.
+    """
+    counts = np.bincount(line, minlength=lines)
+    ends = np.cumsum(counts)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, U))]
+    a, low = 0, U((1 << 44) - 1)
+    while a < lines:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SIMHASH_FEATURES, "right")))
+        begin, end = (ends[a - 1] if a else 0), ends[b - 1]
+        key = ((line[begin:end] - a).astype(U) << U(44)) | ((h[begin:end] >> U(24)) << U(4)) | np.minimum(letters[begin:end], 15).astype(U)
+        key.sort()
+        again = np.concatenate([[False], key[1:] == key[:-1]])
+        if again.any():
+            place = np.arange(len(key))
+            nth = (place - np.maximum.accumulate(np.where(again, 0, place)))[again].astype(U)
+            key[again] = (key[again] & ~low) | ((W.mix((key[again] & low) ^ W.mix(nth)) >> U(24)) << U(4)) | (key[again] & U(15))
+            key.sort()
+        count = counts[a:b]
+        first = np.cumsum(count) - count
+        low_level, high_level = (np.searchsorted(CLASSES_FROM, x, "right") + 1 for x in (count, count / CLASSES_OVERLAP))
+        some = [(np.flatnonzero((count >= LEAST_FEATURES) & (count <= ONE_OUT)), 0)]
+        some += [(np.flatnonzero((low_level == x) | (high_level == x)), x) for x in range(2, int(high_level.max(initial=0)) + 1)]
+        for which, level in some:
+            if not len(which):
+                continue
+            at = np.arange(int(count[which].sum())) + np.repeat(first[which] - np.concatenate([[0], np.cumsum(count[which])[:-1]]), count[which])
+            mine, its_first = key[at] & low, np.concatenate([[0], np.cumsum(count[which])[:-1]])
+            of, block = _by_class(mine, its_first, count[which], level) if level else _left_out(mine, its_first, count[which])
+            out.append((which[of] + a, block))
         a = b
-    return out
-
-
-def _nodes(found: W.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line: a hash of its words in order, their word hashes, and the number of words."""
+    of, block = (np.concatenate(x) for x in zip(*out, strict=True))
+    by = np.argsort(of, kind="stable")
+    return of[by], block[by]
+
+
+def _features(found: W.Words, h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, letters, line) of each word, and of each two characters of words beyond LONG_WORD bytes."""
+    wide = found.end - found.start > LONG_WORD
+    if not wide.any():
+        return h, found.end - found.start, line
+    begins = np.flatnonzero((found.data & 0xC0) != 0x80)
+    a, b = np.searchsorted(begins, found.start[wide]), np.searchsorted(begins, found.end[wide])
+    many = np.maximum(b - a - 1, 1)
+    at = np.arange(int(many.sum())) + np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+    last = np.minimum(at + 2, np.repeat(b, many))
+    ends = np.append(begins, len(found.data))[last]
+    ends = np.minimum(ends, np.repeat(found.end[wide], many))
+    value = np.concatenate([h[~wide], W.hashes(found.data, begins[at], ends)])
+    letters = np.concatenate([(found.end - found.start)[~wide], ends - begins[at]])
+    owner = np.concatenate([line[~wide], np.repeat(line[wide], many)])
+    by = np.argsort(owner, kind="stable")
+    return value[by], letters[by], owner[by]
+
+
+def _nodes(found: W.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line: a hash of its words in order and a second one, their word hashes, and the number of words."""
     h = W.hashes(found.data, found.start, found.end)
     count = np.diff(np.append(first, len(h)))
     place = np.arange(len(h)) - np.repeat(first, count)
-    total = np.add.reduceat(W.mix(h ^ W.mix(place.astype(U) + U(1))), first) if len(first) else np.zeros(0, U)
-    return W.mix(total + count.astype(U)).view(np.int64), h, count
+    value = W.mix(h ^ W.mix(place.astype(U) + U(1)))
+    total = np.add.reduceat(value, first) if len(first) else np.zeros(0, U)
+    other = np.add.reduceat(W.mix(value + U(0x632BE59BD9B4E019)), first) if len(first) else np.zeros(0, U)
+    return W.mix(total + count.astype(U)).view(np.int64), W.mix(other).view(np.int64), h, count
 
 
 def _sizes(found: W.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -99,31 +205,44 @@ def _sizes(found: W.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Of docs (doc, print, body): one row per line that is compared (doc, print, line, node, sim, size in characters)."""
-    schema = T.StructType([docs.schema["doc"], *fields(print=LONG, line=LONG, node=LONG, sim=LONG, size=LONG)])
+    """Of docs (doc, print, body): one row per line that is compared (doc, print, line, node, check, size in characters, blocks).
+
+    ``blocks`` is filled at the first of equal lines of a batch, and empty if the line is too
+    short to be compared with others than its equals. Null keys go through; a null body has no line.
+    """
+    schema = T.StructType([docs.schema["doc"], *fields(print=LONG, line=LONG, node=LONG, check=LONG, size=T.IntegerType(), blocks=T.ArrayType(LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches, "body", CHUNK):
             found, first, row, line = _lines(data, offsets)
-            node, h, count = _nodes(found, first)
-            length = found.end - found.start
-            some = np.flatnonzero(count >= least_words)
-            sim = simhash(h, np.minimum(length, 16), first)
+            node, check, h, count = _nodes(found, first)
             size = _sizes(found, first, count)
+            some = np.flatnonzero(count >= least_words)
+            fresh = np.zeros(len(first), bool)
+            fresh[some[np.unique(node[some], return_index=True)[1]]] = True
+            fresh &= size >= LEAST_SIZE
+            number = np.cumsum(fresh) - 1
+            its_line = np.repeat(np.arange(len(first)), count)
+            h, letters, its_line = _features(found, h, its_line)
+            used = fresh[its_line]
+            of, block = blocks(h[used], letters[used], number[its_line[used]], int(fresh.sum()))
+            many = np.zeros(len(first), np.int64)
+            many[fresh] = np.bincount(of, minlength=int(fresh.sum()))
             at = pa.array(row[some])
-            columns = [batch.column("doc").take(at), batch.column("print").take(at), *(pa.array(x[some].astype(np.int64)) for x in (line, node)), pa.array(sim[some].view(np.int64)), pa.array(size[some].astype(np.int64))]
+            columns = [batch.column("doc").take(at), batch.column("print").take(at), *(pa.array(x[some].astype(np.int64)) for x in (line, node, check)), pa.array(size[some].astype(np.int32)), lists(pa.array(block.view(np.int64)), many[some])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _line_texts(docs: DataFrame, least_words: int) -> DataFrame:
+    """(node, body) of every compared line of docs (body): its words with one blank between. A null body has no line."""
     schema = T.StructType(fields(node=LONG, body=TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in chunks(batches, "body", CHUNK):
             found, first, _, _ = _lines(data, offsets)
-            node, _, count = _nodes(found, first)
+            node, _, _, count = _nodes(found, first)
             flat = np.where(W.ALNUM[found.data], found.data, 32).astype(np.uint8).tobytes()
             some = np.flatnonzero(count >= least_words)
             texts = [b" ".join(flat[found.start[first[i]] : found.end[first[i] + count[i] - 1]].split()).decode() for i in some]
@@ -132,8 +251,12 @@ def _line_texts(docs: DataFrame, least_words: int) -> DataFrame:
     return docs.select("body").mapInArrow(run, schema)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: what both begin or end with goes, then one bit-parallel column per character."""
+def edit_distance(a: str, b: str, enough: float = 0) -> float:
+    """Levenshtein distance: what both begin or end with goes, then one bit-parallel column per character.
+
+    Where what is left has no more than ``enough`` characters on either side, that length is
+    returned, which the distance does not exceed.
+    """
     start, most = 0, min(len(a), len(b))
     while start < most and a[start] == b[start]:
         start += 1
@@ -141,8 +264,8 @@ def edit_distance(a: str, b: str) -> int:
     while end < most - start and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a or not b:
-        return len(a) + len(b)
+    if not a or not b or max(len(a), len(b)) <= enough:
+        return max(len(a), len(b))
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -167,70 +290,80 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print")), "node"), "wanted")
     few = (lambda df: F.broadcast(df)) if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
     held = docs.join(few(wanted.select("its_doc", "its_print").distinct()), F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("print") == F.col("its_print")), "left_semi")
-    texts = written(_line_texts(held, least_words).join(few(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
+    texts = written(_line_texts(held, least_words).join(few(wanted.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
     side = lambda name: texts.select(F.col("node").alias(name), F.col("body").alias(f"text_{name}"))
     schema = T.StructType(fields(a=LONG, b=LONG))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [edit_distance(x, y) <= (1 - similarity) * max(len(x), len(y)) + 1e-9 for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
+            near = []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                most = (1 - similarity) * max(len(x), len(y)) + 1e-9
+                near.append(abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
+    links = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
+    discard(pairs, wanted, texts)
+    return links
 
 
-def _block_keys() -> F.Column:
-    """A key for each choice of BLOCKS - DISTANCE blocks: the choice and those blocks' bits."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    keys = []
-    for nth, chosen in enumerate(itertools.combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        key = F.lit(nth).cast("long")
-        for block in chosen:
-            width = edges[block + 1] - edges[block]
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("sim", edges[block]).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
-    return F.explode(F.array(*keys))
+def line_links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Links (a, b) that connect all lines which share a block and have the edit similarity.
+
+    First every line is tried against one other, the least of those it shares a block with;
+    then all pairs of a block that are not connected yet.
+    """
+    left, right = sides()
+    sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    met = meetings(nodes.select(F.explode("blocks").alias("sig"), "node", "size"), "size")
+    led = met.where((F.col("node") != F.col("leader")) & sizes(F.col("size"), F.col("leader_size")))
+    links = _verified(docs, nodes, led.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), similarity, least_words)
+    more = open_pairs(met.select("sig", "node", "size"), links, sizes(left("size"), right("size")), owned=met)
+    return links.unionByName(_verified(docs, nodes, more.select(*pair()).distinct(), similarity, least_words))
 
 
 def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc, print, body): the compared lines, and (node, keeper) of lines that stand in several places.
+    """Of docs (doc, print, body): the compared lines, and (node, check, keeper) of lines that stand in several places.
 
     The keeper is the place (doc, print, line) that stays: the first of the connected group.
-    Equal lines share a node. A line too short for a single edit within ``similarity`` has no near copy but an equal one.
+    Equal lines share a node; a second hash keeps unlike lines apart whose node is the same by chance.
     """
     lines = written(line_table(docs, least_words), "lines")
     place = F.struct("doc", "print", "line")
-    nodes = written(lines.groupBy("node").agg(F.min("sim").alias("sim"), F.min("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places")), "nodes")
-    left, right = sides()
-    near = (F.bit_count(left("sim").bitwiseXOR(right("sim"))) <= DISTANCE) & (F.least(left("size"), right("size")) >= similarity * F.greatest(left("size"), right("size")) - 1e-9)
-    shared = buckets(nodes.where((1 - similarity) * F.col("size") + 1e-9 >= 1).select(_block_keys().alias("sig"), "node", "sim", "size"))
-    verified = lambda pairs: _verified(docs, nodes, pairs, similarity, least_words)
-    links = verified(leader_pairs(shared, near))
-    links = links.unionByName(verified(open_pairs(shared, links, near).select(*pair()).distinct()))
-    grouped = nodes.join(components(links), "node", "left")
+    nodes = written(lines.groupBy("node", "check").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places"), F.max("blocks").alias("blocks")), "nodes")
+    links = line_links(docs, nodes, similarity, least_words)
+    linked = components(links)
+    grouped = nodes.select("node", "check", "first", "places").join(linked, "node", "left")
     first = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("keeper"))
     many = grouped.join(first, "component", "left").where((F.col("places") > 1) | F.col("keeper").isNotNull())
-    return lines, written(many.select("node", F.coalesce("keeper", "first").alias("keeper")), "keepers")
+    keepers = written(many.select("node", "check", F.coalesce("keeper", "first").alias("keeper")), "keepers")
+    discard(nodes, linked)
+    return lines, keepers
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the lines gone of which an earlier occurrence stays, and columns lines and removed in front.
+    """``docs`` with the lines gone of which an earlier occurrence stays, and columns lines and removed in front
+    (with underscores behind the name where ``docs`` has such a column).
 
     Lines are compared as lower-cased words with every digit 0; lines of fewer than
-    ``least_words`` words always stay, and lines without a word in any case. Two lines link when their SimHashes differ in at most
-    DISTANCE bits and their edit similarity reaches ``similarity``; of each connected group the
+    ``least_words`` words always stay, and lines without a word in any case. Two lines link when they
+    share a block of their SimHashes (``blocks``) and their edit similarity reaches ``similarity``; lines of fewer than
+    LEAST_SIZE characters or LEAST_FEATURES features link with equal ones only. Of each connected group the
     first occurrence by key, text hash and line stays. A null key comes first; rows that
     repeat key and text count as one and lose the same lines. Null texts stay null.
     """
+    n_lines, n_removed = own_name(docs, "lines"), own_name(docs, "removed")
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("print"), F.col(f"`{text}`").cast("string").alias("body"))
     lines, keepers = groups(named.select("doc", "print", "body"), similarity, least_words)
-    again = lines.join(keepers, "node").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
-    gone = again.groupBy(F.col("doc").alias("gone_doc"), F.col("print").alias("gone_print")).agg(F.collect_set("line").alias("gone"))
-    gone = written(gone, "gone")
+    again = lines.select("doc", "print", "line", "node", "check").join(keepers, ["node", "check"]).where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
+    gone = written(again.groupBy(F.col("doc").alias("gone_doc"), F.col("print").alias("gone_print")).agg(F.collect_set("line").alias("gone")), "gone")
+    discard(lines, keepers)
     if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     joined = named.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("print") == F.col("gone_print")), "left")
-    split = F.split("body", "\n", -1)
-    rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i.cast("long"))), "\n")
+    joined = joined.withColumn("split", F.split("body", "\n", -1))
+    # by a hash set, not by a search for each line
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("split").cast("long") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get("split", i.cast("int"))), "\n")
     kept = [F.when(F.col("gone").isNull(), F.col("body")).otherwise(rest).alias(c) if c == text else F.col(f"kept.`{c}`") for c in docs.columns]
-    return joined.select(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed"), *kept)
+    return joined.select(F.coalesce(F.size("split"), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed), *kept)
