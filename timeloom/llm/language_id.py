@@ -143,11 +143,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     counts = np.diff(first)
     by = np.argsort(-counts, kind="stable")
     starts, sizes = first[:-1][by], counts[by]
-    label = np.zeros(len(scores), np.int8)
+    label = np.zeros(len(scores), np.int16)
     if not len(scores):
         return label
     active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")
-    came = np.zeros(scores.shape, np.int8)
+    came = np.zeros(scores.shape, np.int16)
     value = np.zeros((active[0], scores.shape[1]), np.float32)
     for t, n in enumerate(active):
         value = value[:n]
@@ -155,7 +155,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
         if t:
             best = value.argmax(axis=1)
             top = value[np.arange(n), best][:, None] - np.float32(penalty)
-            came[at] = np.where(value >= top, np.arange(scores.shape[1], dtype=np.int8), best[:, None])
+            came[at] = np.where(value >= top, np.arange(scores.shape[1], dtype=np.int16), best[:, None])
             value = np.maximum(value, top)
         value = value + scores[at]
         over = np.arange(active[t + 1] if t + 1 < len(active) else 0, n)
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
                 seen, seen_scores, seen_letters = np.concatenate([seen, distinct[~old]]), np.concatenate([seen_scores, score[~old]]), np.concatenate([seen_letters, letters[~old]])
                 by = np.argsort(seen)
                 seen, seen_scores, seen_letters = seen[by], seen_scores[by], seen_letters[by]
-            label = viterbi(score[which], found.first, penalty) if k else np.zeros(len(which), np.int8)
+            label = viterbi(score[which], found.first, penalty) if k else np.zeros(len(which), np.int16)
             row, size = found.row, (found.end - found.start) * letters[which]
             mass = np.bincount(row * max(k, 1) + label, size, minlength=batch.num_rows * max(k, 1)).reshape(batch.num_rows, -1)
             total = mass.sum(axis=1)
