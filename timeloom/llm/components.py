@@ -101,15 +101,64 @@ def meetings(rows: DataFrame, *carried: str) -> DataFrame:
     return written(met if large is None else met.unionByName(large), "meetings")
 
 
-def open_pairs(shared: DataFrame, links: DataFrame, near: Column, owned: DataFrame | None = None) -> DataFrame:
+#: Times that groups are tried against one other group in each bucket before all pairs of a bucket are.
+ROUNDS = 3
+
+
+def _mixed(rows: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
+    """The bucket rows with the group of their node, without buckets of one group."""
+    rows = rows.select("sig", "node", *columns).join(groups, "node")
+    mixed = rows.groupBy("sig").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("sig")
+    return written(rows.join(mixed, "sig", "left_semi"), "open")
+
+
+def connected(shared: DataFrame, nodes: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame], near: Column, columns: list[str], rounds: int = ROUNDS) -> DataFrame:
+    """(node, group) of ``nodes``: what the links reach that ``verified`` finds among all pairs (a, b) of a bucket.
+
+    ``shared`` has the bucket rows (sig, node and ``columns``), ``near`` is what aliases x and y of two of them must fulfil, and
+    ``links`` is known before; it is deleted. Whatever is connected needs no further pair. So in each of ``rounds``
+    one node of every group is tried against one of the bucket's first group, another in each
+    round, and one pair of two groups at a time; then all pairs of nodes that are still apart.
+    """
+    left, right = sides()
+    found = components(links)
+    groups = written(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "groups")
+    discard(found, links)
+    rows = shared
+    for turn in range(rounds + 1):
+        last, rows = rows, _mixed(rows, groups, columns)
+        if last is not shared:
+            discard(last)
+        if turn < rounds:
+            mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *columns)
+            reps = rows.groupBy("sig", "group").agg(F.min(mine).alias("rep")).select("sig", "group", "rep.*")
+            first = reps.groupBy("sig").agg(F.min(F.struct("h", "node", *columns, "group")).alias("rep")).select("sig", "rep.*")
+            met = reps.alias("x").join(first.alias("y"), (left("sig") == right("sig")) & (left("group") != right("group")) & near)
+            both = F.struct(F.xxhash64(left("node"), right("node"), F.lit(turn)).alias("h"), *pair())
+            of = [F.least(left("group"), right("group")).alias("g"), F.greatest(left("group"), right("group")).alias("k")]
+            pairs = met.groupBy(*of).agg(F.min(both).alias("p")).select("p.a", "p.b")
+        else:
+            met = rows.alias("x").join(rows.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)
+            pairs = met.select(*pair()).distinct()
+        pairs = written(pairs, "pairs")
+        links = verified(pairs)
+        ends = [groups.select(F.col("node").alias(c), F.col("group").alias(f"group_{c}")) for c in "ab"]
+        found = components(links.join(ends[0], "a").join(ends[1], "b"), "group_a", "group_b")
+        last, groups = groups, written(groups.join(found.select(F.col("node").alias("group"), "component"), "group", "left").select("node", F.coalesce("component", "group").alias("group")), "groups")
+        discard(last, found, links, pairs)
+    discard(rows)
+    return groups
+
+
+def open_pairs(shared: DataFrame, links: DataFrame, near: Column) -> DataFrame:
     """Bucket rows (aliases x and y) of nodes that ``links`` do not connect yet; a bucket of one component is left out.
 
-    Leaders only save work: these pairs cover whatever they miss. The table behind ``shared`` (or ``owned``) is deleted.
+    Leaders only save work: these pairs cover whatever they miss. ``shared`` is deleted.
     """
     found = components(links)
     group = found.withColumnRenamed("component", "group")
     rows = shared.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
     mixed = rows.groupBy("sig").agg((F.min("group") != F.max("group")).alias("mixed")).where("mixed").select("sig")
     rows, (left, right) = written(rows.join(mixed, "sig", "left_semi"), "open"), sides()
-    discard(shared if owned is None else owned, found)
+    discard(shared, found)
     return rows.alias("x").join(rows.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, TEXT, chunks, discard, fields, lists, own_name, written
-from .components import components, meetings, open_pairs, pair, sides
+from .components import connected, meetings, sides
 
 U = np.uint64
 
@@ -24,7 +24,7 @@ ONE_OUT, TWO_OUT = 12, 7
 
 #: Features from which a line's are dealt to 4, 8, 16, … classes; those of CLASSES_OVERLAP times a number or more are dealt to both.
 CLASSES_FROM = [8, 24, 64, *(192 << i for i in range(14))]
-CLASSES_OVERLAP = 0.85
+CLASSES_OVERLAP = 0.93
 
 #: Letters of the features that a block of a SimHash is made of at least (of 4 classes, of more), each counting up to 15; a
 #: smaller class is joined by those behind it, so that a few very common words are no block.
@@ -44,8 +44,8 @@ BROADCAST_LINES = 2_000_000
 
 CHUNK = 3_000_000
 
-#: Features whose bit counters are held at a time.
-SIMHASH_FEATURES = 1 << 16
+#: Features of lines that are worked on at a time.
+SIMHASH_FEATURES = 1 << 18
 
 _ONE_DIGIT = np.arange(256, dtype=np.uint8)
 _ONE_DIGIT[48:58] = 48
@@ -64,19 +64,46 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[W.Words, np.ndarray,
     return found, first, row[first], line[first]
 
 
-#: The bits of a byte as counters of 16 bits each, four to a number.
-_COUNTERS = ((np.arange(256)[:, None, None] >> np.arange(8).reshape(2, 4)) & 1).astype(U)
-_COUNTERS = (_COUNTERS << (U(16) * np.arange(4, dtype=U))).sum(axis=2, dtype=U)
+def _bit_sums(bits: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many numbers of each run (head, size) have each of the 64 bits: plane j holds bit j of all 64 sums."""
+    by = np.argsort(-size, kind="stable")
+    head, size = head[by], size[by]
+    most = int(size[0]) if len(size) else 0
+    planes = np.zeros((max(1, most.bit_length()), len(size)), U)
+    live = np.searchsorted(-size, -np.arange(1, most + 1), "right")
+    for k, n in enumerate(live):
+        carry = bits[head[:n] + k]
+        for plane in planes[: (k + 1).bit_length()]:
+            plane[:n], carry = plane[:n] ^ carry, plane[:n] & carry
+    out = np.empty_like(planes)
+    out[:, by] = planes
+    return out
 
 
-def _counters(h: np.ndarray) -> np.ndarray:
-    """64 counters of 16 bits for each hash, packed in 16 numbers."""
-    return _COUNTERS[W.mix(h).view(np.uint8).reshape(-1, 8)].reshape(-1, 16)
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out, carry = np.zeros((max(len(a), len(b)) + 1, a.shape[1]), U), np.zeros(a.shape[1], U)
+    for j in range(len(out)):
+        x, y = (p[j] if j < len(p) else U(0) for p in (a, b))
+        out[j], carry = x ^ y ^ carry, (x & y) | (carry & (x ^ y))
+    return out
 
 
-def _signs(sums: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _minus(a: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    out, borrow = a.copy(), bits
+    for plane in out:
+        plane[:], borrow = plane ^ borrow, ~plane & borrow
+    return out
+
+
+def _signs(planes: np.ndarray, count: np.ndarray) -> np.ndarray:
     """SimHashes: the bits that more than half of the features have."""
-    return np.packbits(2 * sums > count[:, None], axis=1, bitorder="little").view(U)[:, 0]
+    above, level, half = np.zeros(len(count), U), np.full(len(count), ~U(0)), (count // 2).astype(U)
+    for j in reversed(range(max(len(planes), int(half.max(initial=0)).bit_length()))):
+        limit = U(0) - ((half >> U(j)) & U(1))
+        plane = planes[j] if j < len(planes) else U(0)
+        above |= level & plane & ~limit
+        level &= ~(plane ^ limit)
+    return above
 
 
 def _tagged(sim: np.ndarray, levels: int, which: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -87,42 +114,41 @@ def _tagged(sim: np.ndarray, levels: int, which: np.ndarray, count: np.ndarray)
 def _left_out(key: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, block) of short lines: the SimHash of all features, and of all but each one, and each two where three stay."""
     line = np.repeat(np.arange(len(first)), count)
-    bits = np.unpackbits(W.mix(key).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
-    sums = np.add.reduceat(bits, first, axis=0)
-    zeros = lambda n: np.zeros(len(n), np.int64)
-    of, out = [np.arange(len(first)), line], [_tagged(_signs(sums, count), 0, zeros(count), count), _tagged(_signs(sums[line] - bits, count[line] - 1), 0, zeros(line), count[line] - 1)]
+    bits = W.mix(key)
+    sums = _bit_sums(bits, first, count)
+    of, without, many = [np.arange(len(first)), line], [_signs(sums, count), _signs(_minus(sums[:, line], bits), count[line] - 1)], [count, count[line] - 1]
     for n in range(5, TWO_OUT + 1):
         mine = np.flatnonzero(count == n)
         i, j = np.triu_indices(n, 1)
         its = np.repeat(mine, len(i))
-        left = sums[its] - bits[(first[mine][:, None] + i).ravel()] - bits[(first[mine][:, None] + j).ravel()]
+        left = _minus(_minus(sums[:, its], bits[(first[mine][:, None] + i).ravel()]), bits[(first[mine][:, None] + j).ravel()])
         of.append(its)
-        out.append(_tagged(_signs(left, count[its] - 2), 0, zeros(its), count[its] - 2))
-    return np.concatenate(of), np.concatenate(out)
+        without.append(_signs(left, count[its] - 2))
+        many.append(count[its] - 2)
+    of, without, many = np.concatenate(of), np.concatenate(without), np.concatenate(many)
+    return of, _tagged(without, 0, np.zeros(len(of), np.int64), many)
 
 
 def _by_class(key: np.ndarray, first: np.ndarray, count: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, block): the SimHash of each of 2^level classes of features, a class of too few joined by those behind it."""
-    classes = 1 << level
-    line = np.repeat(np.arange(len(first)), count)
-    cell = line * classes + ((key >> U(44 - level)) & U(classes - 1)).astype(np.int64)
-    head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    sums = np.zeros((len(first) * classes, 64), np.uint16)
-    sums[cell[head]] = np.add.reduceat(_counters(key), head, axis=0).view(np.uint16).reshape(-1, 64)
-    size = np.bincount(cell, minlength=len(sums)).astype(np.uint16)
-    letters = np.bincount(cell, (key & U(15)).astype(np.float64), minlength=len(sums))
-    own, least = np.arange(len(sums)), LETTERS[level > 2]
-    few = np.flatnonzero(letters < least)
-    all_sums, all_size, all_letters = sums.copy(), size.copy(), letters.copy()
+    """(line, block): the SimHash of each of 2^level classes of features, a class of too few letters joined by those behind it."""
+    classes, least = 1 << level, LETTERS[level > 2]
+    cell = np.repeat(np.arange(len(first)), count) * classes + ((key >> U(44 - level)) & U(classes - 1)).astype(np.int64)
+    size = np.bincount(cell, minlength=len(first) * classes)
+    letters = np.bincount(cell, (key & U(15)).astype(np.float64), minlength=len(size))
+    sums = _bit_sums(W.mix(key), np.cumsum(size) - size, size)
+    own, sim = np.arange(len(size)), _signs(sums, size)
+    all_size, few = size.copy(), np.flatnonzero(letters < least)
+    some, some_letters = sums[:, few], letters[few]
     for step in range(1, classes):
         if not len(few):
             break
         behind = few - few % classes + (few % classes + step) % classes
-        all_sums[few] += sums[behind]
+        some, some_letters = _plus(some, sums[:, behind]), some_letters + letters[behind]
         all_size[few] += size[behind]
-        all_letters[few] += letters[behind]
-        few = few[all_letters[few] < least]
-    return own // classes, _tagged(_signs(all_sums, all_size), level, own % classes, all_size)
+        sim[few] = _signs(some, all_size[few])
+        more = some_letters < least
+        few, some, some_letters = few[more], some[:, more], some_letters[more]
+    return own // classes, _tagged(sim, level, own % classes, all_size)
 
 
 def blocks(h: np.ndarray, letters: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +217,10 @@ def _nodes(found: W.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     h = W.hashes(found.data, found.start, found.end)
     count = np.diff(np.append(first, len(h)))
     place = np.arange(len(h)) - np.repeat(first, count)
-    value = W.mix(h ^ W.mix(place.astype(U) + U(1)))
+    value = W.mix(h + place.astype(U) * U(0xD6E8FEB86659FD93))
     total = np.add.reduceat(value, first) if len(first) else np.zeros(0, U)
-    other = np.add.reduceat(W.mix(value + U(0x632BE59BD9B4E019)), first) if len(first) else np.zeros(0, U)
-    return W.mix(total + count.astype(U)).view(np.int64), W.mix(other).view(np.int64), h, count
+    other = np.bitwise_xor.reduceat(value, first) if len(first) else np.zeros(0, U)
+    return W.mix(total + count.astype(U)).view(np.int64), other.view(np.int64), h, count
 
 
 def _sizes(found: W.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -235,42 +261,45 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _line_texts(docs: DataFrame, least_words: int) -> DataFrame:
-    """(node, body) of every compared line of docs (body): its words with one blank between. A null body has no line."""
+def _line_texts(docs: DataFrame) -> DataFrame:
+    """Of docs (body, wanted): (node, body) of the wanted lines, their words with one blank between. A null body has no line."""
     schema = T.StructType(fields(node=LONG, body=TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in chunks(batches, "body", CHUNK):
+        for batch, data, offsets in chunks(batches, "body", CHUNK):
             found, first, _, _ = _lines(data, offsets)
             node, _, _, count = _nodes(found, first)
+            some = np.flatnonzero(np.isin(node, batch.column("wanted").flatten().to_numpy(zero_copy_only=False)))
+            some = some[np.unique(node[some], return_index=True)[1]]
             flat = np.where(W.ALNUM[found.data], found.data, 32).astype(np.uint8).tobytes()
-            some = np.flatnonzero(count >= least_words)
             texts = [b" ".join(flat[found.start[first[i]] : found.end[first[i] + count[i] - 1]].split()).decode() for i in some]
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(texts, pa.string())], names=schema.names)
 
-    return docs.select("body").mapInArrow(run, schema)
+    return docs.select("body", "wanted").mapInArrow(run, schema)
 
 
-def edit_distance(a: str, b: str, enough: float = 0) -> float:
-    """Levenshtein distance: what both begin or end with goes, then one bit-parallel column per character.
+def _trimmed(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of both, the shorter first, without what both begin or end with."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in sorted((a, b), key=len))
+    unlike = np.flatnonzero(x != y[: len(x)])
+    start = int(unlike[0]) if len(unlike) else len(x)
+    x, y = x[start:], y[start:]
+    unlike = np.flatnonzero(x[::-1] != y[len(y) - len(x) :][::-1])
+    end = int(unlike[0]) if len(unlike) else len(x)
+    return x[: len(x) - end], y[: len(y) - end]
 
-    Where what is left has no more than ``enough`` characters on either side, that length is
-    returned, which the distance does not exceed.
-    """
-    start, most = 0, min(len(a), len(b))
-    while start < most and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < most - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a or not b or max(len(a), len(b)) <= enough:
-        return max(len(a), len(b))
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
+
+#: Bytes of the tables of character places that distances are computed with at a time.
+PLACES_BYTES = 16_000_000
+
+
+def _one_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Levenshtein distance, bit-parallel: one column of any height per character of ``b``."""
+    places: dict[int, int] = {}
+    for c in np.unique(a).tolist():
+        places[c] = int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little")
     mask, top, up, down, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
-    for c in b:
+    for c in b.tolist():
         same = places.get(c, 0)
         vertical = same | down
         level = (((same & up) + up) ^ up) | same
@@ -281,45 +310,115 @@ def edit_distance(a: str, b: str, enough: float = 0) -> float:
     return distance
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, least_words: int) -> DataFrame:
-    """Pairs of lines whose edit similarity, 1 - distance / longer length, reaches ``similarity``.
+def _columns(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The same of many pairs together, 64 rows to a number: first texts of as many numbers, the longest second text first."""
+    rows, columns = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
+    words, n = -(-int(rows.max()) // 64), len(pairs)
+    letters, code = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
+    place, owner = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows), np.repeat(np.arange(n), rows)
+    places = np.zeros((words, n * (len(letters) + 1)), U)
+    np.bitwise_or.at(places, (place >> 6, owner * (len(letters) + 1) + code), U(1) << (place & 63).astype(U))
+    flat = np.concatenate([y for _, y in pairs])
+    at = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
+    owner = np.repeat(np.arange(n), columns)
+    text = np.zeros((int(columns.max()), n), np.int64)
+    text[np.arange(len(flat)) - np.repeat(np.cumsum(columns) - columns, columns), owner] = owner * (len(letters) + 1) + np.where(letters[at] == flat, at, len(letters))
+    up, down, distance = np.full((words, n), ~U(0)), np.zeros((words, n), U), rows.copy()
+    top, one, high = ((rows - 1) & 63).astype(U), U(1), U(63)
+    live = np.searchsorted(-columns, -np.arange(1, len(text) + 1), "right")
+    for j, m in enumerate(live):
+        at, grow, fall = text[j, :m], np.ones(m, U), np.zeros(m, U)
+        for k in range(words):
+            eq, pv, mv = places[k].take(at), up[k, :m], down[k, :m]
+            vertical = eq | mv
+            eq |= fall
+            level = (((eq & pv) + pv) ^ pv) | eq
+            more, less = mv | ~(level | pv), pv & level
+            if k == words - 1:
+                distance[:m] += ((more >> top[:m]) & one).astype(np.int64) - ((less >> top[:m]) & one).astype(np.int64)
+            more_in, less_in = (more << one) | grow, (less << one) | fall
+            grow, fall = more >> high, less >> high
+            up[k, :m], down[k, :m] = less_in | ~(vertical | more_in), more_in & vertical
+    return distance
+
+
+def edit_distances(a: list[str], b: list[str], enough: np.ndarray | None = None) -> np.ndarray:
+    """Levenshtein distance of each pair.
 
-    Their texts come from the documents that have the first occurrence of one of them.
+    Where no more than ``enough`` characters stand between what both begin and end with, their
+    number is given, which the distance does not exceed; where the lengths differ by more, that.
     """
-    pairs = written(pairs, "pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print")), "node"), "wanted")
-    few = (lambda df: F.broadcast(df)) if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
-    held = docs.join(few(wanted.select("its_doc", "its_print").distinct()), F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("print") == F.col("its_print")), "left_semi")
-    texts = written(_line_texts(held, least_words).join(few(wanted.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body")), "texts")
+    out, rest = np.zeros(len(a), np.int64), []
+    for i, (s, t) in enumerate(zip(a, b, strict=True)):
+        if enough is not None and abs(len(s) - len(t)) > enough[i]:
+            out[i] = abs(len(s) - len(t))
+            continue
+        x, y = _trimmed(s, t)
+        out[i] = len(y)
+        if len(x) and (enough is None or len(y) > enough[i]):
+            rest.append((i, x, y))
+    rest.sort(key=lambda r: (-(-len(r[1]) // 64), -len(r[2])))
+    begin = 0
+    while begin < len(rest):
+        words, end, most = -(-len(rest[begin][1]) // 64), begin, 0
+        while end < len(rest) and -(-len(rest[end][1]) // 64) == words and end - begin < 2048:
+            most = max(most, len(rest[end][1]))
+            # distinct letters of a batch: seldom more than 256, unless its pairs are few
+            if end > begin and (end - begin + 1) * words * 8 * min(256, most) > PLACES_BYTES:
+                break
+            end += 1
+        some = [r[1:] for r in rest[begin:end]]
+        out[[r[0] for r in rest[begin:end]]] = _columns(some) if len(some) >= 32 * words else [_one_distance(*p) for p in some]
+        begin = end
+    return out
+
+
+def edit_distance(a: str, b: str) -> int:
+    return int(edit_distances([a], [b])[0])
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node, body) of the nodes of ``ends``, from the documents that have their first occurrences."""
+    places = ends.join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print")), "node")
+    wanted = written(places.groupBy("its_doc", "its_print").agg(F.collect_set("node").alias("wanted")), "wanted")
+    few = F.broadcast(wanted) if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_ROWS else wanted
+    held = docs.join(few, F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("print") == F.col("its_print")))
+    texts = written(_line_texts(held).groupBy("node").agg(F.first("body").alias("body")), "texts")
+    discard(wanted)
+    return texts
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines whose edit similarity, 1 - distance / longer length, reaches ``similarity``."""
     side = lambda name: texts.select(F.col("node").alias(name), F.col("body").alias(f"text_{name}"))
     schema = T.StructType(fields(a=LONG, b=LONG))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                most = (1 - similarity) * max(len(x), len(y)) + 1e-9
-                near.append(abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most)
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            x, y = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            most = np.array([(1 - similarity) * max(len(s), len(t)) + 1e-9 for s, t in zip(x, y, strict=True)])
+            yield batch.select(["a", "b"]).filter(pa.array(edit_distances(x, y, most) <= most))
 
-    links = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
-    discard(pairs, wanted, texts)
-    return links
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
 
 
-def line_links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Links (a, b) that connect all lines which share a block and have the edit similarity.
+def line_groups(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(node, group) of the lines that share a block with another: those that links connect are one group.
 
-    First every line is tried against one other, the least of those it shares a block with;
-    then all pairs of a block that are not connected yet.
+    Two lines link if they share a block and have the edit similarity. First every line is
+    tried against one other, the least of those it shares a block with; then what is not
+    connected, as ``connected`` does.
     """
     left, right = sides()
     sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     met = meetings(nodes.select(F.explode("blocks").alias("sig"), "node", "size"), "size")
+    ends = written(met.select("node").distinct(), "ends")
+    texts = _texts(docs, nodes, ends)
     led = met.where((F.col("node") != F.col("leader")) & sizes(F.col("size"), F.col("leader_size")))
-    links = _verified(docs, nodes, led.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), similarity, least_words)
-    more = open_pairs(met.select("sig", "node", "size"), links, sizes(left("size"), right("size")), owned=met)
-    return links.unionByName(_verified(docs, nodes, more.select(*pair()).distinct(), similarity, least_words))
+    links = _verified(texts, led.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), similarity)
+    found = connected(met, ends, links, lambda pairs: _verified(texts, pairs, similarity), sizes(left("size"), right("size")), ["size"])
+    discard(met, ends, texts)
+    return found
 
 
 def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -331,13 +430,15 @@ def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WO
     lines = written(line_table(docs, least_words), "lines")
     place = F.struct("doc", "print", "line")
     nodes = written(lines.groupBy("node", "check").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places"), F.max("blocks").alias("blocks")), "nodes")
-    links = line_links(docs, nodes, similarity, least_words)
-    linked = components(links)
-    grouped = nodes.select("node", "check", "first", "places").join(linked, "node", "left")
-    first = grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("keeper"))
-    many = grouped.join(first, "component", "left").where((F.col("places") > 1) | F.col("keeper").isNotNull())
-    keepers = written(many.select("node", "check", F.coalesce("keeper", "first").alias("keeper")), "keepers")
-    discard(nodes, linked)
+    found = line_groups(docs, nodes, similarity)
+    places = nodes.select("node", "check", "first", "places")
+    grouped = places.join(found, "node")
+    first = grouped.groupBy("group").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("many"))
+    linked = grouped.join(first.where("many > 1"), "group").select("node", "check", "keeper")
+    repeated = places.where("places > 1").join(linked, ["node", "check"], "left_anti").select("node", "check", F.col("first").alias("keeper"))
+    many = linked.unionByName(repeated)
+    keepers = written(many, "keepers")
+    discard(nodes, found)
     return lines, keepers
 
 
