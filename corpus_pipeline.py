@@ -1,8 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 Every stage but the last returns the columns of ``documents``. Null keys go through; rows
-that repeat a key are separate documents to all stages but the n-gram join, where they stay
-or go together.
+that repeat a key are separate documents.
 """
 
 from __future__ import annotations
@@ -27,8 +26,9 @@ def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the rows that name a language; texts that are null or have no letter go, a missing lang is filled in."""
     model = language_id.train(docs, "doc_id", "text", "lang")
-    found = language_id.identify(docs, model, docs.columns).where("lang_pred != 'und'")
-    return found.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    found = language_id.identify(docs, model, docs.columns)
+    found = found.withColumnRenamed(found.columns[len(docs.columns)], "_lang_pred").where("_lang_pred != 'und'")
+    return found.select(*[F.coalesce("lang", "_lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group that five-word shingles at a similarity of 0.8 connect: that with the smallest id."""
-    gone = jaccard.join(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: SimHash, Viterbi scores and the tokenizer have no SQL form; the stages are tested against brute force.
+#: SimHash, Viterbi scores and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

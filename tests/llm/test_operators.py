@@ -251,7 +251,7 @@ def test_line_blocks_reach_near_copies(least, most):
 
 def test_line_blocks_hold_one_changed_word():
     rng = random.Random(20)
-    for n in (4, 5, 7, 9, 12, 40, 100, 250):
+    for n in (4, 5, 7, 9, 10, 12, 40, 100, 250):
         for _ in range(20):
             w = ["".join(rng.choice("abcdefghijk") for _ in range(6)) for _ in range(n)]
             other = [*w]

@@ -21,9 +21,11 @@ def fields(**kinds: T.DataType) -> list[T.StructField]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="timeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -73,19 +73,19 @@ def leader_pairs(shared: DataFrame, near: Column) -> DataFrame:
     return shared.alias("x").join(large.alias("y"), (left("sig") == right("sig")) & (left("node") != right("node")) & near).select(*pair()).distinct()
 
 
-#: Nodes of which one in so many is looked at to find the buckets that stand out, and how many of those are treated apart.
+#: Rows of which one in so many is looked at to find the buckets that stand out, and how many of those are treated apart.
 LOOK, HOT = 64, 1000
 
 
 def meetings(rows: DataFrame, *carried: str) -> DataFrame:
-    """Of rows (sig, node, …), one for each pair of both: those whose bucket holds several nodes, with its least node as leader
+    """Of rows (sig, node, …) those whose bucket holds several nodes, once each, with its least node as leader
     and that node's ``carried`` columns as leader_….
 
     A bucket is gathered by a window over its signature. The few hundred that a look at some of the
-    nodes shows as large never are: their least node comes from partial aggregates, their
+    rows shows as large never are: their least node comes from partial aggregates, their
     rows stay where they are. That changes where rows are worked on, not which come out.
     """
-    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(LOOK)) == 0).groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many >= 16").orderBy(F.desc("many"), "sig").limit(HOT)
+    some = rows.where(F.rand(1) * LOOK < 1).groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many >= 16").orderBy(F.desc("many"), "sig").limit(HOT)
     hot = [r.sig for r in some.select("sig").collect()]
     least, columns = F.struct("node", *carried), ["sig", "node", *carried]
     told = [F.col("least.node").alias("leader"), *[F.col(f"least.{c}").alias(f"leader_{c}") for c in carried]]
@@ -98,11 +98,11 @@ def meetings(rows: DataFrame, *carried: str) -> DataFrame:
         large = rows.join(large_sigs, "sig")
         large = large.join(F.broadcast(large.groupBy("sig").agg(F.min(least).alias("least"))), "sig").select(*columns, *told)
     met = alone.withColumn("least", F.min(least).over(whole)).withColumn("most", F.max("node").over(whole)).where("least.node != most").select(*columns, *told)
-    return written(met if large is None else met.unionByName(large), "meetings")
+    return written((met if large is None else met.unionByName(large)).distinct(), "meetings")
 
 
 #: Times that groups are tried against one other group in each bucket before all pairs of a bucket are.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _mixed(rows: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:

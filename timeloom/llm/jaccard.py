@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import LONG, chunks, discard, fields, lists, written
+from .common import LONG, chunks, discard, fields, lists, own_name, written
 from .components import LARGE, Side, buckets, components, leader_pairs, open_pairs, pair, sides
 
 U = np.uint64
@@ -88,7 +88,7 @@ def bitmaps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def survey(docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
     """Per row (key, n, print, its bitmap), and counts of shingles by token class over all rows."""
-    schema = T.StructType([docs.schema[key], *fields(n=LONG, print=LONG, cls=INT, freq=LONG), *fields(**dict.fromkeys(_BITS, LONG))])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *fields(n=LONG, print=LONG, cls=INT, freq=LONG), *fields(**dict.fromkeys(_BITS, LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind = np.zeros(1 << CLASS_BITS, np.int64), None
@@ -268,3 +268,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     least = written(least, "least")
     known = F.when((F.col("n") > 0) & F.col(key).isNotNull(), F.col("component_id")).otherwise(F.col(key))
     return survey_rows.join(least, "print", "left").select(F.col(key).alias(name), F.col("n").alias("n_shingles"), known.alias("component_id"))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group that links of ``join`` connect: that with the smallest key, of equal keys the
+    smallest hash of its text, of equal rows any.
+
+    A null key is the smallest; unlike texts of one key are judged one by one. Rows without a shingle all stay.
+    """
+    mine = own_name(docs, "_row")
+    named = docs.withColumn(mine, F.struct(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")).alias("print")))
+    rows = written(join(named, mine, text, size, percent).where("n_shingles > 0"), "rows")
+    gone = written(rows.where(F.col(mine) != F.col("component_id")).select(mine).distinct(), "gone")
+    again = written(rows.groupBy(mine).agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(mine), "again")
+    discard(rows)
+    kept = named.join(gone, mine, "left_anti")
+    once, several = kept.join(again, mine, "left_anti"), kept.join(again, mine, "left_semi").dropDuplicates([mine])
+    return once.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])

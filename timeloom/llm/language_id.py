@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import LONG, TEXT, chunks, fields, lists
+from .common import LONG, TEXT, chunks, fields, lists, own_name
 
 U = np.uint64
 
@@ -167,7 +167,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", penalty: float = SWITCH) -> DataFrame:
-    """One row per document: ``keep`` columns, lang_pred, score and spans (language, first word, word behind the last).
+    """One row per document: ``keep`` columns, lang_pred, score and spans (language, first word, word behind the last),
+    these three with underscores behind the name where ``keep`` has it.
 
     lang_pred is the language with most bytes of words; score is its share of the bytes of
     all words with letters. Null texts and texts without a letter are ``und`` with score 0
@@ -176,7 +177,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType(fields(lang=TEXT, start=LONG, end=LONG))
-    schema = T.StructType([*(docs.schema[c] for c in keep), *fields(lang_pred=TEXT, score=T.DoubleType(), spans=T.ArrayType(span))])
+    taken = docs.select(*[F.col(f"`{c}`") for c in keep])
+    found_types = zip(("lang_pred", "score", "spans"), (TEXT, T.DoubleType(), T.ArrayType(span)), strict=True)
+    schema = T.StructType([*taken.schema, *(T.StructField(own_name(taken, c), kind) for c, kind in found_types)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -17,13 +17,13 @@ from .components import connected, meetings, sides
 U = np.uint64
 
 #: Characters and features from which a line is compared with lines that are not equal to it.
-LEAST_SIZE, LEAST_FEATURES = 20, 4
+LEAST_SIZE, LEAST_FEATURES = 20, 3
 
 #: Lines of so many features or fewer have a SimHash for each feature left out, and those of TWO_OUT or fewer for each two.
-ONE_OUT, TWO_OUT = 12, 7
+ONE_OUT, TWO_OUT = 12, 9
 
 #: Features from which a line's are dealt to 4, 8, 16, … classes; those of CLASSES_OVERLAP times a number or more are dealt to both.
-CLASSES_FROM = [8, 24, 64, *(192 << i for i in range(14))]
+CLASSES_FROM = [8, 24, 80, *(240 << i for i in range(14))]
 CLASSES_OVERLAP = 0.93
 
 #: Letters of the features that a block of a SimHash is made of at least (of 4 classes, of more), each counting up to 15; a
@@ -42,7 +42,7 @@ BROADCAST_ROWS = 1_000_000
 #: Removed lines (8 bytes each, and 24 for their document) that are broadcast at most; beyond, all texts are shuffled to them.
 BROADCAST_LINES = 2_000_000
 
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 
 #: Features of lines that are worked on at a time.
 SIMHASH_FEATURES = 1 << 18
@@ -112,16 +112,20 @@ def _tagged(sim: np.ndarray, levels: int, which: np.ndarray, count: np.ndarray)
 
 
 def _left_out(key: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, block) of short lines: the SimHash of all features, and of all but each one, and each two where three stay."""
+    """(line, block) of short lines: the SimHash of all features, and of all but each one, and each two where enough letters stay."""
     line = np.repeat(np.arange(len(first)), count)
     bits = W.mix(key)
     sums = _bit_sums(bits, first, count)
     of, without, many = [np.arange(len(first)), line], [_signs(sums, count), _signs(_minus(sums[:, line], bits), count[line] - 1)], [count, count[line] - 1]
-    for n in range(5, TWO_OUT + 1):
+    letters = (key & U(15)).astype(np.int64)
+    all_letters = np.bincount(line, letters, minlength=len(first))
+    for n in range(4, TWO_OUT + 1):
         mine = np.flatnonzero(count == n)
         i, j = np.triu_indices(n, 1)
-        its = np.repeat(mine, len(i))
-        left = _minus(_minus(sums[:, its], bits[(first[mine][:, None] + i).ravel()]), bits[(first[mine][:, None] + j).ravel()])
+        its, i, j = np.repeat(mine, len(i)), (first[mine][:, None] + i).ravel(), (first[mine][:, None] + j).ravel()
+        some = all_letters[its] - letters[i] - letters[j] >= LETTERS[0]
+        its, i, j = its[some], i[some], j[some]
+        left = _minus(_minus(sums[:, its], bits[i]), bits[j])
         of.append(its)
         without.append(_signs(left, count[its] - 2))
         many.append(count[its] - 2)
@@ -157,7 +161,7 @@ def blocks(h: np.ndarray, letters: np.ndarray, line: np.ndarray, lines: int) ->
     The features of a line are dealt to 4 or more classes by their hash, and every class has a
     SimHash of its own. A changed word changes two classes at most, so two lines that differ in
     fewer words than half their classes share a block. Lines of a few features share one
-    if one of them (of seven or fewer: two) was changed, put in or left out. The n-th
+    if one of them (of nine or fewer: two) was changed, put in or left out. The n-th
     occurrence of a feature in a line is another feature than the first.
     """
     counts = np.bincount(line, minlength=lines)
@@ -261,19 +265,22 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+#: Bytes of a line as they are compared: A-Z small, digits 0, bytes beyond ASCII as they are, all else blank.
+_NORMAL = bytes(int(_ONE_DIGIT[W.LOWER[b]]) if W.ALNUM[b] else 32 for b in range(256))
+
+
 def _line_texts(docs: DataFrame) -> DataFrame:
-    """Of docs (body, wanted): (node, body) of the wanted lines, their words with one blank between. A null body has no line."""
+    """Of docs (body, wanted): (node, body) of the wanted lines (line, node), their words with one blank between. A null body has no line."""
     schema = T.StructType(fields(node=LONG, body=TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "body", CHUNK):
-            found, first, _, _ = _lines(data, offsets)
-            node, _, _, count = _nodes(found, first)
-            some = np.flatnonzero(np.isin(node, batch.column("wanted").flatten().to_numpy(zero_copy_only=False)))
-            some = some[np.unique(node[some], return_index=True)[1]]
-            flat = np.where(W.ALNUM[found.data], found.data, 32).astype(np.uint8).tobytes()
-            texts = [b" ".join(flat[found.start[first[i]] : found.end[first[i] + count[i] - 1]].split()).decode() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(texts, pa.string())], names=schema.names)
+        for batch in batches:
+            nodes, texts = [], []
+            for body, wanted in zip(batch.column("body").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                lines = body.encode().split(b"\n") if wanted else []
+                nodes += [w["node"] for w in wanted]
+                texts += [b" ".join(lines[w["line"]].translate(_NORMAL).split()).decode() for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=schema.names)
 
     return docs.select("body", "wanted").mapInArrow(run, schema)
 
@@ -342,21 +349,63 @@ def _columns(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return distance
 
 
+#: Words that two lines may differ in at one place for ``_by_words`` to find where they go on alike.
+APART = 12
+
+
+def _by_words(a: str, b: str, most: float) -> float:
+    """A bound that the distance of two texts of words does not exceed; more than ``most`` if none is found.
+
+    Alike words are stepped over; where two differ, all up to the nearest two alike ones are
+    replaced, each with its blank.
+    """
+    x, y = a.split(" "), b.split(" ")
+    i = j = total = 0
+    while i < len(x) and j < len(y) and total <= most:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for apart in range(1, APART):
+            di = next((d for d in range(apart + 1) if i + d < len(x) and j + apart - d < len(y) and x[i + d] == y[j + apart - d]), None)
+            if di is not None:
+                break
+        else:
+            return most + 1
+        dj = apart - di
+        total += max(sum(map(len, x[i : i + di])) + di, sum(map(len, y[j : j + dj])) + dj)
+        i, j = i + di, j + dj
+    return total + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
+
+
+def _two_letters(text: np.ndarray) -> np.ndarray:
+    return np.bincount((text[:-1] * np.uint32(31) + text[1:]) & np.uint32(255), minlength=256)
+
+
 def edit_distances(a: list[str], b: list[str], enough: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distance of each pair.
 
-    Where no more than ``enough`` characters stand between what both begin and end with, their
-    number is given, which the distance does not exceed; where the lengths differ by more, that.
+    With ``enough``, a bound that does not exceed it stands for the distance where there is a
+    cheap one, and a bound that does not fall below where that is more than ``enough``: an edit
+    changes the length by one, and two pairs of letters side by side each.
     """
     out, rest = np.zeros(len(a), np.int64), []
     for i, (s, t) in enumerate(zip(a, b, strict=True)):
-        if enough is not None and abs(len(s) - len(t)) > enough[i]:
+        if enough is not None:
             out[i] = abs(len(s) - len(t))
-            continue
+            if out[i] > enough[i]:
+                continue
+            out[i] = _by_words(s, t, enough[i])
+            if out[i] <= enough[i]:
+                continue
         x, y = _trimmed(s, t)
         out[i] = len(y)
-        if len(x) and (enough is None or len(y) > enough[i]):
-            rest.append((i, x, y))
+        if not len(x) or (enough is not None and len(y) <= enough[i]):
+            continue
+        if enough is not None and len(x) > 1:
+            out[i] = -(-int(np.abs(_two_letters(x) - _two_letters(y)).sum()) // 4)
+            if out[i] > enough[i]:
+                continue
+        rest.append((i, x, y))
     rest.sort(key=lambda r: (-(-len(r[1]) // 64), -len(r[2])))
     begin = 0
     while begin < len(rest):
@@ -379,8 +428,8 @@ def edit_distance(a: str, b: str) -> int:
 
 def _texts(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
     """(node, body) of the nodes of ``ends``, from the documents that have their first occurrences."""
-    places = ends.join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print")), "node")
-    wanted = written(places.groupBy("its_doc", "its_print").agg(F.collect_set("node").alias("wanted")), "wanted")
+    places = ends.join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print"), F.struct("first.line", "node").alias("its_line")), "node")
+    wanted = written(places.groupBy("its_doc", "its_print").agg(F.collect_list("its_line").alias("wanted")), "wanted")
     few = F.broadcast(wanted) if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_ROWS else wanted
     held = docs.join(few, F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("print") == F.col("its_print")))
     texts = written(_line_texts(held).groupBy("node").agg(F.first("body").alias("body")), "texts")
@@ -402,8 +451,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
 
 
-def line_groups(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(node, group) of the lines that share a block with another: those that links connect are one group.
+def line_groups(docs: DataFrame, blocks: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(node, group) of the lines whose blocks (sig, node, size) others share: those that links connect are one group.
 
     Two lines link if they share a block and have the edit similarity. First every line is
     tried against one other, the least of those it shares a block with; then what is not
@@ -411,7 +460,7 @@ def line_groups(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> D
     """
     left, right = sides()
     sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    met = meetings(nodes.select(F.explode("blocks").alias("sig"), "node", "size"), "size")
+    met = meetings(blocks, "size")
     ends = written(met.select("node").distinct(), "ends")
     texts = _texts(docs, nodes, ends)
     led = met.where((F.col("node") != F.col("leader")) & sizes(F.col("size"), F.col("leader_size")))
@@ -429,8 +478,8 @@ def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WO
     """
     lines = written(line_table(docs, least_words), "lines")
     place = F.struct("doc", "print", "line")
-    nodes = written(lines.groupBy("node", "check").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places"), F.max("blocks").alias("blocks")), "nodes")
-    found = line_groups(docs, nodes, similarity)
+    nodes = written(lines.groupBy("node", "check").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places")), "nodes")
+    found = line_groups(docs, lines.select(F.explode("blocks").alias("sig"), "node", "size"), nodes, similarity)
     places = nodes.select("node", "check", "first", "places")
     grouped = places.join(found, "node")
     first = grouped.groupBy("group").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("many"))
