@@ -265,7 +265,7 @@ def test_line_blocks_hold_one_changed_word():
 
 def test_line_groups_equal_all_pairs(spark, monkeypatch):
     """The groups are those that a shared block and the edit similarity give over all pairs of lines, hot blocks too."""
-    monkeypatch.setattr(components, "LOOK", 1)
+    monkeypatch.setattr(line_dedup, "LOOK", 1)
     rng = random.Random(8)
     lines = _near_lines(rng, 160, 5, 70) + ["the same words all over " * 3 + f"and x{chr(97 + i)}" for i in range(26)] + ["short", "short", "two words", "x " * 3000]
     docs = spark.createDataFrame([(i, x, 0, 0) for i, x in enumerate(lines)], DOCS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,6 +40,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 BATCH_BYTES = "4m"
 
 
+#: What operators keep in a Python worker from one task to the next, to be emptied when another operator uses the worker.
+WORKER_CACHES: list[dict] = []
+
+
+def give_back(own: dict | None = None) -> None:
+    """Memory that this Python worker no longer uses goes back to the system: Spark keeps workers, and gives them other work.
+
+    Caches but ``own`` are emptied.
+    """
+    for cache in WORKER_CACHES:
+        if cache is not own:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -98,8 +116,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cuts batches between rows so that the texts of one piece have about ``most`` bytes; a longer text stands alone."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int, own: dict | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cuts batches between rows so that the texts of one piece have about ``most`` bytes; a longer text stands alone.
+
+    The caches of other operators than that of ``own`` are emptied first.
+    """
+    give_back(own)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -110,6 +132,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             end = min(end, batch.num_rows)
             yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
             row = end
+    give_back(own)
 
 
 def lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:

@@ -77,15 +77,15 @@ def leader_pairs(shared: DataFrame, near: Column) -> DataFrame:
 LOOK, HOT = 64, 1000
 
 
-def meetings(rows: DataFrame, *carried: str) -> DataFrame:
+def meetings(rows: DataFrame, some: DataFrame, *carried: str) -> DataFrame:
     """Of rows (sig, node, …) those whose bucket holds several nodes, once each, with its least node as leader
     and that node's ``carried`` columns as leader_….
 
-    A bucket is gathered by a window over its signature. The few hundred that a look at some of the
-    rows shows as large never are: their least node comes from partial aggregates, their
+    A bucket is gathered by a window over its signature. The few hundred that ``some`` of the rows (one
+    of LOOK) show as large never are: their least node comes from partial aggregates, their
     rows stay where they are. That changes where rows are worked on, not which come out.
     """
-    some = rows.where(F.rand(1) * LOOK < 1).groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many >= 16").orderBy(F.desc("many"), "sig").limit(HOT)
+    some = some.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many >= 16").orderBy(F.desc("many"), "sig").limit(HOT)
     hot = [r.sig for r in some.select("sig").collect()]
     least, columns = F.struct("node", *carried), ["sig", "node", *carried]
     told = [F.col("least.node").alias("leader"), *[F.col(f"least.{c}").alias(f"leader_{c}") for c in carried]]

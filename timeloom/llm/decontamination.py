@@ -15,7 +15,7 @@ from .common import LONG, TEXT, chunks, fields, lists, own_name
 from .fm_index import FMIndex
 
 #: Bytes of text in one shard; its index takes some thirty times that.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 
 #: Bytes of test phrases that are searched for in one pass over the texts.
 PASS_BYTES = 32_000_000

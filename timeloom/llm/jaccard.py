@@ -34,7 +34,7 @@ BROADCAST_ROWS = 1_000_000
 #: 64-bit numbers of a node's bitmap: each bit tells whether an odd number of its shingles fall on it.
 BITMAP = 8
 
-CHUNK = 6_000_000
+CHUNK = 2_000_000
 INT = T.IntegerType()
 _BITS = [f"b{i}" for i in range(BITMAP)]
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .common import LONG, TEXT, chunks, discard, fields, lists, own_name, written
-from .components import connected, meetings, sides
+from .components import LOOK, connected, meetings, sides
 
 U = np.uint64
 
@@ -451,8 +451,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
 
 
-def line_groups(docs: DataFrame, blocks: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(node, group) of the lines whose blocks (sig, node, size) others share: those that links connect are one group.
+def line_groups(docs: DataFrame, lines: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(node, group) of the lines (node, size, blocks) whose blocks others share: those that links connect are one group.
 
     Two lines link if they share a block and have the edit similarity. First every line is
     tried against one other, the least of those it shares a block with; then what is not
@@ -460,7 +460,8 @@ def line_groups(docs: DataFrame, blocks: DataFrame, nodes: DataFrame, similarity
     """
     left, right = sides()
     sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    met = meetings(blocks, "size")
+    rows = lambda df: df.select(F.explode("blocks").alias("sig"), "node", "size")
+    met = meetings(rows(lines), rows(lines.where(F.rand(1) * LOOK < 1)), "size")
     ends = written(met.select("node").distinct(), "ends")
     texts = _texts(docs, nodes, ends)
     led = met.where((F.col("node") != F.col("leader")) & sizes(F.col("size"), F.col("leader_size")))
@@ -479,7 +480,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WO
     lines = written(line_table(docs, least_words), "lines")
     place = F.struct("doc", "print", "line")
     nodes = written(lines.groupBy("node", "check").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places")), "nodes")
-    found = line_groups(docs, lines.select(F.explode("blocks").alias("sig"), "node", "size"), nodes, similarity)
+    found = line_groups(docs, lines, nodes, similarity)
     places = nodes.select("node", "check", "first", "places")
     grouped = places.join(found, "node")
     first = grouped.groupBy("group").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("many"))

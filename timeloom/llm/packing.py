@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, chunks, fields, own_name, written
+from .common import LONG, WORKER_CACHES, chunks, fields, own_name, written
 
 #: Rows that are numbered in one task, about.
 RANK_ROWS = 500_000
@@ -30,6 +30,7 @@ _BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not i
 
 #: Tokenizers and the ids of words met so far, by file, in each Python worker.
 _LOADED: dict[str, tuple] = {}
+WORKER_CACHES.append(_LOADED)
 
 
 def _ids_of(path: str, texts: list[bytes]) -> list[bytes]:
@@ -90,7 +91,7 @@ def tokenize(docs: DataFrame, path: str, keep: list[str], text: str = "text", le
     stop = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, body, CHUNK):
+        for batch, data, offsets in chunks(batches, body, CHUNK, _LOADED):
             raw = data.tobytes()
             row, piece, start, parts = [], [], [], []
             for i, ids in enumerate(_ids_of(path, [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])):

@@ -27,7 +27,7 @@ TRAIN_ROWS = 40_000
 #: Steps of a raw score for the calibration.
 BINS = 512
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 STATISTICS = ("bytes", "words", "word_size", "word_spread", "upper", "digit", "mark", "space", "line_breaks", "beyond_ascii", "distinct_words", "top_word", "distinct_lines", "short_words", "long_words", "bare_marks", "odd_signs", "exclaims", "line_size", "word_follows")
 
