@@ -6,12 +6,16 @@ that repeat a key are separate documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.llm import decontamination, jaccard, language_id, line_dedup, packing
-from timeloom.llm.common import written
+from timeloom.llm.common import BATCH_BYTES, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A text without any of these has no word.
 _WORD = "[0-9A-Za-z]|[^\\x00-\\x7F]"
@@ -52,12 +56,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def _small_batches(stage: Stage) -> Stage:
+    """Python workers get Arrow batches of a few MB: five operators use them one after the other, beside the executor's heap. The session keeps the setting."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("line_dedup", dedup_lines),
-    ("ngram_jaccard_join", dedup_documents),
-    ("benchmark_decontamination", decontaminate),
-    ("best_fit_packing", pack),
+    ("language_id", _small_batches(identify_language)),
+    ("line_dedup", _small_batches(dedup_lines)),
+    ("ngram_jaccard_join", _small_batches(dedup_documents)),
+    ("benchmark_decontamination", _small_batches(decontaminate)),
+    ("best_fit_packing", _small_batches(pack)),
 ]
 
 #: SimHash, Viterbi scores and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
