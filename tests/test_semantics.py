@@ -119,7 +119,7 @@ def test_sentences_and_repairs(spark):
     got = [r.text for r in plan.sentence_requests(rows).orderBy("chunk").collect()]
     assert got == ["Go. Then we see it.", "Now try this one again"]
     seeds = rows.where("idx = 2").select("rec", "idx")
-    assert [(r.first, r.last) for r in plan.repair_spans(rows, seeds, pause=300, most=900).collect()] == [(0, 3)]
+    assert [(r.first, r.last) for r in plan.repair_spans(rows, seeds, pause=300, most=900).collect()] == [(0, 2)]
 
 
 def test_text_functions(spark):
