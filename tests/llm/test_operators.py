@@ -457,3 +457,33 @@ def test_url_templates(spark):
     got = {r.page_id: r for r in url_filter.judge(pages, [], ["page_id"], rejected=F.col("bad")).collect()}
     assert got[300].template == "/shop/{n}/item" and got[300].verdict == "block" and got[301].verdict == "allow"
     assert got[200].template == "/p/*/x" and 0.4 < got[200].purity < 0.6
+
+
+def test_url_purities(spark):
+    """The chain of wider groups against a plain recomputation; pages without a rule get both verdicts by evidence."""
+    rng = random.Random(21)
+    rows = []
+    for host in ("a.x.com", "b.x.com", "y.com", "z.de", "localhost", ""):
+        for template in ("", "/de/{n}", "/en/{n}", "/en/*/q", "/+"):
+            labelled = rng.choice([0, 0, 3, 20])
+            rows.append((host, template, labelled, rng.randrange(labelled + 1)))
+    tree = spark.createDataFrame([*rows, rows[0]], "host string, template string, labelled long, rejected long")
+    got = {(r.host, r.template): r.purity for r in url_filter.purities(tree, (1.0, 3.0), 4.0).collect()}
+    rows.append(rows[0])
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    for host, template in got:
+        purity = 0.25
+        groups_ = [lambda h, t: h.split(".")[-1] == host.split(".")[-1] and t == template, lambda h, t: domain(h) == domain(host) and t == template]
+        parts = template.split("/")
+        for i in range(1, len(parts) + 1):
+            branch = parts[:i]
+            groups_.append(lambda h, t, branch=branch: h == host and t.split("/")[: len(branch)] == branch)
+        for inside in groups_:
+            mine = [(n, k) for h, t, n, k in rows if inside(h, t)]
+            purity = (sum(k for _, k in mine) + 4 * purity) / (sum(n for n, _ in mine) + 4)
+        assert got[host, template] == pytest.approx(purity)
+    pages = spark.createDataFrame([(i, f"http://{h}/en/{i}") for i, h in enumerate(["s.com"] * 30 + ["t.net"] * 30)] + [(90, "http://s.com/fr/1"), (91, "http://t.net/fr/1")], "page_id long, url string")
+    rules = [url_filter.Rule("com", "/en/", "block"), url_filter.Rule("net", "/en/", "allow")]
+    by = {r.page_id: r for r in url_filter.judge(pages, rules, ["page_id"]).collect()}
+    assert (by[90].verdict, by[91].verdict, by[90].rule) == ("block", "allow", None)
+    assert url_filter.purities(tree.where("false"), (1.0, 3.0), 4.0).count() == 0

@@ -101,12 +101,41 @@ def template_tree(urls: DataFrame, kinds: int = 10, share: float = 0.05, z: floa
     return state
 
 
-def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url", rejected: Column | None = None, prior: tuple[float, float] = (1.0, 3.0), least: float = 0.8) -> DataFrame:
+def purities(tree: DataFrame, prior: tuple[float, float], strength: float) -> DataFrame:
+    """(host, template, purity): the smoothed share of rejected urls of every template.
+
+    A template with little evidence of its own leans on what is known of wider groups. From the prior on, each of
+    these takes the purity of the one before it with the weight of ``strength`` urls: the same
+    template over all hosts of the suffix, over the registered domain (the last two labels), then the branches of
+    the host from its root down to the template itself.
+    """
+    totals = [F.sum("labelled").alias("labelled"), F.sum("rejected").alias("rejected")]
+    sums = written(tree.groupBy("host", "template").agg(*totals), "templates")
+    parts = F.split("template", "/")
+    branches = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    held = sums.select("host", "template", "labelled", "rejected", F.posexplode(branches).alias("depth", "branch"))
+    known = held.groupBy("host", "branch").agg(*totals)
+    step = F.struct("depth", F.col("known.labelled").alias("labelled"), F.col("known.rejected").alias("rejected"))
+    chain = held.drop("labelled", "rejected").join(known.alias("known"), ["host", "branch"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(step)).alias("chain"))
+    labels = F.split("host", "\\.")
+    chain = chain.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))
+    lean = lambda known, rejected, labelled: (F.coalesce(rejected, F.lit(0)) + strength * known) / (F.coalesce(labelled, F.lit(0)) + strength)
+    purity = F.lit(prior[0] / sum(prior))
+    named = chain.select("host", "template", "suffix", "domain")
+    for group in ("suffix", "domain"):
+        wide = sums.join(named, ["host", "template"]).groupBy(group, "template").agg(F.sum("labelled").alias(f"{group}_labelled"), F.sum("rejected").alias(f"{group}_rejected"))
+        chain = chain.join(wide, [group, "template"])
+        purity = lean(purity, F.col(f"{group}_rejected"), F.col(f"{group}_labelled"))
+    purity = F.aggregate("chain", purity.cast("double"), lambda known, b: lean(known, b["rejected"], b["labelled"]))
+    return chain.select("host", "template", purity.alias("purity"))
+
+
+def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url", rejected: Column | None = None, prior: tuple[float, float] = (1.0, 3.0), strength: float = 4.0, least: float = 0.8) -> DataFrame:
     """One row per page: ``keep`` columns, host, path, rule, template, purity and verdict (allow or block).
 
     A rule's verdict holds where one fits. Every page is labelled by its rule, or else by
-    ``rejected`` (a nullable boolean column). Any other page is blocked if the smoothed
-    purity (rejected + prior[0]) / (labelled + sum of prior) of its template reaches ``least``.
+    ``rejected`` (a nullable boolean column). Any other page is blocked if the purity of its
+    template (``purities``) reaches ``least``.
     A null url and one without ``://`` have an empty host and path and count as one template.
     Repeated rows count and are returned as often as they stand there.
     """
@@ -120,8 +149,7 @@ def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url"
     label = F.coalesce(F.col("ruled") == "block", F.col("own"))
     urls = rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("labelled"), F.count(F.when(label, 1)).alias("rejected"))
     tree = template_tree(urls)
-    purity = (F.sum("rejected") + prior[0]) / (F.sum("labelled") + sum(prior))
-    pure = tree.groupBy("host", "template").agg(purity.alias("purity"))
+    pure = purities(tree, prior, strength)
     known = written(tree.join(pure, ["host", "template"]).select("host", "segments", "template", "purity"), "purity")
     out = rows.join(known, ["host", "segments"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= least, "block").otherwise("allow"))
