@@ -41,3 +41,15 @@ def union(source: str, name: str = "u") -> str:
 
 def quoted(items: list[str]) -> str:
     return "(" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + ")"
+
+
+SCRIPTED = LINES + """,
+scripted AS (SELECT *, id % 4 <> 0 AS audio,
+                    CASE WHEN id % 2 = 0 THEN 'Line ' || (id % 97) ELSE 'Line  ' || (id % 97) || CASE WHEN id % 3 = 0 THEN ' again ' ELSE '' END END AS say,
+                    'Line ' || (id % 97) AS original, CASE WHEN id % 5 = 0 THEN 'Line ' || (id % 97) || ' again' END AS machine,
+                    CASE WHEN id % 7 = 0 THEN 900 ELSE 1000 END AS stretch_milli, 10 * (id % 9) AS "offset" FROM lines)
+"""
+
+
+def squash(column: str) -> str:
+    return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"

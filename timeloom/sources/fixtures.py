@@ -73,3 +73,19 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec"), F.posexplode(t.sentences(F.col("text"))).alias("ord", "text"))
     return rows.select("rec", F.col("ord").cast("long").alias("ord"), "text")
+
+
+def scripted(lines: DataFrame) -> DataFrame:
+    """``lines`` with texts and takes derived from their ids: audio, say, original, machine, stretch_milli, offset."""
+    number = (F.col("id") % 97).cast("string")
+    again = F.when(F.col("id") % 3 == 0, " again ").otherwise("")
+    return lines.withColumns(
+        {
+            "audio": F.col("id") % 4 != 0,
+            "say": F.when(F.col("id") % 2 == 0, F.concat(F.lit("Line "), number)).otherwise(F.concat(F.lit("Line  "), number, again)),
+            "original": F.concat(F.lit("Line "), number),
+            "machine": F.when(F.col("id") % 5 == 0, F.concat(F.lit("Line "), number, F.lit(" again"))),
+            "stretch_milli": F.when(F.col("id") % 7 == 0, 900).otherwise(1000).cast("long"),
+            "offset": (10 * (F.col("id") % 9)).cast("long"),
+        }
+    )
