@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as t
@@ -43,49 +44,59 @@ def filler_spans(flags: DataFrame, widen: int = 20) -> DataFrame:
 def sentence_requests(words: DataFrame, least_words: int = 3, least_ms: int = 500) -> DataFrame:
     """(rec, chunk, first, last, start_ms, end_ms, text): sentences of kept words; a short one flows into the next.
 
-    Chunks are numbered before those that are too short in words or time are left out.
+    Chunks are numbered before those that are too short in words or time are left out. Words
+    are counted by piece, a piece ending with a closing word; only these counts are
+    gathered by recording, and a running count that starts again with every full chunk numbers them.
     """
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        out, held, chunk = [], [], 0
-        for row in group.sort_values("idx").itertuples():
-            held.append(row)
-            if row.w[-1:] in (".", "!", "?") and len(held) >= least_words:
-                out.append((chunk, held))
-                chunk, held = chunk + 1, []
-        if len(held) >= least_words:
-            out.append((chunk, held))
-        rows = [(group["rec"].iloc[0], c, h[0].idx, h[-1].idx, h[0].start_ms, h[-1].end_ms, " ".join(x.w for x in h)) for c, h in out]
-        return pd.DataFrame(rows, columns=["rec", "chunk", "first", "last", "start_ms", "end_ms", "text"])
-
-    made = words.select("rec", "idx", "w", "start_ms", "end_ms").groupBy("rec").applyInPandas(scan, "rec long, chunk long, first long, last long, start_ms long, end_ms long, text string")
+    closes = F.col("w").rlike("[.!?]$").cast("int")
+    order = Window.partitionBy("rec").orderBy("idx")
+    pieces = words.select("rec", "idx", "w", "start_ms", "end_ms").withColumn("closes", closes).withColumn("piece", F.sum("closes").over(order) - F.col("closes"))
+    counts = pieces.groupBy("rec", "piece").agg(F.struct(F.col("piece"), F.count(F.lit(1)).alias("n")).alias("c")).groupBy("rec").agg(F.array_sort(F.collect_list("c")).alias("counts"))
+    zero = F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("chunk"), F.array().cast("array<bigint>").alias("chunks"))
+
+    def count(state: Column, c: Column) -> Column:
+        held = state["held"] + c["n"]
+        full = held >= least_words
+        return F.struct(F.when(full, 0).otherwise(held).cast("long").alias("held"), (state["chunk"] + full.cast("long")).alias("chunk"), F.concat(state["chunks"], F.array(state["chunk"])).alias("chunks"))
+
+    chunks = counts.select("rec", F.explode(F.arrays_zip(F.col("counts.piece").alias("piece"), F.aggregate("counts", zero, count)["chunks"].alias("chunk"))).alias("c")).select("rec", "c.piece", "c.chunk")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "w"))), lambda x: x["w"]), " ")
+    made = pieces.join(chunks, ["rec", "piece"]).groupBy("rec", "chunk").agg(
+        F.min("idx").alias("first"), F.max("idx").alias("last"), F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"), text.alias("text")
+    )
     return made.where((t.word_count(F.col("text")) >= least_words) & (F.col("end_ms") - F.col("start_ms") >= least_ms))
 
 
 def repair_spans(words: DataFrame, seeds: DataFrame, pause: int = 180, most: int = 4000) -> DataFrame:
     """(rec, first, last): each seed word (rec, idx) grown to the nearest pause on its left, then right, within ``most`` ms.
 
-    A word that one span has taken is no part of another.
+    A word that one span has taken is no part of another. Pauses cut a recording into islands,
+    and no span leaves its island; in it, the limits are found in the sorted times. Islands
+    without a seed are left out.
     """
-    marked = words.select("rec", "idx", "start_ms", "end_ms").join(seeds.select("rec", "idx", F.lit(True).alias("seed")).distinct(), ["rec", "idx"], "left")
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        idx, start, end = (group[c].tolist() for c in ("idx", "start_ms", "end_ms"))
-        used, out = set(), []
-        for i in [i for i, s in enumerate(group["seed"]) if s is True]:
-            if i in used:
-                continue
-            lo = hi = i
-            while lo > 0 and lo - 1 not in used and start[lo] - end[lo - 1] < pause and end[hi] - start[lo - 1] < most:
-                lo -= 1
-            while hi + 1 < len(idx) and hi + 1 not in used and start[hi + 1] - end[hi] < pause and end[hi + 1] - start[lo] < most:
-                hi += 1
-            used.update(range(lo, hi + 1))
-            out.append((group["rec"].iloc[0], idx[lo], idx[hi]))
-        return pd.DataFrame(out, columns=["rec", "first", "last"])
-
-    return marked.groupBy("rec").applyInPandas(scan, "rec long, first long, last long")
+    order = Window.partitionBy("rec").orderBy("idx")
+    rows = words.select("rec", "idx", "start_ms", "end_ms").withColumn("gap", F.col("start_ms") - F.lag("end_ms").over(order))
+    rows = rows.withColumn("island", F.sum(F.when(F.col("gap") < pause, 0).otherwise(1)).over(order))
+    rows = rows.join(seeds.select("rec", "idx", F.lit(True).alias("seed")).distinct(), ["rec", "idx"], "left")
+    words_of = F.array_sort(F.collect_list(F.struct("idx", "start_ms", "end_ms", F.coalesce("seed", F.lit(False)).alias("seed"))))
+    islands = rows.groupBy("rec", "island").agg(words_of.alias("words"), F.max(F.coalesce("seed", F.lit(False))).alias("any")).where("any")
+
+    @F.pandas_udf("array<struct<first:bigint,last:bigint>>")
+    def grown(groups: pd.Series) -> pd.Series:
+        out = []
+        for group in groups:
+            idx, start, end, seed = (np.array([w[c] for w in group]) for c in ("idx", "start_ms", "end_ms", "seed"))
+            spans, free = [], 0
+            for at in np.flatnonzero(seed):
+                if at >= free:
+                    first = max(free, int(np.searchsorted(start[: at + 1], end[at] - most, "right")))
+                    first = min(first, at)
+                    free = max(at + 1, int(np.searchsorted(end, start[first] + most, "left")))
+                    spans.append({"first": int(idx[first]), "last": int(idx[free - 1])})
+            out.append(spans)
+        return pd.Series(out)
+
+    return islands.select("rec", F.explode(grown("words")).alias("s")).select("rec", "s.first", "s.last")
 
 
 def place(lines: DataFrame, margin: int = 20) -> DataFrame:

@@ -117,17 +117,24 @@ def hold_out(groups: DataFrame, key: str, size: str, seed: int = 7, least: int =
 
 
 def greedy_pick(rows: DataFrame, quota: float) -> DataFrame:
-    """(pool, id): clips (pool, id, source, number, distance, seconds) by distance, none next to one picked of its source, until the quota is filled."""
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        out, used, total = [], set(), 0.0
-        for row in group.sort_values(["distance", "id"]).itertuples():
-            if total >= quota:
-                break
-            if not {(row.source, row.number + d) for d in (-1, 0, 1)} & used:
-                used.add((row.source, row.number))
-                out.append(row.id)
-                total += row.seconds
-        return pd.DataFrame({"pool": group["pool"].iloc[0], "id": out})
-
-    return rows.select("pool", "id", "source", "number", "distance", "seconds").groupBy("pool").applyInPandas(scan, "pool long, id long")
+    """(pool, id): clips (pool, id, source, number, distance, seconds) by distance, none next to one picked of its source, until the quota is filled.
+
+    Clips only keep each other out within a run of adjacent numbers of one source, so runs are
+    worked on apart; the quota is a running sum over what they leave.
+    """
+    numbers = Window.partitionBy("pool", "source").orderBy("number")
+    clips = rows.select("pool", "id", "source", "number", "distance", "seconds").withColumn("run", F.col("number") - F.dense_rank().over(numbers))
+
+    def apart(run: pd.DataFrame) -> pd.DataFrame:
+        run = run.sort_values(["distance", "id"])
+        place = (run["number"] - run["number"].min()).to_numpy()
+        near = np.zeros(place.max() + 3, bool)
+        kept = np.zeros(len(run), bool)
+        for i, at in enumerate(place):
+            kept[i] = not near[at + 1]
+            near[at : at + 3] |= kept[i]
+        return run.loc[kept, ["pool", "id", "distance", "seconds"]]
+
+    kept = clips.groupBy("pool", "source", "run").applyInPandas(apart, clips.select("pool", "id", "distance", "seconds").schema)
+    before = F.sum("seconds").over(Window.partitionBy("pool").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, -1))
+    return kept.withColumn("before", F.coalesce(before, F.lit(0.0))).where(F.col("before") < quota).select("pool", "id")
