@@ -160,7 +160,16 @@ def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.hold_out(groups, "source", "n")
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id AS pool, event_id AS id, event_type AS source, event_id % 50 AS number, value AS distance, CAST(event_id % 9 + 1 AS DOUBLE) AS seconds FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY distance, id) AS k FROM c),
+r AS (SELECT pool, 0::BIGINT AS k, []::VARCHAR[] AS used, 0.0::DOUBLE AS total, NULL::BIGINT AS picked FROM (SELECT DISTINCT pool FROM c)
+      UNION ALL SELECT pool, k, CASE WHEN free THEN list_append(used, source || ':' || number) ELSE used END, CASE WHEN free THEN total + seconds ELSE total END, CASE WHEN free THEN id END
+      FROM (SELECT r.pool, o.k, used, total, o.source, o.number, o.seconds, o.id,
+                   NOT list_contains(used, o.source || ':' || o.number) AND NOT list_contains(used, o.source || ':' || (o.number - 1)) AND NOT list_contains(used, o.source || ':' || (o.number + 1)) AS free
+            FROM r JOIN o ON o.pool = r.pool AND o.k = r.k + 1 WHERE total < 60))
+SELECT pool, picked AS id FROM r WHERE picked IS NOT NULL"""
+)
 def greedy_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips of each user by distance until 60 seconds: the choice depends on what was chosen before."""
     rows = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("pool"), F.col("event_id").alias("id"), F.col("event_type").alias("source"), (F.col("event_id") % 50).alias("number"), F.col("value").alias("distance"), (F.col("event_id") % 9 + 1).cast("double").alias("seconds"))

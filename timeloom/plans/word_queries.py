@@ -200,7 +200,16 @@ def mangled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec", "idx", "term", F.floor(F.col("ratio") * 1000).alias("permille"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {WORDS},
+ends AS (SELECT *, CASE WHEN regexp_matches(w, '[.!?]$') THEN 1 ELSE 0 END AS closes FROM words),
+pieces AS (SELECT *, sum(closes) OVER (PARTITION BY rec ORDER BY idx) - closes AS piece FROM ends),
+counts AS (SELECT rec, piece, count(*) AS n FROM pieces GROUP BY rec, piece),
+run AS (SELECT rec, piece, n AS held, 0 AS chunk FROM counts WHERE piece = 0
+        UNION ALL SELECT c.rec, c.piece, CASE WHEN r.held >= 3 THEN c.n ELSE r.held + c.n END, CASE WHEN r.held >= 3 THEN r.chunk + 1 ELSE r.chunk END FROM run r JOIN counts c ON c.rec = r.rec AND c.piece = r.piece + 1)
+SELECT rec, CAST(chunk AS BIGINT) AS chunk, min(idx) AS first, max(idx) AS last, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(w, ' ' ORDER BY idx) AS text
+FROM pieces JOIN run USING (rec, piece) GROUP BY rec, chunk HAVING count(*) >= 3 AND max(end_ms) - min(start_ms) >= 500"""
+)
 def sentence_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.sentence_requests(fx.words(spark, sf_dir))
 
