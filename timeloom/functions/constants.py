@@ -10,3 +10,4 @@ RHETORICAL = ["very", "really", "no", "yes", "never", "much", "many", "far"]
 CONTRACTIONS = ["'ve", "'ll", "'re", "'d", "'m", "'s"]
 SUFFIXES = [("'s", ""), ("s", ""), ("es", ""), ("ies", "y"), ("ed", ""), ("ing", "")]
 FAULT_WEIGHTS = {"brand": 6.0, "stutter": 2.0, "filler": 1.5, "low_conf": 1.0}
+FILLER_PHRASES = ["you can see here", "you know", "basically", "kind of", "sort of", "and so forth", "go ahead and", "i think", "what we'll do is", "we've got", "i've got"]

@@ -8,31 +8,32 @@ from pyspark.sql import functions as F
 from timeloom.functions import constants as C
 from timeloom.functions import text as t
 
-#: Fixed phrases that fill time in a narration.
-FILLER_PHRASES = ["you know", "i mean", "kind of", "sort of", "as you can see"]
+#: "one of the" and up to four words, up to a word that goes on, a mark or the end; the words are the group.
+ONE_OF = r"(?i)\bone of (?:the|my|our|your|its)\s+((?:[a-z-]+\s+){0,3}?[a-z-]+)(?:\s+(?:i|i'm|we|you|that|which|in|for|to|on|and|is)\b|[.,!?]|$)"
 
 
-def notes(text: Column, budget: Column | None = None, names: dict[str, str] | None = None, phrases: list[str] = FILLER_PHRASES) -> Column:
-    """Distinct notes on a line; null where nothing applies does not occur, an empty array does.
+def notes(text: Column, budget: Column | None = None, names: dict[str, str] | None = None, phrases: list[str] = C.FILLER_PHRASES) -> Column:
+    """Distinct notes on a line; null where nothing applies does not occur, an empty array does. A line without text has none.
 
     ``names`` maps lower-case spellings to the spelling that a coined name has to have.
     """
-    lower = F.lower(text)
+    line = t.squash(text)
+    lower = F.lower(line)
     found = []
     for wrong, right in (names or {}).items():
         found.append(F.when(F.array_contains(F.transform(t.script_tokens(text), F.lower), wrong) & ~text.contains(right), F.lit(f"name:{right}")))
-    found.append(F.when(text.rlike("[^A-Za-z]word (document|doc|file|format)([^a-z]|$)"), F.lit("word-format")))
+    found.append(F.when(line.rlike(r"\bword (document|doc|file|format)"), F.lit("word-format")))
     for phrase in phrases:
-        found.append(F.when(lower.rlike(f"(^|[^a-z]){phrase}([^a-z]|$)"), F.lit(f"filler:{phrase}")))
-    found.append(F.when(text.rlike("[A-Za-z]\\. +[a-z]"), F.lit("stop-inside")))
-    found.append(F.when(F.trim(text).rlike("^[a-z]"), F.lit("lower-start")))
-    found.append(F.when(F.trim(text).rlike("^[^,]*, *[A-Za-z0-9']+ *,"), F.lit("comma-pair")))
-    last = F.regexp_extract(lower, "(?:^|[^a-z])one of (?:the|my|our|your|its) (?:[a-z']+ )*([a-z']+)", 1)
-    found.append(F.when((last != "") & ~last.isin(C.STOP_WORDS) & ~F.endswith(last, F.lit("s")), F.lit("singular")))
-    found.append(F.when(text.contains("  "), F.lit("double-space")))
+        found.append(F.when(lower.contains(phrase) & lower.rlike(rf"\b{phrase}\b"), F.lit(f"filler:{phrase}")))
+    found.append(F.when(line.rlike(r"[A-Za-z]\.\s+[a-z]"), F.lit("stop-inside")))
+    found.append(F.when(line.rlike(r"^\p{Ll}"), F.lit("lower-start")))
+    found.append(F.when(line.rlike(r",\s*\w+,\s") & line.rlike(r"^\W*\w+,\s*\w+,"), F.lit("comma-pair")))
+    last = F.regexp_extract(F.regexp_extract(lower, ONE_OF, 1), "([a-z-]+)$", 1)
+    found.append(F.when(lower.contains("one of ") & (last != "") & ~last.isin(C.STOP_WORDS) & ~F.endswith(last, F.lit("s")), F.lit("singular")))
+    found.append(F.when(text.rlike(r"\s{2,}"), F.lit("double-space")))
     if budget is not None:
-        found.append(F.when(t.word_count(text) > budget, F.lit("too-long")))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+        found.append(F.when(F.size(t.script_tokens(line)) > budget, F.lit("too-long")))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
 
 
 def rewrite_verdict(before: Column, after: Column, terms: Column) -> Column:
