@@ -102,7 +102,7 @@ def meetings(rows: DataFrame, some: DataFrame, *carried: str) -> DataFrame:
 
 
 #: Times that groups are tried against one other group in each bucket before all pairs of a bucket are.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def _mixed(rows: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:

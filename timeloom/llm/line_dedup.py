@@ -44,6 +44,9 @@ BROADCAST_LINES = 2_000_000
 
 CHUNK = 1_000_000
 
+#: Places for lines of a task whose blocks are known, each for the latest of its hash; a line that was forgotten gives its blocks again.
+LATEST = 1 << 18
+
 #: Features of lines that are worked on at a time.
 SIMHASH_FEATURES = 1 << 18
 
@@ -237,12 +240,13 @@ def _sizes(found: W.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
 def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Of docs (doc, print, body): one row per line that is compared (doc, print, line, node, check, size in characters, blocks).
 
-    ``blocks`` is filled at the first of equal lines of a batch, and empty if the line is too
+    ``blocks`` is filled at the first of equal lines of a task (or again, if that is no longer remembered), and empty if the line is too
     short to be compared with others than its equals. Null keys go through; a null body has no line.
     """
     schema = T.StructType([docs.schema["doc"], *fields(print=LONG, line=LONG, node=LONG, check=LONG, size=T.IntegerType(), blocks=T.ArrayType(LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        latest = np.zeros(LATEST, np.int64)
         for batch, data, offsets in chunks(batches, "body", CHUNK):
             found, first, row, line = _lines(data, offsets)
             node, check, h, count = _nodes(found, first)
@@ -250,7 +254,8 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             some = np.flatnonzero(count >= least_words)
             fresh = np.zeros(len(first), bool)
             fresh[some[np.unique(node[some], return_index=True)[1]]] = True
-            fresh &= size >= LEAST_SIZE
+            fresh &= (size >= LEAST_SIZE) & (latest[node & (LATEST - 1)] != node)
+            latest[node[fresh] & (LATEST - 1)] = node[fresh]
             number = np.cumsum(fresh) - 1
             its_line = np.repeat(np.arange(len(first)), count)
             h, letters, its_line = _features(found, h, its_line)
@@ -389,9 +394,16 @@ def edit_distances(a: list[str], b: list[str], enough: np.ndarray | None = None)
     changes the length by one, and two pairs of letters side by side each.
     """
     out, rest = np.zeros(len(a), np.int64), []
+    letters: dict[str, np.ndarray] = {}
     for i, (s, t) in enumerate(zip(a, b, strict=True)):
         if enough is not None:
             out[i] = abs(len(s) - len(t))
+            if out[i] > enough[i]:
+                continue
+            for x in (s, t):
+                if x not in letters:
+                    letters[x] = _two_letters(np.frombuffer(x.encode("utf-32-le"), np.uint32))
+            out[i] = -(-int(np.abs(letters[s] - letters[t]).sum()) // 4)
             if out[i] > enough[i]:
                 continue
             out[i] = _by_words(s, t, enough[i])
@@ -401,10 +413,6 @@ def edit_distances(a: list[str], b: list[str], enough: np.ndarray | None = None)
         out[i] = len(y)
         if not len(x) or (enough is not None and len(y) <= enough[i]):
             continue
-        if enough is not None and len(x) > 1:
-            out[i] = -(-int(np.abs(_two_letters(x) - _two_letters(y)).sum()) // 4)
-            if out[i] > enough[i]:
-                continue
         rest.append((i, x, y))
     rest.sort(key=lambda r: (-(-len(r[1]) // 64), -len(r[2])))
     begin = 0
