@@ -16,8 +16,14 @@ def pct_index(values: Column, q: float) -> Column:
     return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * q)).cast("int"))
 
 
-def upper_median(values: Column) -> Column:
-    return pct_index(values, 0.5)
+def index_values(rows: DataFrame, value: str, **shares: float) -> DataFrame:
+    """(rec, …): for each name the value at index floor(n * share) of a recording's sorted values; nulls are the highest.
+
+    Rows are numbered by a window, which spills, so that a recording may have any number of them.
+    """
+    ranked = rows.select("rec", F.col(value).alias("value"), F.row_number().over(Window.partitionBy("rec").orderBy(F.asc_nulls_last(value))).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("rec")).alias("n"))
+    place = lambda q: F.least(F.col("n"), F.floor(F.col("n") * q) + 1)
+    return ranked.groupBy("rec").agg(*[F.max(F.when(F.col("nth") == place(q), F.col("value"))).alias(name) for name, q in shares.items()])
 
 
 def levels(frames: DataFrame, window: int = 8) -> DataFrame:
@@ -27,7 +33,7 @@ def levels(frames: DataFrame, window: int = 8) -> DataFrame:
 
 def speech_level(levels: DataFrame, q: float = 0.75) -> DataFrame:
     """(rec, level, floor): index percentiles of the window energies."""
-    return levels.groupBy("rec").agg(pct_index(F.collect_list("energy"), q).alias("level"), pct_index(F.collect_list("energy"), 0.1).alias("floor"))
+    return index_values(levels, "energy", level=q, floor=0.1)
 
 
 def profile(frames: DataFrame, ceiling: int) -> DataFrame:
@@ -46,8 +52,8 @@ def quiet_runs(levels: DataFrame, least: int = 2) -> DataFrame:
 
     Recordings of fewer than three windows have none.
     """
-    stats = levels.groupBy("rec").agg(pct_index(F.collect_list("energy"), 0.1).alias("floor"), F.max("energy").alias("peak"), F.max("win").alias("end"), F.count(F.lit(1)).alias("n"))
-    rows = levels.join(stats.where("n >= 3"), "rec")
+    stats = levels.groupBy("rec").agg(F.max("energy").alias("peak"), F.max("win").alias("end"), F.count(F.lit(1)).alias("n"))
+    rows = levels.join(stats.where("n >= 3"), "rec").join(index_values(levels, "energy", floor=0.1), "rec")
     quiet = rows.where((F.col("energy") < 9 * F.greatest("floor", F.lit(1))) & (10 * F.col("energy") < 4 * F.col("peak")))
     runs = quiet.withColumn("run", F.col("win") - F.row_number().over(Window.partitionBy("rec").orderBy("win"))).groupBy("rec", "run", "end").agg(F.min("win").alias("first"), F.max("win").alias("last"))
     return runs.where((F.col("last") - F.col("first") + 1 >= least) & (F.col("first") > 0) & (F.col("last") < F.col("end"))).select("rec", "first", "last")
@@ -92,7 +98,7 @@ def prosody(frames: DataFrame, tail: int = 16) -> DataFrame:
 def jitter(frames: DataFrame) -> DataFrame:
     """(rec, jitter): the upper median of the steps between neighbouring frames."""
     steps = frames.withColumn("step", F.abs(F.col("v") - F.lag("v").over(_order()))).where("step IS NOT NULL")
-    return steps.groupBy("rec").agg(upper_median(F.collect_list("step")).alias("jitter"))
+    return index_values(steps, "step", jitter=0.5)
 
 
 def quiet_from(levels: DataFrame, start: int, below: int, least: int = 3) -> DataFrame:

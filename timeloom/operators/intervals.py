@@ -28,16 +28,27 @@ def complement(spans: DataFrame, extents: DataFrame | None = None) -> DataFrame:
     return holes.unionByName(head).unionByName(tail).where("b > a")
 
 
-def subtract(spans: DataFrame, cuts: DataFrame, least: int = 0) -> DataFrame:
-    """(…, a, b): each interval without the union of ``cuts``, in pieces longer than ``least``; other columns stay."""
-    gone = union(cuts).groupBy("rec").agg(F.array_sort(F.collect_list(F.struct(F.col("a").alias("c"), F.col("b").alias("d")))).alias("cuts"))
-    rows = spans.where("b > a").join(gone, "rec", "left")
-    inside = F.filter(F.coalesce("cuts", F.array().cast("array<struct<c:bigint,d:bigint>>")), lambda x: (x["c"] < F.col("b")) & (x["d"] > F.col("a")))
-    starts = F.concat(F.array("a"), F.transform(inside, lambda x: x["d"]))
-    ends = F.concat(F.transform(inside, lambda x: x["c"]), F.array("b"))
-    pieces = F.explode(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("a"), e.alias("b"))))
+def subtract(spans: DataFrame, cuts: DataFrame, least: int = 0, width: int = 7_200_000) -> DataFrame:
+    """(…, a, b): each interval without the union of ``cuts``, in pieces longer than ``least``; other columns stay.
+
+    An interval meets the islands of the cuts in time buckets. Islands are apart, so each gives
+    the piece behind it, up to the next island, and the first one the piece before it. Nothing
+    is gathered by recording or interval, and repeated rows give their pieces again.
+    """
+    order = Window.partitionBy("rec").orderBy("a")
+    islands = union(cuts).select("rec", F.col("a").alias("c"), F.col("b").alias("d"), F.lag("b").over(order).alias("before"), F.lead("a").over(order).alias("after"))
+    rows, gone = spans.where("b > a"), _bucketed(islands, F.col("c"), F.col("d"), width).alias("y")
+    wide = _bucketed(rows, F.col("a"), F.col("b"), width).alias("x")
+    meet = (F.col("x.rec") == F.col("y.rec")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("y.c") < F.col("x.b")) & (F.col("y.d") > F.col("x.a"))
+    met = wide.join(gone, meet & (F.col("x.bucket") == F.floor(F.greatest("x.a", "y.c") / width)))
+    head = F.when(F.coalesce(F.col("y.before") <= F.col("x.a"), F.lit(True)), F.struct(F.col("x.a").alias("a"), F.col("y.c").alias("b")))
+    rest = F.struct(F.col("y.d").alias("a"), F.least("x.b", F.coalesce("y.after", "x.b")).alias("b"))
     others = [c for c in spans.columns if c not in ("a", "b")]
-    return rows.select(*others, pieces.alias("piece")).select(*others, "piece.a", "piece.b").where(F.col("b") - F.col("a") > least)
+    pieces = met.select(*[F.col(f"x.`{c}`") for c in others], F.explode(F.array_compact(F.array(head, rest))).alias("piece")).select(*[F.col(f"`{c}`") for c in others], "piece.a", "piece.b")
+    # intervals that no island meets in any of their buckets stay whole
+    touched = met.select(F.col("x.rec").alias("rec"), F.col("x.a").alias("a"), F.col("x.b").alias("b")).distinct().alias("t")
+    whole = rows.alias("x").join(touched, (F.col("x.rec") == F.col("t.rec")) & (F.col("x.a") == F.col("t.a")) & (F.col("x.b") == F.col("t.b")), "left_anti")
+    return pieces.unionByName(whole.select(*[F.col(f"`{c}`") for c in others], "a", "b")).where(F.col("b") - F.col("a") > least)
 
 
 def _bucketed(df: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
@@ -85,10 +96,14 @@ def around(points: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def free_gap(points: DataFrame, spans: DataFrame, total: DataFrame) -> DataFrame:
-    """The hole (gap_a, gap_b) of each recording that a point (rec, id, t) falls in; no row for a point inside a span."""
-    holes = complement(spans, total).alias("y")
-    x = points.alias("x")
-    return x.join(holes, (F.col("x.rec") == F.col("y.rec")) & (F.col("x.t") >= F.col("y.a")) & (F.col("x.t") < F.col("y.b"))).select("x.rec", "x.id", F.col("y.a").alias("gap_a"), F.col("y.b").alias("gap_b"))
+    """The hole (gap_a, gap_b) of each recording that a point (rec, id, t) falls in; no row for a point inside a span.
+
+    Holes are apart, so a point can only be in the one that began last: one window over both.
+    """
+    holes = complement(spans, total).select("rec", F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.col("a").alias("t"), F.struct("a", "b").alias("hole"), F.lit(0).alias("asks"))
+    rows = points.select("rec", "id", "t", F.lit(None).cast(holes.schema["hole"].dataType).alias("hole"), F.lit(1).alias("asks")).unionByName(holes)
+    begun = F.last("hole", ignorenulls=True).over(Window.partitionBy("rec").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("hole", begun).where("asks = 1 AND t < hole.b").select("rec", "id", F.col("hole.a").alias("gap_a"), F.col("hole.b").alias("gap_b"))
 
 
 def tiles(placed: DataFrame, gap_least: int = 800, residual: int = 280, speed: int = 3, least: int = 20) -> DataFrame:

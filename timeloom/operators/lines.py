@@ -77,9 +77,11 @@ def restore(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def slice_at(slices: DataFrame, at: DataFrame, near: int = 350) -> DataFrame:
-    """Slices (rec, at) with new instants added, unless one lies within ``near`` already."""
-    x, y = at.alias("x"), slices.alias("y")
-    close = (F.col("x.rec") == F.col("y.rec")) & (F.abs(F.col("x.at") - F.col("y.at")) <= near)
+    """Slices (rec, at) with new instants added, unless one lies within ``near`` already; they meet in buckets of time."""
+    width = 2 * near + 1
+    reach = F.sequence(F.floor((F.col("at") - near) / width), F.floor((F.col("at") + near) / width))
+    x, y = at.withColumn("bucket", F.floor(F.col("at") / width)).alias("x"), slices.select("rec", "at", F.explode(reach).alias("bucket")).alias("y")
+    close = (F.col("x.rec") == F.col("y.rec")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.abs(F.col("x.at") - F.col("y.at")) <= near)
     return slices.select("rec", "at").unionByName(x.join(y, close, "left_anti").select("rec", "at")).distinct()
 
 
