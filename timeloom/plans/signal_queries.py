@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from timeloom.operators import frames as ops
 from timeloom.sources import fixtures as fx
@@ -71,6 +72,7 @@ def quiet_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.quiet_from(ops.levels(fx.frames(spark, sf_dir)), 2, 120_000, 2)
 
 
-@query(f"WITH {FRAMES} SELECT rec, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS spread FROM frames GROUP BY rec")
+@query(f"""WITH {FRAMES}, e AS (SELECT *, max(k) OVER (PARTITION BY rec) - k < 16 AS late FROM frames)
+SELECT rec, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS spread, round(regr_slope(v, k) FILTER (WHERE late), 4) AS slope FROM e GROUP BY rec""")
 def phrase_prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.prosody(fx.frames(spark, sf_dir)).select("rec", "median", "spread")
+    return ops.prosody(fx.frames(spark, sf_dir)).select("rec", "median", "spread", F.round("slope", 4).alias("slope"))
