@@ -168,6 +168,19 @@ def test_warc(spark):
     assert warc.archive(pages, least_bytes=10**6)[0].where("record_type = 'revisit'").count() == 0
 
 
+def test_archives_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    sizes = [10] * 200 + [3000] * 40 + [15_000] * 5 + [90_000, 0]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * n + str(i)) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    index, path = warc.archive(pages)
+    rows = index.collect()
+    assert sorted((int(r.page_id), r.payload_bytes) for r in rows) == [(i, n + len(str(i))) for i, n in enumerate(sizes)]
+    files = {}
+    for r in rows:
+        files.setdefault(r.archive, []).append(r.length)
+    assert all(sum(x) <= 20_000 + 300 * len(x) or len(x) == 1 for x in files.values()) and len(files) < 80
+
+
 def test_loser_tree():
     rng = random.Random(5)
     for _ in range(100):

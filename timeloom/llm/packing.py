@@ -202,28 +202,29 @@ def pack(pieces: DataFrame, size: int = 2048, length: str = "length", order: tup
     Lengths have to lie between 1 and ``size``. The plan is made from the number of pieces of
     each length, so its size does not depend on the corpus. Pieces of one length take its
     places in the order of the columns ``order`` within each of many dealt parts, so a length that many pieces have is
-    numbered by many tasks. Repeated and null ids are pieces like any other.
+    numbered by many tasks; how many stand in the parts before is a table that is joined by length and part. Repeated and null ids are pieces like any other.
     """
     pieces = written(pieces, "pieces")
     parts = int(pieces.count() // RANK_ROWS) + 16
-    part, rank = own_name(pieces, "_part"), own_name(pieces, "_rank")
+    part, rank, before = own_name(pieces, "_part"), own_name(pieces, "_rank"), own_name(pieces, "_before")
     dealt = pieces.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)))
-    counted = dealt.groupBy(F.col(length).alias("length"), F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "part"])
+    counted = written(dealt.groupBy(F.col(length).alias("of_length"), F.col(part).alias("of_part")).agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = np.zeros(size + 1, np.int64)
-    np.add.at(counts, counted["length"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
-    before = np.zeros((size + 1, parts + 1), np.int64)
-    before[counted["length"].to_numpy(np.int64), counted["part"].to_numpy(np.int64) + 1] = counted["n"].to_numpy(np.int64)
-    shared = pieces.sparkSession.sparkContext.broadcast((Plan(counts, size).slots(), np.cumsum(before, axis=1)))
+    for row in counted.groupBy("of_length").agg(F.sum("n").alias("n")).collect():
+        counts[row.of_length] = row.n
+    shared = pieces.sparkSession.sparkContext.broadcast(Plan(counts, size).slots())
     numbered = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(length, part).orderBy(*order)))
+    earlier = counted.select("of_length", "of_part", (F.sum("n").over(Window.partitionBy("of_length").orderBy("of_part")) - F.col("n")).alias(before))
+    numbered = numbered.join(earlier, (F.col(length) == F.col("of_length")) & (F.col(part) == F.col("of_part")))
     schema = T.StructType([*pieces.schema.fields, *fields(sequence_id=LONG, offset=LONG)])
     columns = pieces.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (lengths, places, sequences, offsets), before = shared.value
+        lengths, places, sequences, offsets = shared.value
         key = (lengths << 40) | places
         for batch in batches:
             own = batch.column(length).to_numpy().astype(np.int64)
-            place = before[own, batch.column(part).to_numpy().astype(np.int64)] + batch.column(rank).to_numpy() - 1
+            place = batch.column(before).to_numpy() + batch.column(rank).to_numpy() - 1
             at = np.searchsorted(key, (own << 40) | place, "right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequences[at] + place - places[at]), pa.array(offsets[at])], names=schema.names)
 

@@ -18,6 +18,9 @@ from .common import LONG, TEXT, fields, new_path, written
 #: Payload bytes that one archive file holds, about.
 ARCHIVE_BYTES = 8_000_000
 
+#: Bytes of a record beside its payload, about.
+HEAD_BYTES = 500
+
 #: Payloads with copies that are broadcast at most (about 60 bytes each); more are joined by a shuffle of all pages.
 BROADCAST_ROWS = 500_000
 
@@ -76,13 +79,19 @@ def records(pages: DataFrame, page_id: str, url: str, payload: str, captured=Non
     return rows.select("page", "size", F.concat(head, F.when(again, "").otherwise(F.col("body")), F.lit(line)).alias("record"))
 
 
-def write_archives(rows: DataFrame, path: str, mean_bytes: float) -> None:
-    """Writes ``records`` as archive files of about ARCHIVE_BYTES: text files whose line end closes a record.
+def write_archives(rows: DataFrame, path: str, mean_bytes: float, largest: int) -> None:
+    """Writes ``records`` as archive files: text files whose line end closes a record.
 
-    Each task writes what it has read, in as many files as that takes; no page moves.
+    Payloads are written by classes of size, up to twice the mean and then 16 times as large
+    each, with as many records to a file as keep it within about ARCHIVE_BYTES if all are the largest of
+    their class; only a larger payload makes a larger file, alone. Each task writes what it has read; no page moves.
     """
-    most = max(1, int(ARCHIVE_BYTES / max(1.0, mean_bytes)))
-    rows.select("record").write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(path)
+    low, high, nth = -1, max(1, int(2 * mean_bytes)), 0
+    while low < largest or not nth:
+        most = max(1, ARCHIVE_BYTES // (high + HEAD_BYTES))
+        some = rows.where((F.col("size") > low) & (F.col("size") <= high))
+        some.select("record").write.option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(f"{path}/sizes-{nth}")
+        low, high, nth = high, 16 * high if 16 * high < ARCHIVE_BYTES else max(largest, high), nth + 1
 
 
 def _parse(name: str, content: bytes) -> Iterator[tuple]:
@@ -123,7 +132,7 @@ def index_runs(spark: SparkSession, path: str) -> DataFrame:
                 columns = [*zip(*lines, strict=True)] or [()] * len(INDEX)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if f.dataType == T.LongType() else pa.string()) for c, f in zip(columns, INDEX, strict=True)), pa.array(range(len(lines)), pa.int64())], names=schema.names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, schema)
 
 
 def loser_tree(runs: list[Iterator], key: Callable) -> Iterator:
@@ -192,6 +201,7 @@ def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     strings; an empty string stands for a null id. An empty table gives an empty index.
     """
     path = new_path(pages.sparkSession, "warc")
-    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col(f"`{payload}`"), F.lit(""))) + 500)).first()[0]
-    write_archives(records(pages, page_id, url, payload, captured, least_bytes), path, mean or 0.0)
+    size = F.octet_length(F.coalesce(F.col(f"`{payload}`"), F.lit("")))
+    mean, largest = pages.agg(F.avg(size), F.max(size)).first()
+    write_archives(records(pages, page_id, url, payload, captured, least_bytes), path, mean or 0.0, largest or 0)
     return merge_runs(index_runs(pages.sparkSession, path)), path
