@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard, language_id, license_scan, line_dedup, packing, quality, url_filter, warc
+from . import decontamination, embedding_dedup, jaccard, language_id, license_scan, line_dedup, packing, quality, spelling, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 31st run by its hash loses a letter. A null doc_id counts as empty."""
+    found = spelling.runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    at = (h % F.length("word")).cast("int")
+    slipped = F.concat(F.substr("word", F.lit(1), at), F.substr("word", at + 2))
+    return spelling.variants(spelling.counted(found.select(F.when(h % 31 == 0, slipped).otherwise(F.col("word")).alias("word"))))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -104,6 +113,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
+    "op13_spelling": op13_spelling,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -200,3 +210,37 @@ FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN found f USING (doc_id)
 
 
 ORACLES["op5_license_scan"] = _license_oracle()
+
+# crc32 byte by byte, from a table that its rule gives
+_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc(bytes_list: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_list}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+# all characters are below U+0100, so two bytes at most
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))"
+
+ORACLES["op13_spelling"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+runs AS MATERIALIZED (
+    SELECT id, w, count(*) AS m
+    FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents)
+    WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT w, m, {_crc(_BYTES.format("id || ':' || w"))} AS h FROM runs, crc),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, m FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+cut AS MATERIALIZED (SELECT DISTINCT word, n, i, word[:i] || '*' || word[i + 2:] AS skipped, word[:i] || word[i + 2:] AS less FROM words, unnest(range(length(word))) AS r(i)),
+pairs AS (
+    SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.skipped = b.skipped AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.less = b.word),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS best, max(n) AS best_n FROM pairs GROUP BY word),
+forms AS MATERIALIZED (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+    FROM words LEFT JOIN near USING (word)),
+walk AS (SELECT word, form AS here FROM forms WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON w.here = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.here AS root FROM walk w JOIN forms f ON w.here = f.word WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN roots USING (word)
+"""
