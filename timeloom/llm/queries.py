@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard, language_id, license_scan, line_dedup, packing, quality, spelling, url_filter, warc
+from . import decontamination, embedding_dedup, jaccard, language_id, license_scan, line_dedup, packing, quality, quality_rules, spelling, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 31st run by its hash loses a letter. A null doc_id counts as empty."""
     found = spelling.runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -113,6 +118,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
+    "op12_quality_rules": op12_quality_rules,
     "op13_spelling": op13_spelling,
 }
 
