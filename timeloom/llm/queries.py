@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, jaccard, language_id, license_scan, line_dedup, packing, quality, quality_rules, spelling, url_filter, warc
+from . import conversation_trie, decontamination, embedding_dedup, jaccard, language_id, license_scan, line_dedup, packing, quality, quality_rules, spelling, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str, **sizes: int) -> DataFrame:
+    turns = conversation_trie.numbered(read(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.headed(turns, 20, F.crc32(F.col("conv").cast("string").cast("binary")) % 4), **sizes)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -118,6 +123,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_quality_rules": op12_quality_rules,
     "op13_spelling": op13_spelling,
 }
@@ -250,3 +256,31 @@ walk AS (SELECT word, form AS here FROM forms WHERE form IS NOT NULL UNION ALL S
 roots AS (SELECT w.word, w.here AS root FROM walk w JOIN forms f ON w.here = f.word WHERE f.form IS NULL)
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN roots USING (word)
 """
+
+ORACLES["op11_conversation_trie"] = f"""
+WITH crc AS MATERIALIZED ({_CRC_TABLE}),
+turns AS MATERIALIZED (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 20 AS leader, {_crc(_BYTES.format("CAST(conv_id AS VARCHAR)"))} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc),
+mixed AS (
+    SELECT c.conv_id, t.place, 0 AS own, role, text FROM convs c JOIN turns t ON t.conv_id = c.leader AND t.place < c.h
+    UNION ALL SELECT c.conv_id, t.place, 1, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place >= c.h),
+prints AS (
+    SELECT conv_id, row_number() OVER w AS depth, sha256(concat(length(role), ' ', role, text)) AS print, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM mixed WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)),
+paths AS MATERIALIZED (
+    SELECT conv_id, depth, words, sha256(string_agg(print, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM prints
+    UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+sizes AS (SELECT conv_id, max(depth) AS size FROM paths GROUP BY conv_id),
+nodes AS MATERIALIZED (
+    SELECT node, depth, max(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth) AS ends
+    FROM paths JOIN sizes USING (conv_id) GROUP BY node, depth),
+ups AS MATERIALIZED (SELECT n.node, n.conv_id, n.depth, n.words, n.n_convs, p.node AS up FROM nodes n LEFT JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS MATERIALIZED (SELECT up AS node, count(*) AS n_children FROM ups WHERE up IS NOT NULL GROUP BY up),
+below AS (
+    SELECT p.node, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved
+    FROM ups u LEFT JOIN kids k USING (node) JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN ups u USING (node) LEFT JOIN nodes p ON p.node = u.up LEFT JOIN kids k ON k.node = n.node JOIN below b ON b.node = n.node
+"""
