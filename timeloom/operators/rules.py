@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from timeloom.functions import constants as C
 from timeloom.functions import text as t
 
-#: "one of the" and up to four words, up to a word that goes on, a mark or the end; the words are the group.
+from . import sequences as seq
+
+#: Fixed values: "one of the" and up to four words, up to a word that goes on, a mark or the end; the words are the group.
 ONE_OF = r"(?i)\bone of (?:the|my|our|your|its)\s+((?:[a-z-]+\s+){0,3}?[a-z-]+)(?:\s+(?:i|i'm|we|you|that|which|in|for|to|on|and|is)\b|[.,!?]|$)"
 
 
@@ -29,7 +31,7 @@ def notes(text: Column, budget: Column | None = None, names: dict[str, str] | No
     found.append(F.when(line.rlike(r"^\p{Ll}"), F.lit("lower-start")))
     found.append(F.when(line.rlike(r",\s*\w+,\s") & line.rlike(r"^\W*\w+,\s*\w+,"), F.lit("comma-pair")))
     last = F.regexp_extract(F.regexp_extract(lower, ONE_OF, 1), "([a-z-]+)$", 1)
-    found.append(F.when(lower.contains("one of ") & (last != "") & ~last.isin(C.STOP_WORDS) & ~F.endswith(last, F.lit("s")), F.lit("singular")))
+    found.append(F.when(lower.contains("one of ") & (last != "") & ~last.isin(C.SCRIPT_STOP_WORDS) & ~F.endswith(last, F.lit("s")), F.lit("singular")))
     found.append(F.when(text.rlike(r"\s{2,}"), F.lit("double-space")))
     if budget is not None:
         found.append(F.when(F.size(t.script_tokens(line)) > budget, F.lit("too-long")))
@@ -43,6 +45,54 @@ def rewrite_verdict(before: Column, after: Column, terms: Column) -> Column:
     return F.when(F.trim(after) == "", "empty").when(F.rtrim(after).rlike("[,;:-]$"), "dangling").when(~share.between(0.6, 1.8), "length").when(lost, "term").otherwise("ok")
 
 
+def judged(replies: DataFrame, key: list[str]) -> DataFrame:
+    """(key, kind, why, detail) of replies (key, now, said, got, edited, cap, budget) that propose a line, one row each.
+
+    ``kind`` is drop, spruce (a light touch on an edited line) or polish; ``rejected`` with a reason in ``why``: lowercase,
+    mid-sentence, number (one that was never said, in ``detail``), rewritten (an edited line by more than three words or to a
+    ratio below 0.6, in ``detail`` as thousandths), swapped (``old>new`` in ``detail``), long, or short; and null where nothing is
+    proposed: no reply, DROP of an edited line, or the line as it is. Only edited lines that nothing else
+    decides are aligned with their replies. Null texts are empty.
+    """
+    text = {c: F.coalesce(c, F.lit("")) for c in ("now", "said")}
+    new = t.for_speech(F.col("got"))
+    rows = replies.select(*key, *[x.alias(c) for c, x in text.items()], "got", "edited", "cap", "budget", new.alias("new"))
+    tokens = {"before": t.script_tokens(F.col("now")), "after": t.script_tokens(F.col("new")), "heard": t.script_tokens(F.col("said"))}
+    rows = rows.withColumns({c: F.transform(x, F.lower) for c, x in tokens.items()})
+    spoken = F.lower(F.concat("now", F.lit(" "), "said"))
+    unsaid = F.get(F.filter(F.regexp_extract_all("new", F.lit("([0-9]+)"), 1), lambda n: ~seq.number_said(n, spoken)), F.lit(0))
+    rows = rows.withColumn("unsaid", unsaid)
+    many, few = F.size("after"), F.size("before")
+    nothing = F.col("got").isNull() | (F.col("new") == "") | (t.squash(F.col("new")) == t.squash(F.col("now")))
+    is_drop = F.regexp_replace(F.upper(F.trim("got")), "\\.+$", "") == "DROP"
+    first = (
+        F.when(is_drop, F.when(~F.col("edited"), "drop").otherwise("none"))
+        .when(nothing, "none")
+        .when(F.col("new").rlike("^\\p{Ll}"), "lowercase")
+        .when(F.rtrim("new").rlike("[,;:]$"), "mid-sentence")
+        .when(F.col("unsaid").isNotNull(), "number")
+        .when(F.col("edited"), F.when(many > few + 3, "rewritten"))
+        .when((many > few) & (many > F.least(F.col("cap") + 2, "budget")), "long")
+        .when(many < 2, "short")
+        .otherwise("polish")
+    )
+    rows = seq.settled(rows.withColumn("why", first))
+    pairs = rows.where("edited AND (why IS NULL OR why = 'rewritten')").select(*key, "before", "after", "heard")
+    blocks = seq.settled(seq.matching_blocks(pairs, key, "before", "after"))
+    alike = seq.ratios(pairs, key, "before", "after", blocks).select(*key, "matched", (F.size("before") + F.size("after")).alias("both"))
+    operations = seq.edit_operations(pairs, key, blocks, "before", "after")
+    swaps = seq.swapped_words(pairs, key, operations, "heard", "before", "after").select(*key, F.col("old").alias("old_word"), F.col("new").alias("new_word"))
+    rows = rows.join(alike, key, "left").join(swaps, key, "left")
+    # ratio below 0.6, in whole numbers
+    why = F.coalesce("why", F.when((F.col("both") > 0) & (20 * F.col("matched") < 6 * F.col("both")), "rewritten").when(F.col("new_word").isNotNull(), "swapped").otherwise("spruce"))
+    rows = rows.withColumn("why", why)
+    ratio = F.when(F.col("both") == 0, 1000).otherwise(F.floor(2000 * F.col("matched") / F.col("both")))
+    detail = F.when(F.col("why") == "number", F.col("unsaid")).when(F.col("why") == "rewritten", ratio.cast("string")).when(F.col("why") == "swapped", F.concat("old_word", F.lit(">"), "new_word"))
+    kinds = F.col("why").isin("drop", "spruce", "polish")
+    kind = F.when(kinds, F.col("why")).when(F.col("why") != "none", "rejected")
+    return rows.select(*key, kind.alias("kind"), F.when(~kinds & (F.col("why") != "none"), F.col("why")).alias("why"), detail.alias("detail"))
+
+
 def clean_verdict(before: Column, after: Column, low: float = 0.55, high: float = 1.6) -> Column:
     share = t.word_count(after) / F.greatest(t.word_count(before), F.lit(1))
     return F.when(F.trim(after) == "", "rejected").when(~share.between(low, high), "rejected").when(after == before, "kept").otherwise("changed")
