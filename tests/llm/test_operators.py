@@ -446,6 +446,17 @@ def test_jaccard(spark, monkeypatch, size, percent, seed):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
 
 
+def test_lines_of_one_first_hash_are_told_apart(spark):
+    docs = spark.createDataFrame([(0, 1, "alpha beta gamma delta epsilon\nalpha beta gamma delta epsilom"), (1, 1, "one two three four five six seven"), (2, 1, "one two three four five six seven")], "doc int, print long, body string")
+    lines = line_dedup.written(line_dedup.line_table(docs, 1), "lines")
+    first = lines.where("doc = 0 AND line = 0").first()
+    forced = line_dedup.written(lines.withColumn("node", F.when(F.col("doc") > 0, first.node).otherwise(F.col("node"))), "lines")
+    told, keepers = line_dedup.keepers_of(docs, forced)
+    assert told.select("node").distinct().count() == 3
+    again = told.join(keepers, "node").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
+    assert {(r.doc, r.line) for r in again.collect()} == {(0, 1), (2, 0)}
+
+
 def test_url_filter(spark):
     urls = ["https://a.Example.com/en/7x", "http://example.com/en/8", "http://x.net/de/1", "http://q.example.net/de/8?x", "http://example.net/de/9", "http://b.org/es/", "http://b.org/es", None, "nothing", "http://", "a://b#c", "http://notcom/en/", "://com/en/#", "http://c.de/" + "a/" * 40]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(1, urls[1], "z"), (None, urls[2], "z")], "page_id long, url string, host string")

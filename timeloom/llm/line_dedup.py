@@ -220,14 +220,15 @@ def _features(found: W.Words, h: np.ndarray, line: np.ndarray) -> tuple[np.ndarr
 
 
 def _nodes(found: W.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line: a hash of its words in order and a second one, their word hashes, and the number of words."""
+    """Of each line: a hash of its words in order and a second one, from other hashes of the words; their word hashes, and the number of words."""
     h = W.hashes(found.data, found.start, found.end)
     count = np.diff(np.append(first, len(h)))
-    place = np.arange(len(h)) - np.repeat(first, count)
-    value = W.mix(h + place.astype(U) * U(0xD6E8FEB86659FD93))
-    total = np.add.reduceat(value, first) if len(first) else np.zeros(0, U)
-    other = np.bitwise_xor.reduceat(value, first) if len(first) else np.zeros(0, U)
-    return W.mix(total + count.astype(U)).view(np.int64), other.view(np.int64), h, count
+    place = (np.arange(len(h)) - np.repeat(first, count)).astype(U)
+    both = []
+    for word, step in ((h, U(0xD6E8FEB86659FD93)), (W.hashes(found.data, found.start, found.end, W.other_mix), U(0xE7037ED1A0B428DB))):
+        value = W.mix(word + place * step)
+        both.append((W.mix((np.add.reduceat(value, first) if len(first) else np.zeros(0, U)) + count.astype(U))).view(np.int64))
+    return *both, h, count
 
 
 def _sizes(found: W.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -246,16 +247,19 @@ def line_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     schema = T.StructType([docs.schema["doc"], *fields(print=LONG, line=LONG, node=LONG, check=LONG, size=T.IntegerType(), blocks=T.ArrayType(LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latest = np.zeros(LATEST, np.int64)
+        latest = np.zeros((2, LATEST), np.int64)
         for batch, data, offsets in chunks(batches, "body", CHUNK):
             found, first, row, line = _lines(data, offsets)
             node, check, h, count = _nodes(found, first)
             size = _sizes(found, first, count)
             some = np.flatnonzero(count >= least_words)
             fresh = np.zeros(len(first), bool)
-            fresh[some[np.unique(node[some], return_index=True)[1]]] = True
-            fresh &= (size >= LEAST_SIZE) & (latest[node & (LATEST - 1)] != node)
-            latest[node[fresh] & (LATEST - 1)] = node[fresh]
+            _, one, of = np.unique(node[some], return_index=True, return_inverse=True)
+            fresh[some[one]] = True
+            fresh[some] |= check[some] != check[some[one]][of]
+            slot = node & (LATEST - 1)
+            fresh &= (size >= LEAST_SIZE) & ((latest[0][slot] != node) | (latest[1][slot] != check))
+            latest[0][slot[fresh]], latest[1][slot[fresh]] = node[fresh], check[fresh]
             number = np.cumsum(fresh) - 1
             its_line = np.repeat(np.arange(len(first)), count)
             h, letters, its_line = _features(found, h, its_line)
@@ -479,27 +483,46 @@ def line_groups(docs: DataFrame, lines: DataFrame, nodes: DataFrame, similarity:
     return found
 
 
-def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc, print, body): the compared lines, and (node, check, keeper) of lines that stand in several places.
+def told_apart(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The line table with a node for each different line, and the nodes (node, size, first, places). ``lines`` is deleted if it is not returned.
 
-    The keeper is the place (doc, print, line) that stays: the first of the connected group.
-    Equal lines share a node; a second hash keeps unlike lines apart whose node is the same by chance.
+    A line is known by two hashes of 64 bits, node and check. Where one node has several checks, all but the least get
+    another node, made of both, until each node has one; there are hardly ever any, so later joins need the node alone.
     """
-    lines = written(line_table(docs, least_words), "lines")
     place = F.struct("doc", "print", "line")
-    nodes = written(lines.groupBy("node", "check").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places")), "nodes")
+    while True:
+        nodes = written(lines.groupBy("node").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places"), F.min("check").alias("check"), F.max("check").alias("most")), "nodes")
+        clash = nodes.where("check != most").select("node", F.col("check").alias("least"))
+        many = clash.count()
+        if not many:
+            return lines, nodes
+        joined = lines.join(F.broadcast(clash) if many <= BROADCAST_ROWS else clash, "node", "left")
+        last, lines = lines, written(joined.withColumn("node", F.when(F.col("check") != F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))).select(*lines.columns), "lines")
+        discard(last, nodes)
+
+
+def keepers_of(docs: DataFrame, lines: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc, print, body) and their line table: the lines with nodes told apart, and (node, keeper) of lines that stand in several places.
+
+    The keeper is the place (doc, print, line) that stays: the first of the connected group.
+    """
+    lines, nodes = told_apart(lines)
     found = line_groups(docs, lines, nodes, similarity)
-    places = nodes.select("node", "check", "first", "places")
+    places = nodes.select("node", "first", "places")
     grouped = places.join(found, "node")
     first = grouped.groupBy("group").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("many"))
-    linked = grouped.join(first.where("many > 1"), "group").select("node", "check", "keeper")
-    repeated = places.where("places > 1").join(linked, ["node", "check"], "left_anti").select("node", "check", F.col("first").alias("keeper"))
-    many = linked.unionByName(repeated)
-    keepers = written(many, "keepers")
+    linked = grouped.join(first.where("many > 1"), "group").select("node", "keeper")
+    repeated = places.where("places > 1").join(linked, "node", "left_anti").select("node", F.col("first").alias("keeper"))
+    keepers = written(linked.unionByName(repeated), "keepers")
     discard(nodes, found)
     return lines, keepers
 
 
+def groups(docs: DataFrame, similarity: float = 0.8, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``keepers_of`` the compared lines of docs (doc, print, body)."""
+    return keepers_of(docs, written(line_table(docs, least_words), "lines"), similarity)
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the lines gone of which an earlier occurrence stays, and columns lines and removed in front
     (with underscores behind the name where ``docs`` has such a column).
@@ -514,7 +537,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     n_lines, n_removed = own_name(docs, "lines"), own_name(docs, "removed")
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("print"), F.col(f"`{text}`").cast("string").alias("body"))
     lines, keepers = groups(named.select("doc", "print", "body"), similarity, least_words)
-    again = lines.select("doc", "print", "line", "node", "check").join(keepers, ["node", "check"]).where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
+    again = lines.select("doc", "print", "line", "node").join(keepers, "node").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
     gone = written(again.groupBy(F.col("doc").alias("gone_doc"), F.col("print").alias("gone_print")).agg(F.collect_set("line").alias("gone")), "gone")
     discard(lines, keepers)
     if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
