@@ -483,6 +483,19 @@ def test_url_templates(spark):
     assert got[200].template == "/p/*/x" and 0.4 < got[200].purity < 0.6
 
 
+def test_url_tree_goes_as_deep_as_branches_are_shared(spark):
+    deep = "/".join("abcdefgh")
+    rows = [(i, f"http://h.de/{deep}/{i}/end", i < 30) for i in range(60)] + [(100 + i, f"http://h.de/{deep}/x{i}y", None) for i in range(15)] + [(200, "http://one.de/" + "/".join(["s"] * 3000), None)]
+    rows += [(300 + 30 * n + i, f"http://k.de/{part}/{i}", i % 3 == 0) for n, part in enumerate(("red", "blue", "green")) for i in range(30)] + [(400 + i, f"http://l.de/odd/{i}/more", True) for i in range(30)]
+    pages = spark.createDataFrame([(*r, "given") for r in rows], "page_id long, url string, bad boolean, host string")
+    judged = url_filter.judge(pages, [], ["page_id", "host"], rejected=F.col("bad"))
+    assert judged.columns == ["page_id", "host", "host_", "path", "rule", "template", "purity", "verdict"]
+    got = {r.page_id: r for r in judged.collect()}
+    assert got[0].template == f"/{deep}/{{n}}/end" and {got[100 + i].template for i in range(15)} == {f"/{deep}/*"}
+    assert got[200].template == "/" + "/".join(["s"] * 3000) and got[0].host == "given" and got[0].host_ == "h.de"
+    assert {got[300 + i].template for i in range(90)} == {"/+/{n}"} and got[400].template == "/odd/{n}/more"
+
+
 def test_url_purities(spark):
     """The chain of wider groups against a plain recomputation; pages without a rule get both verdicts by evidence."""
     rng = random.Random(21)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, written
-
-#: Segments that are compared one by one; what lies deeper counts as one last segment.
-DEPTH = 6
+from .common import ascii_lower, discard, own_name, written
 
 
 class Rule(NamedTuple):
@@ -52,9 +50,7 @@ def _kind(segment: Column) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    parts = F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), _kind)
-    tail = F.array(F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts) - DEPTH + 1, F.lit(1))), "/"))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), tail)).otherwise(parts)
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), _kind)
 
 
 def _differs(hits: Column, total: Column, all_hits: Column, all_total: Column, z: float) -> Column:
@@ -67,24 +63,31 @@ def _differs(hits: Column, total: Column, all_hits: Column, all_total: Column, z
 
 
 def template_tree(urls: DataFrame, kinds: int = 10, share: float = 0.05, z: float = 1.96) -> DataFrame:
-    """Templates of ``urls`` (host, segments, n, labelled, rejected): adds ``template``.
+    """Templates of ``urls`` (host, segments, n, labelled, rejected): adds ``template`` and ``shared``.
 
     Level by level, below each branch: a segment becomes ``*`` if its parent has more than
     ``kinds`` different ones and it has less than ``share`` of its parent's urls. Of the named
     branches left, those whose rejected share, share of ends and share of numbers next do not
-    differ from their siblings' (two-proportion tests at ``z``) are merged into ``+``.
+    differ from their siblings' (two-proportion tests at ``z``) are merged into ``+``. What a single row (host, segments)
+    has below a branch that is its own has no siblings: it stays as it is, and is one step for ``purities``, behind the ``shared`` ones.
+    So levels go on as deep as urls of a host share their branches, however many those are.
     """
-    state = written(urls.withColumn("template", F.lit("")), "template")
+    columns = [*urls.columns, "template", "shared"]
+    nothing = F.lit(None).cast("int")
+    state, done = written(urls.withColumn("template", F.lit("")).withColumn("shared", nothing), "template"), []
     sums = ["n", "labelled", "rejected", "ends", "numbered"]
-    for level in range(1, DEPTH + 1):
+    level = 0
+    while not state.isEmpty():
+        level += 1
         step = state.withColumn("segment", F.get("segments", F.lit(level - 1)))
         following = F.get("segments", F.lit(level))
         branch = step.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(
             *[F.sum(c).alias(c) for c in sums[:3]],
             F.sum(F.when(following.isNull(), F.col("n")).otherwise(0)).alias("ends"),
             F.sum(F.when(F.startswith(following, F.lit("{n}")), F.col("n")).otherwise(0)).alias("numbered"),
+            F.count(F.lit(1)).alias("rows"),
         )
-        parent = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("all"))
+        parent = branch.groupBy("host", "template").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("all"), F.sum("rows").alias("all_rows"))
         fixed = F.col("segment").startswith("{") | (F.col("segment") == "")
         branch = branch.join(parent, ["host", "template"]).withColumn("name", F.when(~fixed & (F.col("many") > kinds) & (F.col("n") < share * F.col("all")), "*").otherwise(F.col("segment")))
         named = branch.where(~fixed & (F.col("name") != "*")).groupBy("host", "template").agg(F.count(F.lit(1)).alias("named"), *[F.sum(c).alias(f"all_{c}") for c in sums])
@@ -94,11 +97,16 @@ def template_tree(urls: DataFrame, kinds: int = 10, share: float = 0.05, z: floa
             | _differs(F.col("numbered"), F.col("n"), F.col("all_numbered"), F.col("all_n"), z)
         )
         name = F.when(fixed | (F.col("name") == "*") | (F.coalesce("named", F.lit(0)) < 2) | apart, F.col("name")).otherwise("+")
-        branch = branch.join(named, ["host", "template"], "left").select("host", "template", "segment", name.alias("name"))
-        further = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
-        last, state = state, written(step.join(branch, ["host", "template", "segment"], "left").withColumn("template", further).drop("segment", "name"), "template")
-        discard(last)
-    return state
+        branch = branch.join(named, ["host", "template"], "left").select("host", "template", "segment", name.alias("name"), (F.col("all_rows") == 1).alias("alone"))
+        tail = F.array_join(F.slice("segments", level, F.greatest(F.size("segments") - level + 1, F.lit(0))), "/")
+        further = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("alone"), tail).otherwise(F.col("name"))))
+        over = F.col("name").isNull() | F.col("alone") | (F.size("segments") <= level)
+        last, moved = state, written(step.join(branch, ["host", "template", "segment"], "left").withColumn("over", over).withColumn("template", further).withColumn("shared", F.when(F.col("alone"), F.lit(level))).select(*columns, "over"), "template")
+        done.append(moved.where("over"))
+        state = moved.where("NOT over").select(*columns)
+        if level == 1:
+            discard(last)
+    return reduce(DataFrame.unionByName, [d.select(*columns) for d in done], state.select(*columns))
 
 
 def purities(tree: DataFrame, prior: tuple[float, float], strength: float) -> DataFrame:
@@ -110,9 +118,11 @@ def purities(tree: DataFrame, prior: tuple[float, float], strength: float) -> Da
     the host from its root down to the template itself.
     """
     totals = [F.sum("labelled").alias("labelled"), F.sum("rejected").alias("rejected")]
-    sums = written(tree.groupBy("host", "template").agg(*totals), "templates")
+    shared = F.max("shared" if "shared" in tree.columns else F.lit(None).cast("int")).alias("shared")
+    sums = written(tree.groupBy("host", "template").agg(*totals, shared), "templates")
     parts = F.split("template", "/")
-    branches = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    branches = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.coalesce("shared", F.size(parts)))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    branches = F.when(F.col("shared") < F.size(parts), F.concat(branches, F.array("template"))).otherwise(branches)
     held = sums.select("host", "template", "labelled", "rejected", F.posexplode(branches).alias("depth", "branch"))
     known = held.groupBy("host", "branch").agg(*totals)
     step = F.struct("depth", F.col("known.labelled").alias("labelled"), F.col("known.rejected").alias("rejected"))
@@ -131,7 +141,7 @@ def purities(tree: DataFrame, prior: tuple[float, float], strength: float) -> Da
 
 
 def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url", rejected: Column | None = None, prior: tuple[float, float] = (1.0, 3.0), strength: float = 4.0, least: float = 0.8) -> DataFrame:
-    """One row per page: ``keep`` columns, host, path, rule, template, purity and verdict (allow or block).
+    """One row per page: ``keep`` columns, host, path, rule, template, purity and verdict (allow or block), each with underscores behind it where ``keep`` has such a name.
 
     A rule's verdict holds where one fits. Every page is labelled by its rule, or else by
     ``rejected`` (a nullable boolean column). Any other page is blocked if the purity of its
@@ -140,6 +150,7 @@ def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url"
     Repeated rows count and are returned as often as they stand there.
     """
     host, path = split_url(F.col(f"`{url}`"))
+    names = {c: own_name(pages.select(*[f"`{k}`" for k in keep]), c) for c in ("host", "path", "rule", "template", "purity", "verdict")}
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), host.alias("host"), path.alias("path"), (F.lit(None).cast("boolean") if rejected is None else rejected).alias("own"))
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("segments", _segments(F.col("path")))
     verdicts = F.lit(None).cast("string")
@@ -153,4 +164,5 @@ def judge(pages: DataFrame, rules: list[Rule], keep: list[str], url: str = "url"
     known = written(tree.join(pure, ["host", "template"]).select("host", "segments", "template", "purity"), "purity")
     out = rows.join(known, ["host", "segments"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= least, "block").otherwise("allow"))
-    return out.select("kept.*", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    found = out.select("kept", "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    return found.select("kept.*", *[F.col(c).alias(name) for c, name in names.items()])
