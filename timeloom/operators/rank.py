@@ -97,8 +97,44 @@ def pick_examples(wanted: DataFrame, bank: DataFrame, stop: list[str], each: int
 
 def retrieval_score(known: Column, wanted: Column, said_words: Column, final_words: Column) -> Column:
     """Overlap of content words against the example's size, and how much the example was shortened."""
-    shared = F.size(F.array_intersect(known, wanted))
-    return shared / (F.sqrt(F.size(known)) + 1) + 0.4 * F.greatest(F.lit(0.0), 1 - final_words / F.greatest(F.lit(1), said_words))
+    return overlap_score(F.size(F.array_intersect(known, wanted)), F.size(known), said_words, final_words)
+
+
+def overlap_score(shared: Column, size: Column, said_words: Column, final_words: Column) -> Column:
+    return shared / (F.sqrt(size) + 1) + 0.4 * F.greatest(F.lit(0.0), 1 - final_words / F.greatest(F.lit(1), said_words))
+
+
+#: Words of wanted lines (item and word, some 30 bytes) that are broadcast at most; beyond, examples are shuffled to them.
+BROADCAST_WORDS = 1_000_000
+
+
+def best_examples(wanted: DataFrame, bank: DataFrame, stop: list[str], each: int = 4, overall: int = 14) -> DataFrame:
+    """(item_id, source, doc_id, score, place): of bank (doc_id, source, said, final) the best examples for each wanted line (item_id, text), ``each`` of one source at most.
+
+    ``retrieval_score`` counts what an example's content words share with the line's and how much it was shortened. Examples
+    meet lines by the words they share, counted within a task first. One that shares none counts by its shortening alone: of
+    those only the first ``overall`` of all examples by that, ``each`` of one source, can be among a line's best, so they are few.
+    Examples without a content word are left out; of equal scores the smaller doc_id comes first; repeated items count as one text.
+    """
+    words = wanted.select("item_id", F.explode(t.content_words(F.coalesce("text", F.lit("")), stop)).alias("word")).distinct()
+    few = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+    text = {c: F.coalesce(c, F.lit("")) for c in ("said", "final")}
+    counts = {f"{c}_words": F.size(t.script_tokens(x)) for c, x in text.items()}
+    known = F.array_distinct(F.concat(*[t.content_words(x, stop) for x in text.values()]))
+    rows = bank.select("doc_id", "source", F.explode(F.array(F.struct(known.alias("known"), *[n.alias(c) for c, n in counts.items()]))).alias("e")).select("doc_id", "source", "e.*").where(F.size("known") > 0)
+    facts = rows.select("doc_id", "source", F.size("known").alias("size"), "said_words", "final_words", F.explode("known").alias("word"))
+    columns = ["doc_id", "source", "size", "said_words", "final_words"]
+    met = facts.join(few, "word").groupBy("item_id", *columns).agg(F.count(F.lit(1)).alias("shared"))
+    none = F.lit(0).cast("long")
+    alone = rows.select("doc_id", "source", F.size("known").alias("size"), "said_words", "final_words").withColumn("score", overlap_score(none, F.col("size"), F.col("said_words"), F.col("final_words")))
+    order = [F.desc("score"), F.col("doc_id")]
+    own = alone.withColumn("own", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("own") <= each)
+    shortest = own.orderBy(*order).limit(overall).select(F.lit(0).alias("one"), *columns)
+    items = wanted.select("item_id").distinct().withColumn("one", F.lit(0))
+    unmet = items.join(F.broadcast(shortest), "one").select("item_id", *columns, none.alias("shared"))
+    scored = met.unionByName(unmet).groupBy("item_id", *columns).agg(F.max("shared").alias("shared"))
+    scored = scored.select("item_id", "source", "doc_id", overlap_score(F.col("shared"), F.col("size"), F.col("said_words"), F.col("final_words")).alias("score"))
+    return capped(scored, ["item_id"], "source", order, each, overall)
 
 
 def hold_out(groups: DataFrame, key: str, size: str, seed: int = 7, least: int = 12) -> DataFrame:
