@@ -59,3 +59,30 @@ def test_changes_progress_and_answers(spark, tmp_path):
     asked = spark.createDataFrame([("1", "4"), ("2", "x")], "id string, text string")
     replies = {r.id: (r.reply, r.error) for r in ordered.answer(asked, lambda: lambda s: str(int(s) * 2)).collect()}
     assert replies["1"] == ("8", None) and replies["2"][0] is None and replies["2"][1].startswith("ValueError")
+
+
+def test_progress_is_added_once_and_lines_are_bounded(spark, tmp_path):
+    rows = [(f"k{i % 2}", i, f"step {i // 6}" if i % 2 else f"line {i}") for i in range(90)]
+    frame = spark.createDataFrame(rows, "key string, n long, line string")
+    for part in range(3):
+        frame.where((F.col("n") >= 30 * part) & (F.col("n") < 30 * part + 30)).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    folder, ran = str(tmp_path / "progress"), []
+    write = ordered.append_once(folder)
+
+    def twice(batch, number):
+        ran.append(number)
+        write(batch, number)
+        write(batch, number)
+
+    query = stream.writeStream.foreachBatch(twice).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    table = spark.read.parquet(folder)
+    assert len(ran) == 3 and sorted(map(tuple, table.select("key", "n", "line").collect())) == sorted(rows)
+    assert {(r.key, r.line) for r in ordered.latest_of(table, ["key"], ["line"]).collect()} == {("k0", "line 88"), ("k1", "step 14")}
+
+    seen = str(tmp_path / "seen")
+    query = ordered.last_lines(stream, most=8).writeStream.outputMode("update").foreachBatch(ordered.append_once(seen)).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    last = {r.key: list(r.lines) for r in ordered.latest_of(spark.read.parquet(seen), ["key"], ["lines"]).collect()}
+    assert last == {"k0": [f"line {i}" for i in range(74, 90, 2)], "k1": [f"step {i}" for i in range(7, 15)]}

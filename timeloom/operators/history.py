@@ -122,3 +122,10 @@ def statuses(stored: Column, ids: Column, status: Column) -> Column:
     """A map of ids to states with ``status`` for the given ids."""
     given = F.map_from_arrays(ids, F.transform(ids, lambda _: status))
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.array_contains(ids, k)), given)
+
+
+def with_room(placed: DataFrame, lines: DataFrame, captions: DataFrame, least: int = 10) -> DataFrame:
+    """Placed spans (rec, id, a, b) that end later by the ``hold`` their line (rec, id, hold, held) was given, if that is above ``least``; with ``held`` and the caption (rec, id, caption), null where there is none."""
+    given = lines.select("rec", "id", F.coalesce("hold", F.lit(0)).alias("_hold"), F.coalesce("held", F.lit(False)).alias("held"))
+    rows = placed.join(given, ["rec", "id"], "left").join(captions, ["rec", "id"], "left")
+    return rows.select("rec", "id", "a", (F.col("b") + F.when(F.col("_hold") > least, F.col("_hold")).otherwise(0)).alias("b"), F.coalesce("held", F.lit(False)).alias("held"), "caption")

@@ -100,27 +100,24 @@ def repair_spans(words: DataFrame, seeds: DataFrame, pause: int = 180, most: int
 
 
 def place(lines: DataFrame, margin: int = 20) -> DataFrame:
-    """(rec, ord, at, until): lines laid out in order, none over the end of the one before or the start of the next.
+    """(rec, ord, at, until): lines laid out in order, none over the end of the one before or the asked-for start of the next.
 
-    Dropped lines have an empty place at their start, locked ones their own. The clamp needs
-    the place that the line before was given, so a recording is one group.
+    A line is asked for at its start and its ``offset``, if the table has one. Dropped lines have an empty place at their start,
+    locked ones their own. What the line before was given pushes a line on; that recursion is a running maximum once the lengths
+    before a line are taken off, anew behind each line that has its place, so windows solve it.
     """
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        rows, out, last = [*group.sort_values("ord").itertuples()], [], None
-        for i, row in enumerate(rows):
-            if row.dropped or row.locked:
-                at, until = row.start, row.start if row.dropped else row.end
-            else:
-                low = last + margin if last is not None else 0
-                high = rows[i + 1].start - margin if i + 1 < len(rows) else row.end + row.len
-                at = max(low, min(row.start, high))
-                until = at + row.len
-            last = until
-            out.append((row.rec, row.ord, at, until))
-        return pd.DataFrame(out, columns=["rec", "ord", "at", "until"])
-
-    return lines.select("rec", "ord", "start", "end", "locked", "dropped", "len").groupBy("rec").applyInPandas(scan, "rec long, ord long, at long, until long")
+    asked = F.col("start") + (F.coalesce("offset", F.lit(0)) if "offset" in lines.columns else F.lit(0))
+    order = Window.partitionBy("rec").orderBy("ord")
+    rows = lines.select("rec", "ord", "start", "end", "len", "dropped", (F.col("dropped") | F.col("locked")).alias("fixed"), asked.alias("asked"), F.coalesce(F.lead(asked).over(order) - margin, F.col("end") + F.col("len")).alias("high"), F.row_number().over(order).alias("nth"))
+    rows = rows.withColumn("run", F.sum(F.col("fixed").cast("int")).over(order))
+    run = Window.partitionBy("rec", "run").orderBy("ord")
+    before = F.coalesce(F.sum(F.when(~F.col("fixed"), F.col("len") + margin)).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before)
+    wanted = F.least("asked", "high")
+    until = F.when(F.col("dropped"), F.col("start")).otherwise(F.col("end"))
+    own = F.when(F.col("fixed"), until + margin).when(F.col("nth") == 1, F.greatest(F.lit(0), wanted)).otherwise(wanted - F.col("before"))
+    rows = rows.withColumn("at", F.when(F.col("fixed"), F.col("start")).otherwise(F.max(own).over(run) + F.col("before")))
+    return rows.select("rec", "ord", "at", F.when(F.col("fixed"), until).otherwise(F.col("at") + F.col("len")).alias("until"))
 
 
 def cues(rows: DataFrame, width: int = 42, most_rows: int = 2, most_ms: int = 6000) -> DataFrame:

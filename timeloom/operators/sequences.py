@@ -85,3 +85,20 @@ def number_said(number: Column, spoken: Column) -> Column:
     """Whether digits stand in what was spoken, as they are or as a word."""
     word = F.coalesce(F.create_map(*[F.lit(x) for pair in C.NUMBER_WORDS.items() for x in pair])[number.try_cast("int")], F.lit("#"))
     return spoken.contains(number) | spoken.contains(word)
+
+
+def near_names(words: DataFrame, names: list[str], least: float = 0.8, shortest: int = 5) -> DataFrame:
+    """(word, name) of different words (word) and the names they look like: other letters, the same first one, and a ratio of ``least`` or more.
+
+    Words that are a name in another case are no near miss; words below ``shortest`` letters are left out. Only words whose letters could
+    reach the ratio at all are aligned: what two words share is at most the shorter, and at most the letters they have in common.
+    """
+    given = words.sparkSession.createDataFrame([(n, n.lower()) for n in dict.fromkeys(names)], "name string, _b string")
+    each = words.select("word", F.lower("word").alias("_a")).distinct().where(F.length("_a") >= shortest)
+    met = each.join(F.broadcast(given), (F.substring("_a", 1, 1) == F.substring("_b", 1, 1)) & (F.col("_a") != F.col("_b")))
+    letters = lambda c: F.array_remove(F.split(c, ""), "")
+    both = F.length("_a") + F.length("_b")
+    # letters of one that the other has, counted as often as they stand there, are at least those that match
+    held = F.least(F.size(F.filter(letters("_a"), lambda x: F.contains(F.col("_b"), x))), F.size(F.filter(letters("_b"), lambda x: F.contains(F.col("_a"), x))))
+    able = settled(met.where(2 * held >= least * both).select("word", "name", letters("_a").alias("_x"), letters("_b").alias("_y")))
+    return ratios(able, ["word", "name"], "_x", "_y").where(F.col("ratio") >= least).select("word", "name")

@@ -240,3 +240,27 @@ def joined_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = lines.where("NOT dropped OR rec % 7 = 0").groupBy("rec").agg(F.sum("len").alias("length"))
     whole = whole.withColumn("length", F.col("length") - F.when(F.col("rec") % 4 == 0, 0).otherwise(100 * (F.col("rec") % 40)))
     return reports.joined_arithmetic(lines.where("NOT dropped").select("rec", F.col("ord").alias("part"), F.col("len").alias("length")), whole)
+
+
+@query(
+    f"""WITH {LINES}, s AS (SELECT rec, id, start AS a, "end" AS b, hold FROM lines WHERE NOT dropped)
+SELECT rec, id, a, b + CASE WHEN hold > 10 THEN hold ELSE 0 END AS b, id % 7 = 0 AS held, CASE WHEN id % 3 <> 0 THEN 'Caption ' || id END AS caption FROM s"""
+)
+def placed_with_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed spans with the room that their lines were given, gaps that are held, and captions, all by id."""
+    lines = fx.lines(fx.spans(spark, sf_dir)).where("NOT dropped")
+    placed = lines.select("rec", "id", F.col("start").alias("a"), F.col("end").alias("b"))
+    captions = lines.where("id % 3 <> 0").select("rec", "id", F.concat(F.lit("Caption "), F.col("id").cast("string")).alias("caption"))
+    return history.with_room(placed, lines.select("rec", "id", "hold", (F.col("id") % 7 == 0).alias("held")), captions)
+
+
+@query(
+    """WITH r AS (SELECT doc_id AS audio, text, length(text) / 90.0 AS seconds, source FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 UNION ALL SELECT conv_id * 1000 + turn, text, length(text) / 60.0, role FROM conversations)
+SELECT source, count(*) AS clips, CAST(sum(floor(seconds * 1000)) AS BIGINT) AS ms FROM r WHERE seconds BETWEEN 1.2 AND 18 AND len(regexp_extract_all(text, '[^ \t\n\r]+')) >= 3 GROUP BY source"""
+)
+def corpus_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of the read and the mined corpus that can be trained on, with their time by source."""
+    read = fx.table(spark, sf_dir, "documents").where("text IS NOT NULL AND doc_id % 2 = 0").select(F.col("doc_id").alias("audio"), "text", (F.length("text") / 90.0).alias("seconds"), "source")
+    mined = fx.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("audio"), "text", (F.length("text") / 60.0).alias("seconds"), F.col("role").alias("source"))
+    kept = reports.kept_clips(read, mined)
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("clips"), F.sum(F.floor(F.col("seconds") * 1000)).cast("long").alias("ms"))

@@ -115,3 +115,20 @@ def edit_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.transform(t.script_tokens(F.col(c)), F.lower).alias(c)
     pairs = seq.settled(replies(spark, sf_dir).select(*KEY, words("now"), words("got")))
     return seq.edit_operations(pairs, KEY, seq.matching_blocks(pairs, KEY, "now", "got"), "now", "got").select(*KEY, "op", *[F.col(c).cast("long").alias(c) for c in ("i0", "i1", "j0", "j1")])
+
+
+#: Names that a script has to spell as they are, made of the texts' own syllables.
+NAMES = ["Thandering", "Inglytion", "Ererations", "Querement", "Ungenheit", "Verkeiten", "Mentecion", "Eauxtion"]
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT DISTINCT word, lower(word) AS x FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS word FROM documents) WHERE length(word) >= 5),
+n AS (SELECT name, lower(name) AS y FROM (SELECT unnest({NAMES}) AS name)),
+pairs AS MATERIALIZED (SELECT word, name, string_split(x, '') AS a, string_split(y, '') AS b FROM w JOIN n ON left(x, 1) = left(y, 1) AND x <> y WHERE abs(length(x) - length(y)) <= 0.2 * (length(x) + length(y))),
+{_blocks("blocks", "pairs", "word, name")}
+SELECT word, name FROM pairs JOIN blocks USING (word, name) GROUP BY word, name HAVING 2 * sum(size) / (len(any_value(a)) + len(any_value(b))) >= 0.8"""
+)
+def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that look like a misspelt name."""
+    words = fx.table(spark, sf_dir, "documents").select(F.explode(t.script_tokens(F.col("text"))).alias("word"))
+    return seq.near_names(words, NAMES)

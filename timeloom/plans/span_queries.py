@@ -10,7 +10,7 @@ from timeloom.operators import intervals, plan
 from timeloom.sources import fixtures as fx
 
 from .registry import query
-from .views import LINES, SPANS, union
+from .views import LINES, SCRIPTED, SPANS, union
 
 CUTS = "cuts AS (SELECT rec, a, b FROM spans WHERE kind = 'purchase')"
 
@@ -151,12 +151,12 @@ def free_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {LINES}, n AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY rec ORDER BY ord) - 20, "end" + len) AS high FROM lines),
-p AS (SELECT rec, ord, CASE WHEN dropped OR locked THEN start ELSE greatest(0, least(start, high)) END AS place, CASE WHEN dropped THEN start WHEN locked THEN "end" ELSE greatest(0, least(start, high)) + len END AS until FROM n WHERE ord = 0
-      UNION ALL SELECT n.rec, n.ord, CASE WHEN dropped OR locked THEN start ELSE greatest(until + 20, least(start, high)) END, CASE WHEN dropped THEN start WHEN locked THEN "end" ELSE greatest(until + 20, least(start, high)) + len END
+    f"""WITH RECURSIVE {SCRIPTED}, n AS (SELECT *, start + "offset" AS asked, coalesce(lead(start + "offset") OVER (PARTITION BY rec ORDER BY ord) - 20, "end" + len) AS high FROM scripted),
+p AS (SELECT rec, ord, CASE WHEN dropped OR locked THEN start ELSE greatest(0, least(asked, high)) END AS place, CASE WHEN dropped THEN start WHEN locked THEN "end" ELSE greatest(0, least(asked, high)) + len END AS until FROM n WHERE ord = 0
+      UNION ALL SELECT n.rec, n.ord, CASE WHEN dropped OR locked THEN start ELSE greatest(until + 20, least(asked, high)) END, CASE WHEN dropped THEN start WHEN locked THEN "end" ELSE greatest(until + 20, least(asked, high)) + len END
       FROM p JOIN n ON n.rec = p.rec AND n.ord = p.ord + 1)
 SELECT rec, ord, CAST(place AS BIGINT) AS "at", CAST(until AS BIGINT) AS until FROM p"""
 )
 def placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each place depends on the one before it."""
-    return plan.place(fx.lines(fx.spans(spark, sf_dir)))
+    return plan.place(fx.scripted(fx.lines(fx.spans(spark, sf_dir))))

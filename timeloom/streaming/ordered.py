@@ -97,3 +97,46 @@ def answer(requests: DataFrame, model: Callable[[], Callable[[str], str]]) -> Da
             yield pd.DataFrame(rows, columns=["id", "reply", "error"])
 
     return requests.select("id", "text").mapInPandas(run, _struct(id=TEXT, reply=TEXT, error=TEXT))
+
+
+def last_lines(lines: DataFrame, most: int = 200, idle: int = 600_000) -> DataFrame:
+    """(key, n, lines): of log lines (key, n, line) the last ``most`` of each key, without those equal to the one before them, as they are after each batch.
+
+    For update mode. State is those lines and nothing else; what is left of a key is forgotten after ``idle`` without lines.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        rows = pd.concat(list(batches)).sort_values("n")
+        for line in rows["line"]:
+            if not kept or kept[-1] != line:
+                kept.append(line)
+        kept, seen = kept[-most:], max(seen, int(rows["n"].max()))
+        state.update((kept, seen))
+        state.setTimeoutDuration(idle)
+        yield pd.DataFrame({"key": [key[0]], "n": [seen], "lines": [kept]})
+
+    out = _struct(key=TEXT, n=LONG, lines=T.ArrayType(TEXT))
+    held = _struct(lines=T.ArrayType(TEXT), n=LONG)
+    return lines.select("key", "n", "line").groupBy("key").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def append_once(folder: str) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch`` that adds a batch's rows to a table of progress, once however often the batch is run.
+
+    Each batch has a folder of its own by its number, which a replay writes anew; the table is ``spark.read.parquet(folder)``, with ``batch`` as a column.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return write
+
+
+def latest_of(folder_rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The newest row of each key in a table of ``append_once``: that of the largest batch, then the largest n."""
+    best = F.max_by(F.struct(*columns), F.struct("batch", "n"))
+    return folder_rows.groupBy(*keys).agg(best.alias("last")).select(*keys, "last.*")
