@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import edit_queries, figure_queries, history_queries, line_queries, rewrite_queries, scalar_queries, seam_queries, signal_queries, span_queries, text_queries, word_queries  # noqa: E402, F401
+from . import bound_queries, edit_queries, figure_queries, history_queries, line_queries, rewrite_queries, scalar_queries, seam_queries, signal_queries, span_queries, text_queries, word_queries  # noqa: E402, F401
