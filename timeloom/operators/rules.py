@@ -17,34 +17,33 @@ ONE_OF = r"(?i)\bone of (?:the|my|our|your|its)\s+((?:[a-z-]+\s+){0,3}?[a-z-]+)(
 def notes(text: Column, budget: Column | None = None, names: dict[str, str] | None = None, phrases: list[str] = C.FILLER_PHRASES) -> Column:
     """Distinct notes on a line; null where nothing applies does not occur, an empty array does. A line without text has none.
 
-    ``names`` maps lower-case spellings to the spelling that a coined name has to have.
+    ``names`` maps lower-case spellings to the spelling that a coined name has to have. The squashed line and its lower-case
+    form are made once, as elements of an array that the rules are a function of.
     """
-    line = t.squash(text)
-    lower = F.lower(line)
+    forms = F.array(F.struct(t.squash(text).alias("line"), F.lower(t.squash(text)).alias("lower")))
+    return F.get(F.transform(forms, lambda f: _notes(text, f["line"], f["lower"], budget, names or {}, phrases)), F.lit(0))
+
+
+def _notes(text: Column, line: Column, lower: Column, budget: Column | None, names: dict[str, str], phrases: list[str]) -> Column:
     found = []
-    for wrong, right in (names or {}).items():
+    for wrong, right in names.items():
         found.append(F.when(F.array_contains(F.transform(t.script_tokens(text), F.lower), wrong) & ~text.contains(right), F.lit(f"name:{right}")))
-    found.append(F.when(line.rlike(r"\bword (document|doc|file|format)"), F.lit("word-format")))
+    found.append(F.when(line.contains("word ") & line.rlike(r"\bword (document|doc|file|format)"), F.lit("word-format")))
     for phrase in phrases:
         found.append(F.when(lower.contains(phrase) & lower.rlike(rf"\b{phrase}\b"), F.lit(f"filler:{phrase}")))
-    found.append(F.when(line.rlike(r"[A-Za-z]\.\s+[a-z]"), F.lit("stop-inside")))
+    found.append(F.when(line.contains(".") & line.rlike(r"[A-Za-z]\.\s+[a-z]"), F.lit("stop-inside")))
     found.append(F.when(line.rlike(r"^\p{Ll}"), F.lit("lower-start")))
-    found.append(F.when(line.rlike(r",\s*\w+,\s") & line.rlike(r"^\W*\w+,\s*\w+,"), F.lit("comma-pair")))
+    found.append(F.when(line.contains(",") & line.rlike(r"^\W*\w+,\s*\w+,") & line.rlike(r",\s*\w+,\s"), F.lit("comma-pair")))
     last = F.regexp_extract(F.regexp_extract(lower, ONE_OF, 1), "([a-z-]+)$", 1)
-    found.append(F.when(lower.contains("one of ") & (last != "") & ~last.isin(C.SCRIPT_STOP_WORDS) & ~F.endswith(last, F.lit("s")), F.lit("singular")))
+    # the regular expressions run only where the words are, and once
+    plural = F.when(lower.contains("one of "), F.get(F.filter(F.array(last), lambda w: (w != "") & ~w.isin(C.SCRIPT_STOP_WORDS) & ~F.endswith(w, F.lit("s"))), F.lit(0)))
+    found.append(F.when(plural.isNotNull(), F.lit("singular")))
     found.append(F.when(text.rlike(r"\s{2,}"), F.lit("double-space")))
     if budget is not None:
         found.append(F.when(F.size(t.script_tokens(line)) > budget, F.lit("too-long")))
     return F.when(line == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(*found))))
 
 
-def rewrite_verdict(before: Column, after: Column, terms: Column) -> Column:
-    """Why a rewritten line is refused, or ``ok``: empty, dangling, length, or a term of the lexicon that was lost."""
-    share = t.word_count(after) / F.greatest(t.word_count(before), F.lit(1))
-    lost = F.exists(terms, lambda x: before.contains(x) & ~after.contains(x))
-    return F.when(F.trim(after) == "", "empty").when(F.rtrim(after).rlike("[,;:-]$"), "dangling").when(~share.between(0.6, 1.8), "length").when(lost, "term").otherwise("ok")
-
-
 def judged(replies: DataFrame, key: list[str]) -> DataFrame:
     """(key, kind, why, detail) of replies (key, now, said, got, edited, cap, budget) that propose a line, one row each.
 

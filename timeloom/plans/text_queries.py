@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as t
-from timeloom.functions.constants import FILLER_PHRASES, STOP_WORDS
+from timeloom.functions.constants import FILLER_PHRASES, SCRIPT_STOP_WORDS
 from timeloom.operators import align, rank, rules
 from timeloom.sources import documents as docs
 from timeloom.sources import fixtures as fx
@@ -39,7 +39,7 @@ def _checks_sql() -> str:
     CASE WHEN regexp_matches(text, '\\bword (document|doc|file|format)') THEN 'word-format' END, {phrases},
     CASE WHEN regexp_matches(text, '[A-Za-z]\\.\\s+[a-z]') THEN 'stop-inside' END, CASE WHEN regexp_matches(text, '^\\p{{Ll}}') THEN 'lower-start' END,
     CASE WHEN regexp_matches(text, ',\\s*\\w+,\\s') AND regexp_matches(text, '^\\W*\\w+,\\s*\\w+,') THEN 'comma-pair' END,
-    CASE WHEN last <> '' AND last NOT IN {quoted(STOP_WORDS)} AND NOT ends_with(last, 's') THEN 'singular' END, CASE WHEN regexp_matches(text, '\\s{{2,}}') THEN 'double-space' END,
+    CASE WHEN last <> '' AND last NOT IN {quoted(SCRIPT_STOP_WORDS)} AND NOT ends_with(last, 's') THEN 'singular' END, CASE WHEN regexp_matches(text, '\\s{{2,}}') THEN 'double-space' END,
     CASE WHEN len(regexp_extract_all(text, '[A-Za-z0-9'']+')) > 20 THEN 'too-long' END], lambda x: x IS NOT NULL) AS notes FROM o)
 SELECT rec, ord, array_to_string(notes, '|') AS notes FROM m WHERE len(notes) > 0"""
 
