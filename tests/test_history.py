@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timeloom.operators import bounds, history, reports
+from timeloom.sources import documents
 
 LINE = "rec long, id long, ord long, start long, end long, locked boolean, dropped boolean, len long, hold long"
 
@@ -68,3 +69,18 @@ def test_decibels_and_open_ends(spark):
     spans = spark.createDataFrame([(1, 1, 5, 10), (1, 2, 4, 8), (1, 3, 9, 6)], "rec long, id long, a long, b long")
     assert {(r.t, r.span) for r in bounds.at_point(points, spans).collect()} == {(5, 1), (5, 2), (7, 1), (7, 2), (10, 1)}
     assert {(r.t, r.span) for r in bounds.at_point(points, spans, open_ends=True, first=True).collect()} == {(5, 2), (7, 2)}
+
+
+def test_document_folders_and_lexicon(spark, tmp_path):
+    folder = tmp_path / "projects"
+    folder.mkdir()
+    (folder / "a.json").write_text('{\n "id": "a", "createdAt": 5\n}')
+    (folder / "b.json").write_text('{"id": "b",\n "createdAt": 9, "more": 1}')
+    (folder / "c.json").write_text("{broken")
+    assert [(r.id, r.createdAt) for r in documents.projects(spark, str(folder), "id string, createdAt long").collect()] == [("b", 9), ("a", 5)]
+    terms = spark.createDataFrame([(2, "Tab "), (0, "Fable"), (3, "tab"), (1, " "), (4, None)], "place long, term string")
+    documents.write_lexicon(terms, str(tmp_path / "lexicon"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "lexicon")).collect()] == ["# one term a line", "Fable", "Tab"]
+    assert {r[0] for r in documents.lexicon(spark, str(tmp_path / "lexicon")).collect()} == {"Fable", "Tab"}
+    probe = spark.createDataFrame([('{"streams":[{"codec_type":"video","codec_name":"png"}]}',), ("no document",), (None,)], "p string")
+    assert [r.s.codec for r in probe.select(documents.main_stream(F.col("p")).alias("s")).collect()] == [None, None, None]

@@ -90,3 +90,20 @@ def clip_profile(frames: DataFrame, window: int, ceiling: int, full: float = 327
     floor, speech = (decibels(F.col(c), F.lit(window), full) for c in ("floor", "speech"))
     permille = lambda c: F.floor(1000 * F.col(c) / F.col("all"))
     return levels.join(sums, "rec").select("rec", floor.alias("floor_db"), speech.alias("speech_db"), (speech - floor).alias("snr_db"), "peak", permille("over").alias("clip_permille"), "longest_over", permille("zeros").alias("zero_permille"), "holes")
+
+
+def take_listing(takes: DataFrame, raw: DataFrame, short: float = 0.9) -> DataFrame:
+    """(rec, frames, peak, rms, raw_frames, shortened) of takes (rec, k, v) beside their raw recordings: a take below ``short`` of its raw length is shortened; null where there is no raw one."""
+    measured = takes.groupBy("rec").agg(F.count(F.lit(1)).alias("frames"), F.max(F.abs("v")).alias("peak"), F.sqrt(F.sum(F.col("v") * F.col("v")) / F.count(F.lit(1))).alias("rms"))
+    whole = raw.groupBy("rec").agg(F.count(F.lit(1)).alias("raw_frames"))
+    return measured.join(whole, "rec", "left").withColumn("shortened", F.col("frames") < short * F.col("raw_frames"))
+
+
+def clip_measures(frames: DataFrame, clicks: DataFrame, words: DataFrame, per_second: int, within: float = 0.0316) -> DataFrame:
+    """(rec, seconds, pace, clicks_per_minute, level) of clips (rec, k, v): words (rec, words) a minute, clicks (rec, k) a minute, and the median magnitude of the frames within ``within`` of the loudest."""
+    sized = frames.groupBy("rec").agg((F.count(F.lit(1)) / per_second).alias("seconds"), F.max(F.abs("v")).alias("top"))
+    loud = frames.join(sized.select("rec", "top"), "rec").where(F.abs("v") >= within * F.col("top"))
+    level = loud.groupBy("rec").agg(F.percentile(F.abs("v"), F.lit(0.5)).alias("level"))
+    many = clicks.groupBy("rec").agg(F.count(F.lit(1)).alias("many"))
+    rows = sized.join(level, "rec").join(many, "rec", "left").join(words, "rec", "left")
+    return rows.select("rec", "seconds", (F.coalesce("words", F.lit(0)) * 60 / F.col("seconds")).alias("pace"), (F.coalesce("many", F.lit(0)) * 60 / F.col("seconds")).alias("clicks_per_minute"), "level")

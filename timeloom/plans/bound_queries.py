@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.operators import bounds as ops
+from timeloom.operators import history, reports
+from timeloom.sources import documents as docs
 from timeloom.sources import fixtures as fx
 
 from .registry import query
@@ -77,3 +79,82 @@ SELECT rec, round(f, 3) AS floor_db, round(e, 3) AS speech_db, round(e - f, 3) A
 def clip_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ops.clip_profile(fx.frames(spark, sf_dir), window=8, ceiling=250, full=1000.0, hole=1)
     return found.withColumns({c: F.round(c, 3) for c in ("floor_db", "speech_db", "snr_db")})
+
+
+@query(
+    f"""WITH {FRAMES}, t AS (SELECT * FROM frames WHERE k < 40 + rec % 25 AND rec % 50 <> 49), r AS (SELECT rec, count(*) AS raw_frames FROM frames WHERE rec % 9 <> 0 GROUP BY rec)
+SELECT t.rec, count(*) AS frames, max(abs(v)) AS peak, round(sqrt(CAST(sum(v * v) AS BIGINT) / count(*)), 6) AS rms, any_value(raw_frames) AS raw_frames, count(*) < 0.9 * any_value(raw_frames) AS shortened FROM t LEFT JOIN r USING (rec) GROUP BY t.rec"""
+)
+def take_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = fx.frames(spark, sf_dir)
+    found = ops.take_listing(frames.where("k < 40 + rec % 25 AND rec % 50 <> 49"), frames.where("rec % 9 <> 0"))
+    return found.withColumn("rms", F.round("rms", 6))
+
+
+@query(
+    f"""WITH {FRAMES}, z AS (SELECT rec, count(*) / 8 AS seconds, max(abs(v)) AS top FROM frames GROUP BY rec), l AS (SELECT f.rec, quantile_cont(abs(v), 0.5) AS level FROM frames f JOIN z ON z.rec = f.rec AND abs(v) >= 0.25 * top GROUP BY f.rec),
+c AS (SELECT rec, count(*) AS many FROM frames WHERE v % 17 = 0 GROUP BY rec), w AS (SELECT conv_id AS rec, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))) AS words FROM conversations GROUP BY 1)
+SELECT z.rec, seconds, CAST(coalesce(words, 0) AS BIGINT) * 60 / seconds AS pace, coalesce(many, 0) * 60 / seconds AS clicks_per_minute, level FROM z JOIN l USING (rec) LEFT JOIN c USING (rec) LEFT JOIN w USING (rec)"""
+)
+def clip_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = fx.frames(spark, sf_dir)
+    words = fx.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("rec")).agg(F.sum(F.regexp_count("text", F.lit("[^ \t\n\r]+"))).alias("words"))
+    return ops.clip_measures(frames, frames.where("v % 17 = 0").select("rec", "k"), words, per_second=8, within=0.25)
+
+
+@query(
+    """WITH p AS (SELECT user_id, event_id, event_id % 40 AS step, CASE WHEN event_id % 3 = 0 THEN 'config.json' ELSE 'weights.bin' END AS name FROM events WHERE user_id IS NOT NULL AND event_id % 11 <> 0),
+c AS (SELECT DISTINCT 'v' || user_id AS run, step FROM p WHERE name = 'config.json') SELECT run, step, max(step) OVER (PARTITION BY run) AS newest FROM c"""
+)
+def checkpoint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs and steps with a configuration, from the names of files; some lie elsewhere."""
+    rows = fx.table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    name = F.when(F.col("event_id") % 3 == 0, "config.json").otherwise("weights.bin")
+    folder = F.when(F.col("event_id") % 11 == 0, "/step_x/").otherwise(F.concat(F.lit("/step_"), (F.col("event_id") % 40).cast("string"), F.lit("/")))
+    return docs.checkpoints(rows.select(F.concat(F.lit("/voices/v"), F.col("user_id").cast("string"), folder, name).alias("path")))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'h264' END AS codec, CASE WHEN event_id % 5 <> 0 THEN 640 + event_id % 7 END AS width, CASE WHEN event_id % 5 <> 0 THEN 360 END AS height,
+CASE WHEN event_id % 5 <> 0 THEN (24 + event_id % 3) || '/1' END AS rate FROM events WHERE props IS NOT NULL"""
+)
+def probed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main stream of probes that have sound and thumbnails too; every fifth has no picture."""
+    rows = fx.table(spark, sf_dir, "events").where("props IS NOT NULL")
+    i = F.col("event_id")
+    video = F.concat(F.lit('{"codec_type":"video","codec_name":"h264","width":'), (640 + i % 7).cast("string"), F.lit(',"height":360,"r_frame_rate":"'), (24 + i % 3).cast("string"), F.lit('/1","disposition":{"attached_pic":0}}'))
+    cover = F.lit('{"codec_type":"video","codec_name":"mjpeg","width":90,"height":90},{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","codec_name":"h265","width":1,"disposition":{"attached_pic":1}}')
+    probe = F.concat(F.lit('{"streams":['), F.when(i % 5 == 0, cover).otherwise(F.concat_ws(",", cover, video)), F.lit('],"tags":'), "props", F.lit("}"))
+    return rows.select("event_id", F.explode(F.array(docs.main_stream(probe))).alias("s")).select("event_id", "s.*")
+
+
+@query(
+    f"""WITH {SCRIPTED}, v AS (SELECT rec, ord AS n, CASE id % 5 WHEN 0 THEN 'polish' WHEN 1 THEN 'rejected' WHEN 2 THEN 'drop' END AS kind, CASE WHEN id % 5 = 1 THEN 'long' END AS why, CASE WHEN id % 5 IN (0, 3) THEN say END AS text FROM scripted)
+SELECT rec, count(*) FILTER (kind IN ('polish', 'drop')) AS suggested, count(*) FILTER (kind = 'rejected') AS rejected, count(*) FILTER (kind IS NULL AND text IS NULL) AS unanswered,
+       coalesce(min(n) FILTER (kind = 'polish'), -1) AS first_polish, coalesce(max(n) FILTER (kind IS NULL AND text IS NULL), -1) AS last_unanswered FROM v GROUP BY rec"""
+)
+def suggestion_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each recording's suggestions, and what its JSON document says when it is read again."""
+    lines = fx.scripted(fx.lines(fx.spans(spark, sf_dir)))
+    k = F.col("id") % 5
+    verdicts = lines.select("rec", F.col("ord").alias("n"), F.when(k == 0, "polish").when(k == 1, "rejected").when(k == 2, "drop").alias("kind"), F.when(k == 1, "long").alias("why"), F.when(k.isin(0, 3), F.col("say")).alias("text"))
+    found = docs.suggestion_documents(verdicts, ["rec"])
+    read = F.from_json("document", "suggestions array<struct<n: long, kind: string>>, unanswered_lines array<long>")
+    polish = F.get(F.filter(read["suggestions"], lambda s: s["kind"] == "polish"), F.lit(0))["n"]
+    counts = [F.col(c).cast("long").alias(c) for c in ("suggested", "rejected", "unanswered")]
+    return found.select("rec", *counts, F.coalesce(polish, F.lit(-1).cast("long")).alias("first_polish"), F.coalesce(F.try_element_at(read["unanswered_lines"], F.lit(-1)), F.lit(-1).cast("long")).alias("last_unanswered"))
+
+
+@query(
+    f"""WITH {LINES}, n AS (SELECT rec, id, id % 1700 - 1000 AS tail, id % 5 AS flat, id % 1900 AS pause, id % 4 AS k FROM lines)
+SELECT rec, id, array_to_string(list_filter([CASE WHEN tail > -800 THEN 'tail' END, CASE WHEN flat >= 2 THEN 'clipped' END, CASE WHEN pause >= 1200 THEN 'pause' END], lambda x: x IS NOT NULL), ',') AS faults, CASE WHEN k = 0 THEN 'accepted' WHEN k = 1 THEN 'dismissed' ELSE 'open' END AS status FROM n"""
+)
+def take_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a take's sound, and what was said of its suggestion in two updates of a map by id."""
+    lines = fx.lines(fx.spans(spark, sf_dir))
+    i = F.col("id")
+    key = i.cast("string")
+    stored = F.create_map(key, F.lit("open"), F.lit("other"), F.lit("open"))
+    first = history.statuses(stored, F.when(i % 4 < 2, F.array(key)).otherwise(F.array(F.lit("other"))), F.lit("dismissed"))
+    both = history.statuses(first, F.when(i % 4 == 0, F.array(key)).otherwise(F.array().cast("array<string>")), F.lit("accepted"))
+    return lines.select("rec", "id", F.array_join(reports.noisy(i % 1700 - 1000, i % 5, i % 1900), ",").alias("faults"), F.try_element_at(both, key).alias("status"))

@@ -154,3 +154,46 @@ def resample(samples: Column, rate: Column, to: int = 16_000) -> Column:
         return pd.Series([np.interp(np.arange(0, len(v), r / to), np.arange(len(v)), v).astype(np.float32) if len(v) else v for v, r in zip(values, rates, strict=True)])
 
     return run(samples, rate)
+
+
+def main_stream(probe: Column) -> Column:
+    """The first video stream of a probe's JSON that is no thumbnail (an attached picture, or a still image format), as (codec, width, height, rate text)."""
+    schema = "streams array<struct<codec_type: string, codec_name: string, width: long, height: long, r_frame_rate: string, disposition: struct<attached_pic: int>>>"
+    streams = F.from_json(probe, schema)["streams"]
+    still = lambda s: (F.coalesce(s["disposition"]["attached_pic"], F.lit(0)) == 1) | F.coalesce(s["codec_name"].isin("mjpeg", "png"), F.lit(False))
+    found = F.get(F.filter(streams, lambda s: (s["codec_type"] == "video") & ~still(s)), F.lit(0))
+    return F.struct(found["codec_name"].alias("codec"), found["width"].alias("width"), found["height"].alias("height"), found["r_frame_rate"].alias("rate"))
+
+
+def projects(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """JSON documents of a folder, one a file, newest ``createdAt`` first; files that are no document are left out."""
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder, multiLine=True)
+    kept = [c for c in rows.columns if c != "_corrupt"]
+    return rows.select(*kept, "_corrupt").where("_corrupt IS NULL").select(*kept).orderBy(F.desc("createdAt"))
+
+
+def checkpoints(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(run, step) of a listing of files ``…/<run>/step_<n>/<name>``, those whose folder has a configuration, with the run's ``newest``."""
+    parts = r"(?:^|/)([^/]+)/step_(\d+)/([^/]+)$"
+    rows = paths.select(F.regexp_extract(path, parts, 1).alias("run"), F.regexp_extract(path, parts, 2).alias("step"), F.regexp_extract(path, parts, 3).alias("name")).where("run <> '' AND name = 'config.json'")
+    rows = rows.select("run", F.col("step").cast("long").alias("step")).distinct()
+    return rows.join(rows.groupBy("run").agg(F.max("step").alias("newest")), "run")
+
+
+def suggestion_documents(verdicts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, suggested, rejected, unanswered, document): one JSON document for each key of verdicts (key, n, kind, why, text), lists in the order of n.
+
+    A verdict without kind is unanswered if it has no text either. Each key's verdicts are one document, as a reader takes it.
+    """
+    picked = lambda test, *columns: F.array_sort(F.collect_list(F.when(test, F.struct("n", *columns))))
+    kind = F.col("kind")
+    good, bad, none = kind.isNotNull() & (kind != "rejected"), F.coalesce(kind == "rejected", F.lit(False)), kind.isNull() & F.col("text").isNull()
+    rows = verdicts.groupBy(*key).agg(picked(good, "kind", "text").alias("suggestions"), picked(bad, "why").alias("rejected_lines"), F.array_sort(F.collect_list(F.when(none, F.col("n")))).alias("unanswered_lines"))
+    return rows.select(*key, F.size("suggestions").alias("suggested"), F.size("rejected_lines").alias("rejected"), F.size("unanswered_lines").alias("unanswered"), F.to_json(F.struct("suggestions", "rejected_lines", "unanswered_lines")).alias("document"))
+
+
+def write_lexicon(terms: DataFrame, folder: str, header: str = "# one term a line") -> None:
+    """Distinct terms (place, term) as text lines in the order of their places, a comment first; the first spelling of a term stays."""
+    first = terms.where("trim(term) <> ''").groupBy(F.lower(F.trim("term")).alias("_t")).agg(F.min(F.struct("place", F.trim("term").alias("term"))).alias("f"))
+    lines = first.select("f.place", "f.term").unionByName(terms.sparkSession.createDataFrame([(-1, header)], "place long, term string").withColumn("place", F.col("place").cast(terms.schema["place"].dataType)))
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("term").write.mode("overwrite").text(folder)
