@@ -15,7 +15,7 @@ def settled(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         base = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
+        if not base and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="timeloom-"))
     return rows.checkpoint()
