@@ -10,7 +10,7 @@ from timeloom.operators import metrics, rank
 from timeloom.sources import fixtures as fx
 
 from .registry import query
-from .views import LINES, TAKES
+from .views import CRC_TABLE, LINES, TAKES, crc
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,11 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.early_stop(steps, ["rec"], "step", "score").select("rec", "id", "step", "score", F.col("stalled").cast("long").alias("stalled"))
 
 
-@query()
+@query(
+    f"""WITH crc AS MATERIALIZED ({CRC_TABLE}), g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), h AS (SELECT source, n, {crc("source || ':7'")} % 1048576 AS h FROM g, crc),
+b AS (SELECT source, n, coalesce(sum(n) OVER (ORDER BY h, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM h)
+SELECT source, n, before < greatest(12, total // 12) AS held FROM b"""
+)
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of documents, whole ones held out in hash order."""
     groups = fx.table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))

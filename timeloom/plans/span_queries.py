@@ -10,7 +10,7 @@ from timeloom.operators import intervals, plan
 from timeloom.sources import fixtures as fx
 
 from .registry import query
-from .views import LINES, SCRIPTED, SPANS, union
+from .views import LINES, SCRIPTED, SPANS, WORDS, union
 
 CUTS = "cuts AS (SELECT rec, a, b FROM spans WHERE kind = 'purchase')"
 
@@ -123,9 +123,27 @@ def time_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.remap(placed.select("rec", "id", (F.col("a") + 137).alias("t")), intervals.tiles(placed))
 
 
-@query()
+def _stamp(ms: str) -> str:
+    part = lambda value, n: f"lpad(CAST({value} AS VARCHAR), {n}, '0')"
+    return f"{part(f'({ms}) // 3600000', 2)} || ':' || {part(f'({ms}) // 60000 % 60', 2)} || ':' || {part(f'({ms}) // 1000 % 60', 2)} || '.' || {part(f'({ms}) % 1000', 3)}"
+
+
+# rows are filled word by word
+@query(
+    f"""WITH RECURSIVE {WORDS}, s AS MATERIALIZED (SELECT rec, turn, w, row_number() OVER (PARTITION BY rec, turn ORDER BY idx) AS pos FROM words),
+walk AS (SELECT rec, turn, pos, 1 AS line, length(w) AS size FROM s WHERE pos = 1
+         UNION ALL SELECT s.rec, s.turn, s.pos, CASE WHEN size + 1 + length(s.w) <= 42 THEN line ELSE line + 1 END, CASE WHEN size + 1 + length(s.w) <= 42 THEN size + 1 + length(s.w) ELSE length(s.w) END
+         FROM walk k JOIN s ON s.rec = k.rec AND s.turn = k.turn AND s.pos = k.pos + 1),
+filled AS (SELECT rec, turn, line, string_agg(w, ' ' ORDER BY pos) AS text, count(*) AS n FROM walk JOIN s USING (rec, turn, pos) GROUP BY rec, turn, line),
+parts AS (SELECT rec, turn, (line - 1) // 2 AS part, string_agg(text, chr(10) ORDER BY line) AS text, CAST(sum(n) AS BIGINT) AS n FROM filled GROUP BY rec, turn, (line - 1) // 2),
+ext AS (SELECT rec, turn, min(start_ms) AS a, max(end_ms) AS b FROM words GROUP BY rec, turn),
+c AS (SELECT rec, turn, part, text, a, b, n, greatest(100, b - a) AS span, CAST(sum(n) OVER (PARTITION BY rec, turn) AS BIGINT) AS total, CAST(sum(n) OVER (PARTITION BY rec, turn ORDER BY part) - n AS BIGINT) AS done FROM parts JOIN ext USING (rec, turn)),
+d AS (SELECT rec, turn AS ord, part, text, a + CAST(floor(span * done / total) AS BIGINT) AS c, least(a + CAST(floor(span * (done + n) / total) AS BIGINT), b) AS d FROM c),
+e AS (SELECT *, least(d, coalesce(lead(c) OVER (PARTITION BY rec ORDER BY c, ord, part), d)) AS b FROM d)
+SELECT rec, CAST(ord AS BIGINT) AS ord, CAST(part AS BIGINT) AS part, {_stamp("c")} AS begins, {_stamp("b")} AS ends, text FROM e"""
+)
 def caption_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions of each turn; the greedy wrap has no plain SQL form."""
+    """Captions of each turn."""
     words = fx.words(spark, sf_dir)
     turns = words.groupBy("rec", F.col("turn").cast("long").alias("ord")).agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "w"))), lambda x: x["w"]), " ").alias("text"))
     return plan.cues(turns).select("rec", "ord", "part", units.stamp(F.col("a")).alias("begins"), units.stamp(F.col("b")).alias("ends"), "text")

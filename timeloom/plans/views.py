@@ -53,3 +53,12 @@ scripted AS (SELECT *, id % 4 <> 0 AS audio,
 
 def squash(column: str) -> str:
     return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"
+
+
+#: crc32's table by its rule, as a list ``t``, and the sum of a string of ASCII characters from it.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(unicode(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
