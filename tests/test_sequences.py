@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from timeloom.functions import constants as C
-from timeloom.operators import rules
+from timeloom.operators import align, rules
 from timeloom.operators import sequences as seq
 
 
@@ -108,3 +108,27 @@ def test_words_that_want_a_plural(spark):
     df = spark.createDataFrame([("It is one of the here things.",), ("It is one of the which",), ("It is one of the file.",)], "text string")
     notes = [r.n for r in df.select(rules.notes(F.col("text")).alias("n")).collect()]
     assert ["singular" in n for n in notes] == [False, False, True]
+
+
+def test_units_are_found_in_the_words_heard(spark):
+    rng = random.Random(12)
+    vocabulary = ["we", "see", "it's", "the", "file", "open", "page", "-", "a", "list"]
+    units, words, want = [], [], set()
+    for rec in range(6):
+        script, heard = [], []
+        for unit in range(5):
+            text = [rng.choice(vocabulary) for _ in range(rng.randrange(9))]
+            units.append((rec, unit, " ".join(text) if unit != 3 else None))
+            script += [(unit, w) for w in text if unit != 3]
+            heard += [w for w in text if rng.random() < 0.8] + [rng.choice(vocabulary) for _ in range(rng.randrange(3))]
+        words += [(rec, i, w.upper(), 100 * i, 100 * i + 50) for i, w in enumerate(heard)]
+        key = lambda w: "".join(c for c in w.lower() if c.isalnum())
+        script = [(u, key(w)) for u, w in script if key(w)]
+        heard = [key(w) for w in heard]
+        met = {}
+        for m in matcher([k for _, k in script], heard).get_matching_blocks():
+            for n in range(m.size):
+                met.setdefault(script[m.a + n][0], []).append(m.b + n)
+        want |= {(rec, u, 100 * min(at), 100 * max(at) + 50, len(at)) for u, at in met.items()}
+    found = align.align_units(spark.createDataFrame(units, "rec long, unit long, text string"), spark.createDataFrame(words, "rec long, idx long, w string, start_ms long, end_ms long"))
+    assert {tuple(r) for r in found.select("rec", "unit", "start_ms", "end_ms", "matched").collect()} == want and want

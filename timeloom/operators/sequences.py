@@ -14,15 +14,20 @@ _END = 1 << 30
 
 
 def matching_blocks(pairs: DataFrame, key: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """(key, i, j, size): where stretches of the arrays ``a`` and ``b`` of a pair are equal, as a longest-block matcher finds them.
+    """``blocks_between`` the arrays ``a`` and ``b`` of each pair. Null arrays are empty, null elements match nothing."""
+    side = lambda c, at: pairs.select(*key, F.posexplode(c).alias(at, "x"))
+    return blocks_between(side(a, "i"), side(b, "j"), key)
 
-    The longest stretch that both have (the first in ``a``, then in ``b``) splits a pair into what lies before it and what lies
+
+def blocks_between(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """(key, i, j, size): where stretches of two sequences, of elements (key, i, x) and (key, j, x) numbered from 0, are equal, as a longest-block matcher finds them.
+
+    The longest stretch that both have (the first in ``left``, then in ``right``) splits a pair into what lies before it and what lies
     behind it, and so on. All pairs and parts are worked on together: a round takes the longest run of every part by a window and cuts
     the part's other runs to the two new parts, so there are as many rounds as splits lie within each other. Runs are
-    diagonals of equal elements; a pair has at most one for each two equal elements. Null arrays are empty, null elements match nothing.
+    diagonals of equal elements; a pair has at most one for each two equal elements.
     """
-    side = lambda c, at: pairs.select(*key, F.posexplode(c).alias(at, "_x"))
-    dots = side(a, "i").join(side(b, "j"), [*key, "_x"]).select(*key, "i", (F.col("i") - F.col("j")).alias("_d"))
+    dots = left.withColumnRenamed("x", "_x").join(right.withColumnRenamed("x", "_x"), [*key, "_x"]).select(*key, F.col("i").cast("int").alias("i"), (F.col("i") - F.col("j")).cast("int").alias("_d"))
     islands = dots.withColumn("_run", F.col("i") - F.row_number().over(Window.partitionBy(*key, "_d").orderBy("i"))).groupBy(*key, "_d", "_run")
     runs = islands.agg(F.min("i").alias("i"), F.count(F.lit(1)).cast("int").alias("size")).select(*key, "i", (F.col("i") - F.col("_d")).alias("j"), "size")
     # a part is known by its corner and its end
