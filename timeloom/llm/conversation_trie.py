@@ -20,7 +20,7 @@ SHARD, TILE = 1024, 64
 #: Depths of one conversation that are summed up at a time.
 STRETCH = 4096
 
-BINARY, BOOLEAN = T.BinaryType(), T.BooleanType()
+BINARY = T.BinaryType()
 
 #: Digest of a node at which no conversation ends.
 NONE = hashlib.sha256(b"").hexdigest()
@@ -30,7 +30,7 @@ def numbered(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role:
     """(conv, place, hi, lo, words) of each turn: its place in its conversation from 0, two hashes of role and text, and its number of words.
 
     A conversation's turns are in ascending ``order``, null first; of equal numbers, by the hashes. Null role or text is empty; rows
-    without a conversation are left out. Turns are sorted over all tasks, so that a conversation may be longer than a task's share: rows that
+    without a conversation are left out, further columns ignored. Turns are sorted over all tasks, so that a conversation may be longer than a task's share: rows that
     repeat are dealt out too, and places go on where the task before left off.
     """
     role, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role, text))
