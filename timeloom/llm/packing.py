@@ -18,7 +18,7 @@ from .common import LONG, WORKER_CACHES, chunks, fields, own_name, written
 #: Rows that are numbered in one task, about.
 RANK_ROWS = 500_000
 
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 CACHED_WORDS, CACHED_PARTS = 300_000, 600_000
 
 #: Letters, then ASCII marks other than the apostrophe, which begins contractions.
