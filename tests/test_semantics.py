@@ -181,6 +181,24 @@ def test_greedy_pick_leaves_neighbours(spark):
     assert sorted(r.id for r in rank.greedy_pick(rows, 25.0).collect()) == [0, 2, 4]
 
 
+def test_greedy_pick_equals_a_plain_loop_without_python_groups(spark):
+    """Runs of several lows, clips of one number, equal distances, missing ones; no group of rows goes through Python."""
+    rng = random.Random(31)
+    clips = [(p, 1000 * p + i, rng.choice("st"), rng.randrange(14), rng.choice([None, *map(float, range(9))]), float(rng.randrange(1, 5))) for p in range(40) for i in range(45)]
+    rows = spark.createDataFrame(clips, "pool long, id long, source string, number long, distance double, seconds double")
+    want = set()
+    for pool in range(40):
+        used, total = set(), 0.0
+        for _, i, source, number, distance, seconds in sorted((c for c in clips if c[0] == pool), key=lambda c: (c[4] is None, c[4] or 0.0, c[1])):
+            if total < 30 and not used & {(source, number + n) for n in (-1, 0, 1)}:
+                used.add((source, number))
+                total += seconds
+                want.add((pool, i))
+    picked = rank.greedy_pick(rows, 30.0)
+    assert {tuple(r) for r in picked.collect()} == want
+    assert "InPandas" not in picked._jdf.queryExecution().toString()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"source":"x","segments":[{"start":0,"end":1,"text":" Hi ","words":[{"word":" Hi","start":0.1,"end":0.3,"probability":0.5},{"text":"","start":0.3,"end":0.4},{"text":"you","start":0.4,"end":0.6}]}]}')
     words, segments = docs.transcripts(spark, str(tmp_path / "a.json"))

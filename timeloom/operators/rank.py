@@ -155,22 +155,23 @@ def hold_out(groups: DataFrame, key: str, size: str, seed: int = 7, least: int =
 def greedy_pick(rows: DataFrame, quota: float) -> DataFrame:
     """(pool, id): clips (pool, id, source, number, distance, seconds) by distance, none next to one picked of its source, until the quota is filled.
 
-    Clips only keep each other out within a run of adjacent numbers of one source, so runs are
-    worked on apart; the quota is a running sum over what they leave.
+    Only the first clip of a number can be picked: what keeps it out keeps out all others of that number, too. Of two neighbours the
+    first one decides, so each falling step towards the next smaller distance turns the choice: a clip is picked if on both
+    sides an even number of falling steps leads to the nearest low. The quota is a running sum over what is left. Without a
+    pool, source or number no clip is picked; those without distance come last.
     """
-    numbers = Window.partitionBy("pool", "source").orderBy("number")
-    clips = rows.select("pool", "id", "source", "number", "distance", "seconds").withColumn("run", F.col("number") - F.dense_rank().over(numbers))
-
-    def apart(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["distance", "id"])
-        place = (run["number"] - run["number"].min()).to_numpy()
-        near = np.zeros(place.max() + 3, bool)
-        kept = np.zeros(len(run), bool)
-        for i, at in enumerate(place):
-            kept[i] = not near[at + 1]
-            near[at : at + 3] |= kept[i]
-        return run.loc[kept, ["pool", "id", "distance", "seconds"]]
-
-    kept = clips.groupBy("pool", "source", "run").applyInPandas(apart, clips.select("pool", "id", "distance", "seconds").schema)
-    before = F.sum("seconds").over(Window.partitionBy("pool").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, -1))
+    rank = F.struct(F.col("distance").isNull(), F.col("distance"), F.col("id"))
+    clips = rows.where("pool IS NOT NULL AND source IS NOT NULL AND number IS NOT NULL").groupBy("pool", "source", "number").agg(F.min(F.struct(rank.alias("rank"), "seconds")).alias("c"))
+    clips = clips.select("pool", "source", "number", "c.rank", F.col("c.rank.id").alias("id"), F.col("c.rank.distance").alias("distance"), "c.seconds")
+
+    def steps(order: Column, gap: int) -> Column:
+        """Falling steps from a clip to the low on the side from which ``order`` comes."""
+        along = Window.partitionBy("pool", "source").orderBy(order)
+        place = F.row_number().over(along)
+        falls = F.coalesce((F.lag("number").over(along) == F.col("number") - gap) & (F.lag("rank").over(along) < F.col("rank")), F.lit(False))
+        return place - F.last(F.when(~falls, place), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    clips = clips.withColumn("below", steps(F.col("number").asc(), 1)).withColumn("above", steps(F.col("number").desc(), -1))
+    kept = clips.where("below % 2 = 0 AND above % 2 = 0").select("pool", "id", "distance", "seconds")
+    before = F.sum("seconds").over(Window.partitionBy("pool").orderBy(F.asc_nulls_last("distance"), "id").rowsBetween(Window.unboundedPreceding, -1))
     return kept.withColumn("before", F.coalesce(before, F.lit(0.0))).where(F.col("before") < quota).select("pool", "id")
