@@ -3,7 +3,9 @@
 import difflib
 import random
 import re
+import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as t
@@ -199,6 +201,24 @@ def test_greedy_pick_equals_a_plain_loop_without_python_groups(spark):
     assert "InPandas" not in picked._jdf.queryExecution().toString()
 
 
+def test_ratios_of_many_pairs_equal_a_matcher_and_outrun_it(spark):
+    """Words over few and many letters, empty, long and not ASCII; below the floor 0 is told. Each pair takes a fraction of a matcher's time."""
+    rng = random.Random(32)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    pairs = [(word(x, n), word(x, n)) for x in ("ab", "abcé", "abcdefghijklmnopqrst\U0001f600") for n in (3, 9, 25, 64, 70, 230) for _ in range(60)]
+    pairs += [("", ""), ("", "a"), ("a", "")]
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    column = [pd.Series(c) for c in zip(*pairs, strict=True)]
+    assert list(detect.seq_ratio.func(*column)) == [ratio(a, b) for a, b in pairs]
+    assert list(detect.ratio_from(0.6).func(*column)) == [ratio(a, b) if ratio(a, b) >= 0.6 else 0.0 for a, b in pairs]
+    many = [(word("abcdefghilmnoprstuvw", 14), word("abcdefghilmnoprstuvw", 14)) for _ in range(20_000)]
+    column, began = [pd.Series(c) for c in zip(*many, strict=True)], time.process_time()
+    want = [r if (r := ratio(a, b)) >= 0.6 else 0.0 for a, b in many]
+    between = time.process_time()
+    assert list(detect.ratio_from(0.6).func(*column)) == want
+    assert time.process_time() - between < (between - began) / 3
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"source":"x","segments":[{"start":0,"end":1,"text":" Hi ","words":[{"word":" Hi","start":0.1,"end":0.3,"probability":0.5},{"text":"","start":0.3,"end":0.4},{"text":"you","start":0.4,"end":0.6}]}]}')
     words, segments = docs.transcripts(spark, str(tmp_path / "a.json"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,10 +85,77 @@ def repeats(words: DataFrame, longest: int = 4, reach: int = 600, hard: list[str
     return taken.join(live, ["rec", "place"]).select("rec", "idx")
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two strings."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+#: Longest string whose places fit the bits of a mask, and pairs that are compared at once.
+MASK_BITS, PAIRS_AT_ONCE = 63, 4096
+
+
+def _bits(ends: np.ndarray) -> np.ndarray:
+    """Masks of the places before each end."""
+    return (np.uint64(1) << ends.astype(np.uint64)) - np.uint64(1)
+
+
+def _matched(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, floor: float) -> np.ndarray:
+    """Characters in the matching blocks of pairs (rows of code points), or 0 where the longest common subsequence shows that the ratio stays below ``floor``.
+
+    A place of ``a`` has a mask of the places of ``b`` with the same character. A round takes the longest common run of each part
+    of a pair, the first in ``a``, then in ``b``, as ``difflib`` does, and goes on with what lies before and behind it.
+    """
+    same = np.zeros((int(la.max(initial=0)), len(a)), np.uint64)
+    for j in range(int(lb.max(initial=0))):
+        same |= (a.T[: len(same)] == b[:, j]).astype(np.uint64) << np.uint64(j)
+    same &= np.where(np.arange(len(same))[:, None] < la, _bits(lb), np.uint64(0))
+    rest = np.full(len(a), ~np.uint64(0))
+    for row in same:
+        rest = (rest + (rest & row)) | (rest & ~row)
+    able = 2 * np.bitwise_count(~rest & _bits(lb)).astype(np.int64) >= floor * (la + lb) - 1e-9
+    out = np.zeros(len(a), np.int64)
+    pair = np.flatnonzero(able)
+    a0, a1, b0, b1 = np.zeros_like(pair), la[pair], np.zeros_like(pair), lb[pair]
+    while len(pair):
+        at = np.arange(len(same))[:, None]
+        part = np.where((at >= a0) & (at < a1), same[:, pair] & _bits(b1) & ~_bits(b0), np.uint64(0))
+        size, first, second = (np.zeros_like(pair) for _ in range(3))
+        live, runs, n = np.arange(len(pair)), part, 0
+        while n < len(same):
+            some = runs.any(axis=0)
+            live, runs = live[some], runs[:, some]
+            if not len(live):
+                break
+            n += 1
+            i = (runs != 0).argmax(axis=0)
+            low = runs[i, np.arange(len(live))]
+            size[live], first[live], second[live] = n, i, np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1))
+            runs = runs[:-1] & (part[n:, live] >> np.uint64(n))
+        np.add.at(out, pair, size)
+        parts = [(pair, a0, first, b0, second), (pair, first + size, a1, second + size, b1)]
+        pair, a0, a1, b0, b1 = (np.concatenate(x) for x in zip(*[[c[(size > 0) & (p[2] > p[1]) & (p[4] > p[3])] for c in p] for p in parts], strict=True))
+    return out
+
+
+def ratio_from(floor: float):
+    """A column function: the Ratcliff-Obershelp similarity of two strings, or 0 where it is below ``floor``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = (np.array([x or "" for x in c], object) for c in (a, b))
+        la, lb = (np.array([len(x) for x in c], np.int64) for c in (a, b))
+        out = np.ones(len(a))
+        order = np.argsort((la << 32) + lb, kind="stable")
+        fits = np.maximum(la, lb)[order] <= MASK_BITS
+        for i in order[~fits]:
+            out[i] = difflib.SequenceMatcher(None, a[i], b[i]).ratio()
+        short = order[fits & ((la + lb)[order] > 0)]
+        for start in range(0, len(short), PAIRS_AT_ONCE):
+            some = short[start : start + PAIRS_AT_ONCE]
+            codes = [c[some].astype("U").view(np.uint32).reshape(len(some), -1) for c in (a, b)]
+            out[some] = 2.0 * _matched(*codes, la[some], lb[some], floor) / (la + lb)[some]
+        return pd.Series(np.where(out >= floor, out, 0.0))
+
+    return ratio
+
+
+#: Ratcliff-Obershelp similarity of two strings.
+seq_ratio = ratio_from(0.0)
 
 
 def letters(word: Column) -> Column:
@@ -125,7 +193,7 @@ def near_words(some: DataFrame, others: DataFrame, floor: float) -> DataFrame:
     keyed = F.broadcast(some.where("length(a) > 0").select("a", "la", reach.alias("size")))
     fits = (F.col("a") != F.col("b")) & (F.col("in_some").isNull() | (F.col("a") < F.col("b"))) & may_reach(F.col("a"), F.col("b"), F.col("la"), F.col("lb"), floor)
     pairs = rows.withColumn("size", F.length("b").cast("long")).join(keyed, "size").where(fits).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b")
-    return pairs.withColumn("ratio", seq_ratio("x", "y")).where(F.col("ratio") >= floor).select("a", "b", "ratio")
+    return pairs.withColumn("ratio", ratio_from(floor)("x", "y")).where(F.col("ratio") >= floor).select("a", "b", "ratio")
 
 
 def mangled_names(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, floor: float = 0.65, known_floor: float = 0.80, ceiling: float = 0.97, gate: int = 550) -> DataFrame:
@@ -146,7 +214,7 @@ def mangled_names(words: DataFrame, lexicon: DataFrame, dictionary: DataFrame, f
     sized = terms.withColumn("lt", letters(F.col("term_n"))).withColumn("size", F.explode(F.sequence(F.length("term_n") - 3, F.length("term_n") + 3)))
     tried = dealt(distinct, "n").withColumn("ln", letters(F.col("n"))).withColumn("size", F.length("n"))
     near = tried.join(F.broadcast(sized), "size").where(may_reach(F.col("n"), F.col("term_n"), F.col("ln"), F.col("lt"), least))
-    near = near.withColumn("variant", t.variant_of(F.col("n"), F.col("term_n"))).withColumn("ratio", F.when(F.abs(F.length("n") - F.length("term_n")) <= 2, seq_ratio("n", "term_n")).otherwise(0.0))
+    near = near.withColumn("variant", t.variant_of(F.col("n"), F.col("term_n"))).withColumn("ratio", F.when(F.abs(F.length("n") - F.length("term_n")) <= 2, ratio_from(least)("n", "term_n")).otherwise(0.0))
     best = near.groupBy("n", "known").agg(F.max("variant").alias("variant"), F.max_by(F.struct("term", "ratio"), F.struct("ratio", -F.col("ord"))).alias("best")).where("NOT variant")
     hit = (F.col("best.ratio") >= F.when(F.col("known"), known_floor).otherwise(floor)) & (F.col("best.ratio") < ceiling)
     hits = best.where(hit).select("n", "known", "best.term", "best.ratio")
