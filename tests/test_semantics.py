@@ -257,6 +257,29 @@ def test_word_diff_equals_the_whole_table_in_little_memory(spark):
     assert sum(parts) == 200_000 and max(parts) <= align.DIFF_WORDS
 
 
+def test_repeats_scan_many_recordings_in_one_pass(spark):
+    """Against a plain scan of each recording; no Python group a recording and no words worked out twice."""
+    rng = random.Random(34)
+    texts = {r: [rng.choice(["a", "b", "we've", "we", "um", "very", "-"]) for _ in range(rng.randrange(60))] for r in range(150)}
+    at = {r: [i * 500 + rng.choice([0, 0, 0, 900]) for i in range(len(w))] for r, w in texts.items()}
+    rows = spark.createDataFrame([(r, i, w, at[r][i], at[r][i] + 200) for r, ws in texts.items() for i, w in enumerate(ws)], "rec long, idx long, w string, start_ms long, end_ms long").repartition(9)
+    pairs, drops = set(), set()
+    for r, ws in texts.items():
+        live, free = [i for i, w in enumerate(ws) if w != "um"], 0
+        key = [{"we've": "we", "-": ""}.get(ws[i], ws[i]) for i in live]
+        for p in range(len(live)):
+            fits = [n for n in range(1, 5) if p + 2 * n <= len(live) and all(key[p + i] and key[p + i] == key[p + n + i] for i in range(n)) and at[r][live[p + n]] - at[r][live[p + n - 1]] - 200 <= 600 and (n > 1 or key[p] != "very")]
+            pairs |= {(r, live[p], n) for n in fits}
+            if fits and p >= free:
+                drops |= {(r, live[p + i]) for i in range(max(fits))}
+                free = p + max(fits)
+    assert {tuple(x) for x in detect.repeat_candidates(rows).collect()} == pairs
+    found = detect.repeats(rows)
+    assert {tuple(x) for x in found.collect()} == drops
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Join" not in plan
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"source":"x","segments":[{"start":0,"end":1,"text":" Hi ","words":[{"word":" Hi","start":0.1,"end":0.3,"probability":0.5},{"text":"","start":0.3,"end":0.4},{"text":"you","start":0.4,"end":0.6}]}]}')
     words, segments = docs.transcripts(spark, str(tmp_path / "a.json"))

@@ -15,7 +15,11 @@ def norm(token: Column) -> Column:
 
 def repeat_key(token: Column) -> Column:
     """``norm`` without one contraction ending, where two characters remain."""
-    return F.regexp_replace(norm(token), f"(?<=..)({'|'.join(CONTRACTIONS)})$", "")
+    return without_contraction(norm(token))
+
+
+def without_contraction(token: Column) -> Column:
+    return F.when(F.contains(token, F.lit("'")), F.regexp_replace(token, f"(?<=..)({'|'.join(CONTRACTIONS)})$", "")).otherwise(token)
 
 
 def stems(token: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,39 +52,53 @@ def repeat_candidates(words: DataFrame, longest: int = 4, reach: int = 600, hard
     Keys ignore contraction endings; empty keys never match, and single words that are
     doubled for emphasis are no repeat. The copies are at most ``reach`` apart.
     """
+    return _phrases(words, longest, reach, hard).select("rec", "idx", F.explode("ns").alias("n"))
+
+
+def _phrases(words: DataFrame, longest: int, reach: int, hard: list[str]) -> DataFrame:
+    """(rec, idx, place, following, ns): words that are no hard filler and begin a repeat, the idx of as many words from there as the longest has, and the lengths of the repeats.
+
+    A word has a bit for each distance at which its key stands again, so a phrase of n words is the bit n of n words in a row. A
+    recording's words stay together and in order in one partition, which is dealt once.
+    """
     order = Window.partitionBy("rec").orderBy("idx")
-    live = words.where(~t.norm(F.col("w")).isin(hard)).withColumn("key", t.repeat_key(F.col("w")))
-    tests = []
+    # exploded, so that the filter does not work a word's form out a second time
+    rows = words.select("rec", "idx", "start_ms", "end_ms", F.explode(F.array(t.norm(F.col("w")))).alias("norm")).where(~F.col("norm").isin(hard))
+    rows = rows.select("rec", "idx", "start_ms", "end_ms", t.without_contraction(F.col("norm")).alias("key")).repartition("rec")
+    again = [F.when((F.col("key") != "") & (F.col("key") == F.lead("key", n).over(order)), F.lit(1 << n)).otherwise(0) for n in range(1, longest + 1)]
+    near = F.when(F.lead("start_ms").over(order) - F.col("end_ms") <= reach, F.lit(True)).otherwise(False)
+    calm = F.when(~F.col("key").isin(C.RHETORICAL), F.lit(~0)).otherwise(~2)
+    rows = rows.select("rec", "idx", reduce(Column.bitwiseOR, again).alias("bits"), near.alias("near"), calm.alias("calm"))
+    after = lambda c, n: F.lead(c, n).over(order) if n else F.col(c)
+    tests, bits = [], F.lit(~0)
     for n in range(1, longest + 1):
-        same = F.lit(True)
-        for i in range(n):
-            mine = F.col("key") if not i else F.lead("key", i).over(order)
-            same = same & (mine != "") & (mine == F.lead("key", n + i).over(order))
-        near = F.lead("start_ms", n).over(order) - (F.lead("end_ms", n - 1).over(order) if n > 1 else F.col("end_ms")) <= reach
-        fits = same & near & ~F.col("key").isin(C.RHETORICAL) if n == 1 else same & near
-        tests.append(F.when(F.coalesce(fits, F.lit(False)), F.lit(n)))
-    return live.select("rec", "idx", F.array_compact(F.array(*tests)).alias("ns")).select("rec", "idx", F.explode("ns").alias("n"))
+        bits = bits.bitwiseAND(after("bits", n - 1))
+        own = bits.bitwiseAND(F.col("calm")) if n == 1 else bits
+        tests.append(F.when((own.bitwiseAND(F.lit(1 << n)) != 0) & after("near", n - 1), F.lit(n)))
+    following = F.array(*[after("idx", n) for n in range(longest)])
+    found = rows.select("rec", "idx", (F.row_number().over(order) - 1).cast("long").alias("place"), following.alias("following"), F.array_compact(F.array(*tests)).alias("ns"))
+    return found.where(F.size("ns") > 0)
 
 
 def repeats(words: DataFrame, longest: int = 4, reach: int = 600, hard: list[str] = C.HARD_FILLERS) -> DataFrame:
     """(rec, idx): words of first copies that go. Scans left to right, the longest phrase first, and goes on behind the first copy.
 
-    Each recording is scanned in one group; only words in reach of a candidate come into it.
+    Candidates are scanned where they are, in the order of their recordings; a task holds one batch of them and where the last phrase ended.
     """
-    live = words.where(~t.norm(F.col("w")).isin(hard)).select("rec", "idx", (F.row_number().over(Window.partitionBy("rec").orderBy("idx")) - 1).cast("long").alias("place"))
-    found = repeat_candidates(words, longest, reach, hard).groupBy("rec", "idx").agg(F.array_sort(F.collect_set("n")).alias("ns"))
-    rows = found.join(live, ["rec", "idx"]).select("rec", "place", "ns")
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group, free, out = group.sort_values("place"), -1, []
-        for place, ns in zip(group["place"], group["ns"], strict=True):
-            if place >= free:
-                out += range(place, place + max(ns))
-                free = place + max(ns)
-        return pd.DataFrame({"rec": group["rec"].iloc[0], "place": out})
-
-    taken = rows.groupBy("rec").applyInPandas(scan, "rec long, place long")
-    return taken.join(live, ["rec", "place"]).select("rec", "idx")
+    rows = _phrases(words, longest, reach, hard).select("rec", "place", F.array_max("ns").alias("n"), "following").sortWithinPartitions("rec", "place")
+    schema = rows.select("rec", "n", "following").schema
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, free = None, 0
+        for batch in batches:
+            taken = []
+            for at, (rec, place, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rec", "place", "n")), strict=True)):
+                if rec != last or place >= free:
+                    last, free = rec, place + n
+                    taken.append(at)
+            yield batch.take(pa.array(taken, pa.int64())).select(["rec", "n", "following"])
+
+    return rows.mapInArrow(scan, schema).select("rec", F.explode(F.slice("following", F.lit(1), F.col("n"))).alias("idx"))
 
 
 #: Longest string whose places fit the bits of a mask, and pairs that are compared at once.

@@ -158,7 +158,7 @@ live AS (SELECT *, CASE WHEN regexp_matches(n, '..(''ve|''ll|''re)$') THEN left(
 
 def _doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents, a quarter of a second apart."""
-    tokens = F.filter(F.split("text", "[ \t\n\r]+"), lambda s: s != "")
+    tokens = F.array_remove(F.split("text", "[ \t\n\r]+"), "")
     rows = fx.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("rec"), F.posexplode(tokens).alias("idx", "w"))
     return rows.select("rec", F.col("idx").cast("long").alias("idx"), "w", (F.col("idx") * 250).cast("long").alias("start_ms"), (F.col("idx") * 250 + 200).cast("long").alias("end_ms"))
 
