@@ -280,6 +280,16 @@ def test_repeats_scan_many_recordings_in_one_pass(spark):
     assert "FlatMapGroupsInPandas" not in plan and "Join" not in plan
 
 
+def test_words_of_longer_tables_go_to_more_tasks_and_faults_sort_them_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(c, i, "one two three. " * 5) for c in range(40) for i in range(3)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted(map(tuple, fixtures.words(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(fixtures, "TASK_CHARS", 400)
+    rows = fixtures.words(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= 20 and sorted(map(tuple, rows.collect())) == want
+    plan = detect.faults(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.count("Sort [") == 2 and plan.count("Exchange") == 1
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"source":"x","segments":[{"start":0,"end":1,"text":" Hi ","words":[{"word":" Hi","start":0.1,"end":0.3,"probability":0.5},{"text":"","start":0.3,"end":0.4},{"text":"you","start":0.4,"end":0.6}]}]}')
     words, segments = docs.transcripts(spark, str(tmp_path / "a.json"))

@@ -35,15 +35,19 @@ def faults(words: DataFrame, hard: list[str] = C.HARD_FILLERS, soft: list[str] =
     """Flags of one word each (filler, soft_filler, low_conf) and of dead air; a word can be unsure besides being a filler.
 
     A hard filler counts as such even where the soft list has it, too. Stop words, words of
-    fewer than three letters and a recording's first and last word are never unsure.
+    fewer than three letters and a recording's first and last word are never unsure. One window over
+    neighbouring words serves all flags.
     """
-    whole = Window.partitionBy("rec")
-    rows = words.withColumn("n", t.norm(F.col("w"))).withColumn("last", F.max("idx").over(whole))
+    order = Window.partitionBy("rec").orderBy("idx")
+    rows = words.select("rec", "idx", "start_ms", "end_ms", "p_milli", t.norm(F.col("w")).alias("n"))
+    rows = rows.withColumns({"gap": F.col("start_ms") - F.lag("end_ms").over(order), "last": F.lead(F.lit(True)).over(order).isNull()})
+    flag = lambda kind, start, end, p, detail: F.struct(kind.alias("kind"), "idx", start.alias("start_ms"), end.alias("end_ms"), p.alias("p_milli"), detail.alias("detail"))
     kind = F.when(F.col("n").isin(hard), "filler").when(F.col("n").isin(soft), "soft_filler")
-    unsure = (F.col("p_milli") < low) & ~F.col("n").isin(stop) & (F.length("n") >= 3) & (F.col("idx") > 0) & (F.col("idx") < F.col("last"))
-    kinds = F.array_compact(F.array(kind, F.when(unsure, "low_conf")))
-    flagged = rows.select("rec", F.explode(kinds).alias("kind"), "idx", "start_ms", "end_ms", "p_milli", F.col("n").alias("detail"))
-    return flagged.unionByName(dead_air(words, gap)).select(*FLAGS)
+    unsure = (F.col("p_milli") < low) & ~F.col("n").isin(stop) & (F.length("n") >= 3) & (F.col("idx") > 0) & ~F.col("last")
+    word = [F.col(c) for c in ("start_ms", "end_ms", "p_milli", "n")]
+    dead = flag(F.lit("gap"), F.col("start_ms") - F.col("gap"), F.col("start_ms"), F.lit(None).cast("long"), F.lit("dead air"))
+    flags = F.array_compact(F.array(F.when(kind.isNotNull(), flag(kind, *word)), F.when(unsure, flag(F.lit("low_conf"), *word)), F.when(F.col("gap") > gap, dead)))
+    return rows.select("rec", F.explode(flags).alias("f")).select("rec", "f.*").select(*FLAGS)
 
 
 def repeat_candidates(words: DataFrame, longest: int = 4, reach: int = 600, hard: list[str] = C.HARD_FILLERS) -> DataFrame:

@@ -14,16 +14,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Characters of conversations whose words, some ten times as many bytes in each sort, one task works on.
+TASK_CHARS = 4_000_000
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec, turn, idx, w, start_ms, end_ms, p_milli): words of the conversations with derived timings."""
+    """(rec, turn, idx, w, start_ms, end_ms, p_milli): words of the conversations with derived timings.
+
+    Recordings are dealt to as many tasks as their texts need, so that a task's memory does not grow with the table.
+    """
     turns = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
+    chars = turns.agg(F.sum(F.length("text"))).first()[0] or 0
+    turns = turns.repartition(max(spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS)), F.col("conv_id"))
     tokens = turns.select(F.col("conv_id").alias("rec"), "turn", F.posexplode(F.split("text", "[ \t\n\r]+")).alias("pos", "w")).where("w != ''")
     order = Window.partitionBy("rec").orderBy("turn", "pos")
     n, idx = F.length("w").cast("long"), F.col("idx")
     placed = tokens.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
     beat = (17 * idx + 31 * n + F.col("rec")) % 23
     gap = F.when(beat == 0, 1500).when(beat == 1, 700).otherwise(40).cast("long")
-    timed = placed.withColumn("dur", 60 + 35 * n).withColumn("end_ms", F.sum(gap + F.col("dur")).over(Window.partitionBy("rec").orderBy("idx")))
+    timed = placed.withColumn("dur", 60 + 35 * n).withColumn("end_ms", F.sum(gap + F.col("dur")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # idx goes in the order of turn and pos, so one sort serves both windows
     return timed.select("rec", "turn", "idx", "w", (F.col("end_ms") - F.col("dur")).alias("start_ms"), "end_ms", ((37 * idx + 101 * n + 13 * F.col("rec")) % 1000).alias("p_milli"))
 
 
