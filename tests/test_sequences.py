@@ -47,6 +47,29 @@ def test_blocks_ratios_and_operations(spark):
     assert ops == {(i, *o) for i, (a, b) in enumerate(pairs) for o in matcher(a, b).get_opcodes() if o[0] != "equal"}
 
 
+def test_blocks_are_found_in_few_rounds_whatever_lies_within_what(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(seq, "settled", lambda rows, settled=seq.settled: calls.append(1) or settled(rows))
+    rng = random.Random(5)
+    # stretches of falling length, each behind a word that the other side lacks: a split within a split, thirty deep
+    deep = [[f"w{n}-{k}" for k in range(40 - n)] for n in range(30)]
+    pairs = {0: (sum(deep, []), sum([d + ["?"] for d in deep], []))}
+    for n in range(1, 12):
+        a = [rng.choice("abc") for _ in range(rng.randrange(60))]
+        pairs[n] = (a, [x if rng.random() < 0.85 else rng.choice("abcx") for x in a if rng.random() < 0.9])
+    side = lambda at: [(n, i, x) for n, pair in pairs.items() for i, x in enumerate(pair[at])]
+    left, right = (spark.createDataFrame(side(at), f"id int, {c} int, x string") for at, c in ((0, "i"), (1, "j")))
+
+    def blocks(grams):
+        rows = seq.blocks_between(left, right, ["id"], grams).collect()
+        return {n: sorted((r.i + k, r.j + k) for r in rows if r.id == n for k in range(r.size)) for n in pairs}
+
+    want = {n: [(m.a + k, m.b + k) for m in matcher(*pair).get_matching_blocks() for k in range(m.size)] for n, pair in pairs.items()}
+    assert blocks((4, 1)) == want and len(calls) <= 4
+    monkeypatch.setattr(seq, "ROUND_RUNS", 12)
+    assert blocks((3, 1)) == want
+
+
 def swapped(a, b, heard):
     for op, i0, i1, j0, j1 in matcher(a, b).get_opcodes():
         for k, new in enumerate(b[j0:j1]):

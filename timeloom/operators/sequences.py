@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timeloom.functions import constants as C
 
@@ -19,33 +25,111 @@ def matching_blocks(pairs: DataFrame, key: list[str], a: str = "a", b: str = "b"
     return blocks_between(side(a, "i"), side(b, "j"), key)
 
 
-def blocks_between(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+BLOCKS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("i", "j", "size")]))
+
+
+def _split(runs: list[tuple[int, int, int]], whole: bool, least: int) -> list[tuple[int, int, int]]:
+    """Blocks that a longest-block matcher finds in the longest runs (-size, i, j) of a part, in that order.
+
+    If they are not the ``whole`` of its runs, only blocks that come before the last one of them are sure.
+    """
+    last = None if whole else runs[-1]
+    found: list[tuple[int, int, int]] = []  # (i, j, size), ascending
+    while runs:
+        run = heapq.heappop(runs)
+        size, i, j = -run[0], run[1], run[2]
+        if last is not None and run > last:
+            break
+        # the first block that does not end before the run on both sides, and that behind the last one that does not begin behind it
+        low = bisect.bisect_left(found, True, key=lambda m: m[0] + m[2] > i or m[1] + m[2] > j)
+        high = bisect.bisect_left(found, True, key=lambda m: m[0] >= i + size and m[1] >= j + size)
+        if low >= high:
+            found.insert(low, (i, j, size))
+            continue
+        # what is left of it in each gap between the blocks that it meets
+        for n in range(low, high + 1):
+            a0, b0 = (found[n - 1][0] + found[n - 1][2], found[n - 1][1] + found[n - 1][2]) if n else (0, 0)
+            a1, b1 = found[n][:2] if n < len(found) else (_END, _END)
+            late = max(0, a0 - i, b0 - j)
+            left = min(size, a1 - i, b1 - j) - late
+            if left >= least:
+                heapq.heappush(runs, (-left, i + late, j + late))
+    return found
+
+
+@F.arrow_udf(BLOCKS)
+def _blocks(runs: pa.Array, whole: pa.Array, least: pa.Array) -> pa.Array:
+    flat, ends = runs.flatten(), np.append(0, np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))).tolist()
+    size, i, j = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("size", "i", "j"))
+    found, stops = [], [0]
+    for a, b, every, shortest in zip(ends[:-1], ends[1:], whole.to_pylist(), least.to_pylist(), strict=True):
+        if b - a == 1:
+            found.append((i[a], j[a], size[a]))
+        else:
+            found += _split(sorted(zip((-size[a:b]).tolist(), i[a:b].tolist(), j[a:b].tolist(), strict=True)), every, shortest)
+        stops.append(len(found))
+    each = np.array(found, np.int32).reshape(-1, 3)
+    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(each[:, c]) for c in range(3)], ["i", "j", "size"]))
+
+
+#: The longest runs of a part that one round looks at.
+ROUND_RUNS = 500
+
+
+def blocks_between(left: DataFrame, right: DataFrame, key: list[str], grams: tuple[int, ...] = (1,)) -> DataFrame:
     """(key, i, j, size): where stretches of two sequences, of elements (key, i, x) and (key, j, x) numbered from 0, are equal, as a longest-block matcher finds them.
 
     The longest stretch that both have (the first in ``left``, then in ``right``) splits a pair into what lies before it and what lies
-    behind it, and so on. All pairs and parts are worked on together: a round takes the longest run of every part by a window and cuts
-    the part's other runs to the two new parts, so there are as many rounds as splits lie within each other. Runs are
-    diagonals of equal elements; a pair has at most one for each two equal elements.
+    behind it, and so on. Runs are diagonals of equal elements; all pairs and parts are worked on together. A round splits every part by
+    its longest runs, ROUND_RUNS at most, as far as no other can be longer; the next one looks for runs between what was found. Of long sequences that
+    are much alike, runs of ``grams[0]`` elements or more are looked for first, as equal stretches of so many are far fewer than equal
+    elements; shorter ones then, in what no longer one covers. The last number is 1.
     """
-    dots = left.withColumnRenamed("x", "_x").join(right.withColumnRenamed("x", "_x"), [*key, "_x"]).select(*key, F.col("i").cast("int").alias("i"), (F.col("i") - F.col("j")).cast("int").alias("_d"))
-    islands = dots.withColumn("_run", F.col("i") - F.row_number().over(Window.partitionBy(*key, "_d").orderBy("i"))).groupBy(*key, "_d", "_run")
-    runs = islands.agg(F.min("i").alias("i"), F.count(F.lit(1)).cast("int").alias("size")).select(*key, "i", (F.col("i") - F.col("_d")).alias("j"), "size")
-    # a part is known by its corner and its end
-    part = ["_a0", "_b0", "_a1", "_b1"]
-    left = settled(runs.select(*key, "i", "j", "size", F.lit(0).alias("_a0"), F.lit(0).alias("_b0"), F.lit(_END).alias("_a1"), F.lit(_END).alias("_b1")))
+    side = lambda rows, at: rows.where("x IS NOT NULL").select(*key, F.lit(-1).alias("_gap"), F.col(at).cast("int").alias("_at"), "x")
+    sides = {"i": side(left, "i"), "j": side(right, "j")}
+    part = [*key, "_gap"]
     found = None
-    while not left.isEmpty():
-        order = Window.partitionBy(*key, *part).orderBy(F.desc("size"), "i", "j")
-        rows = left.select("*", F.row_number().over(order).alias("_nth"), *[F.first(c).over(order).alias(f"_{c}") for c in ("i", "j", "size")])
-        i, j, size, bi, bj, bs = (F.col(c) for c in ("i", "j", "size", "_i", "_j", "_size"))
-        late = F.greatest(F.lit(0), bi + bs - i, bj + bs - j)
-        before = F.struct(i.alias("i"), j.alias("j"), F.least(size, bi - i, bj - j).alias("size"), F.col("_a0"), F.col("_b0"), bi.alias("_a1"), bj.alias("_b1"))
-        behind = F.struct((i + late).alias("i"), (j + late).alias("j"), (size - late).alias("size"), (bi + bs).alias("_a0"), (bj + bs).alias("_b0"), F.col("_a1"), F.col("_b1"))
-        rows = settled(rows.select(*key, "i", "j", "size", "_nth", F.when(F.col("_nth") > 1, F.array(before, behind)).alias("_parts")))
-        best = rows.where("_nth = 1").select(*key, "i", "j", "size")
-        found = best if found is None else found.unionByName(best)
-        left = settled(rows.select(*key, F.explode("_parts").alias("_p")).select(*key, "_p.*").where("size > 0").select(*key, "i", "j", "size", *part))
-    return left.select(*key, "i", "j", "size") if found is None else found
+    for gram in grams:
+        more = True
+        while more:
+            along = Window.partitionBy(*part).orderBy("_at")
+            xs = [f"_x{n}" for n in range(gram)]
+            # elements that follow without a hole
+            near = lambda n: F.when(F.lead("_at", n).over(along) == F.col("_at") + n, F.lead("x", n).over(along))
+            same = {}
+            for at, rows in sides.items():
+                beside = [near(-1).alias(f"_before_{at}"), near(gram).alias(f"_behind_{at}")]
+                rows = rows.select(*part, F.col("_at").alias(at), F.col("x").alias("_x0"), *[near(n).alias(xs[n]) for n in range(1, gram)], *beside)
+                same[at] = rows.where(F.col(xs[-1]).isNotNull())
+            goes_on = lambda c: F.coalesce(F.col(f"{c}_i") == F.col(f"{c}_j"), F.lit(False))
+            # only where equal stretches begin or end: the next end of a diagonal is that of the beginning before it
+            dots = same["i"].join(same["j"], [*part, *xs]).select(*part, "i", (F.col("i") - F.col("j")).alias("_d"), goes_on("_before").alias("_from"), goes_on("_behind").alias("_on"))
+            dots = dots.where("NOT (_from AND _on)")
+            end = F.when(F.col("_on"), F.lead("i").over(Window.partitionBy(*part, "_d").orderBy("i"))).otherwise(F.col("i"))
+            runs = dots.withColumn("_to", end).where("NOT _from").select(*part, "i", (F.col("i") - F.col("_d")).alias("j"), (F.col("_to") - F.col("i") + gram).alias("size"))
+            nth = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("size"), "i", "j"))
+            first = runs.withColumn("_nth", nth).where(F.col("_nth") <= ROUND_RUNS + 1)
+            longest = F.collect_list(F.when(F.col("_nth") <= ROUND_RUNS, F.struct("size", "i", "j")))
+            parts = first.groupBy(*part).agg(longest.alias("_runs"), (F.max("_nth") <= ROUND_RUNS).alias("_whole"))
+            new = settled(parts.select(*part, "_whole", F.explode(_blocks("_runs", "_whole", F.lit(gram))).alias("_b")).select(*part, "_whole", "_b.*"))
+            best = new.select(*key, "i", "j", "size")
+            found = best if found is None else found.unionByName(best)
+            more = not new.where("NOT _whole").isEmpty()
+            if more or gram != grams[-1]:
+                sides = {at: settled(_between(rows, new, part, at)) for at, rows in sides.items()}
+    return found
+
+
+def _between(rows: DataFrame, blocks: DataFrame, part: list[str], at: str) -> DataFrame:
+    """Elements (part, _at, x) that no block covers, in the gaps between the blocks; a gap is known by where the block before it ends in ``i``."""
+    none = F.lit(None).cast("int")
+    ends = blocks.select(*part, F.col(at).alias("_at"), none.alias("_n"), (F.col(at) + F.col("size")).alias("_to"), (F.col("i") + F.col("size")).alias("_end"))
+    both = rows.withColumns({"_n": F.lit(1), "_to": none, "_end": none}).unionByName(ends, allowMissingColumns=True)
+    # at the same place the block comes first
+    before = Window.partitionBy(*part).orderBy("_at", F.asc_nulls_first("_n"))
+    last = lambda c: F.last(c, ignorenulls=True).over(before)
+    held = both.select(*part, "_at", "x", "_n", last("_to").alias("_to"), last("_end").alias("_end")).where("_n = 1 AND (_to IS NULL OR _at >= _to)")
+    return held.select(*[c for c in part if c != "_gap"], F.coalesce("_end", "_gap").alias("_gap"), "_at", "x")
 
 
 def ratios(pairs: DataFrame, key: list[str], a: str = "a", b: str = "b", blocks: DataFrame | None = None) -> DataFrame:
