@@ -355,6 +355,29 @@ def test_seq_ratio_pairs_equal_all_pairs(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want and {("workspace", "workspaces", 947), ("licensing", "lincensing", 947)} <= want
 
 
+def test_best_examples_leave_a_task_as_few_rows_and_are_those_of_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"word{n}" for n in range(12)] + ["It's", "THAT", "of", "with"]
+    text = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(9)))
+    bank = []
+    for n in range(300):
+        said = text()
+        bank.append((n if n else None, rng.choice(["a", "b", None]), said if n % 17 else None, said.replace(" of ", " ") if n % 19 else None))
+    bank = spark.createDataFrame(bank, "doc_id long, source string, said string, final string").repartition(3)
+    wanted = spark.createDataFrame([(n, text()) for n in range(6)] + [(2, text()), (6, None), (7, "none of these")], "item_id long, text string")
+    each = lambda: sorted(map(tuple, rank.best_examples(wanted, bank, ["that", "with"], 2, 5).collect()), key=repr)
+    monkeypatch.setattr(rank, "MET_PAIRS", 40)
+    got = each()
+    monkeypatch.setattr(rank, "KEPT_ROWS", 5)
+    assert each() == got
+    monkeypatch.setattr(rank, "BROADCAST_WORDS", 0)
+    assert each() == got and len(got) == 8 * 5
+    monkeypatch.setattr(rank, "KEPT_ROWS", 1000)
+    words = wanted.select("item_id", F.explode(t.content_words(F.coalesce("text", F.lit("")), ["that", "with"])).alias("word")).distinct()
+    met, alone = rank._met_in_tasks(words, bank, ["that", "with"], 2)
+    assert met.count() <= 3 * 8 * 3 * 2 and alone.count() <= 3 * 3 * 2
+
+
 def test_example_retrieval_whole_equals_brute_force(spark, tmp_path):
     """All items, whole texts and all languages: with late matches, null texts and sources, and ties."""
     rng = random.Random(13)

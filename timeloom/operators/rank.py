@@ -7,11 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timeloom.functions import text as t
 
+from .stored import settled
+
 
 def candidate_score(clicks: Column, pace: Column, pace_sd: Column, pitch_sd: Column, level_sd: Column, target: float = 145.0) -> Column:
     """Lower is better; a missing pitch spread counts as 3."""
@@ -107,34 +112,108 @@ def overlap_score(shared: Column, size: Column, said_words: Column, final_words:
 #: Words of wanted lines (item and word, some 30 bytes) that are broadcast at most; beyond, examples are shuffled to them.
 BROADCAST_WORDS = 1_000_000
 
+#: Pairs of a line and an example after which a task drops those that cannot be among the best, and rows that it keeps at most.
+MET_PAIRS, KEPT_ROWS = 500_000, 250_000
+
+#: What is known of an example.
+FACTS = ("size", "said_words", "final_words")
+
+
+def _firsts(rows: pa.Table, each: int) -> pa.Table:
+    """The ``each`` first rows of an item and source by ``overlap_score``, then doc_id."""
+    item, shared, size, said, final = (rows.column(c).to_numpy() for c in ("item", "shared", *FACTS))
+    score = shared / (np.sqrt(size) + 1) + 0.4 * np.maximum(0.0, 1 - final / np.maximum(1, said))
+    of = rows.column("source").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+    by_doc = np.empty(len(rows), np.int64)
+    by_doc[pc.array_sort_indices(rows.column("doc_id").combine_chunks(), null_placement="at_start").to_numpy()] = np.arange(len(rows))
+    order = np.lexsort((by_doc, -score, of, item))
+    item, of, at = item[order], of[order], np.arange(len(order))
+    head = np.append(True, (item[1:] != item[:-1]) | (of[1:] != of[:-1]))[: len(at)]
+    return rows.take(pa.array(order[at - np.maximum.accumulate(np.where(head, at, 0)) < each]))
+
+
+def _met_in_tasks(words: DataFrame, bank: DataFrame, stop: list[str], each: int) -> tuple[DataFrame, DataFrame]:
+    """Examples that can be among the best: (item_id, doc_id, source, facts, shared) by the words (item_id, word) that they share, and the same without item_id by what they are alone.
+
+    Texts are cut into words once, and a task passes on only the ``each`` first of an item and source.
+    """
+    numbers: dict = {}
+    items: dict[str, list[int]] = {}
+    for row in words.toLocalIterator():
+        items.setdefault(row["word"], []).append(numbers.setdefault(row["item_id"], len(numbers)))
+    given = words.sparkSession.sparkContext.broadcast({w: np.array(n, np.int64) for w, n in items.items()})
+    token, none = re.compile("[A-Za-z0-9']+"), np.full(1, -1)
+    number = lambda c: T.StructField(c, T.LongType())
+    schema = T.StructType([number("item"), bank.schema["doc_id"], bank.schema["source"], *map(number, FACTS), number("shared")])
+
+    def pieces(batch: pa.RecordBatch, items_of: dict[str, np.ndarray]) -> Iterator[pa.Table]:
+        """Rows of the schema: each example alone, as item -1, and with each line that it meets."""
+        at, facts, item, shared, pairs = [], [], [], [], 0
+        for n, (said, final) in enumerate(zip(batch.column("said"), batch.column("final"), strict=True)):
+            said, final = token.findall(said.as_py() or ""), token.findall(final.as_py() or "")
+            known = {w.lower() for w in {*said, *final} if len(w) > 3}.difference(stop)
+            if known:
+                met = [items_of[w] for w in known if w in items_of]
+                its, many = np.unique(np.concatenate(met), return_counts=True) if met else (none[:0], none[:0])
+                at.append(n)
+                facts.append((len(known), len(said), len(final)))
+                item.append(np.append(none, its))
+                shared.append(np.append(0, many))
+                pairs += len(its) + 1
+            if at and (pairs >= MET_PAIRS or n == batch.num_rows - 1):
+                sizes = [len(x) for x in item]
+                row = pa.array(np.repeat(at, sizes))
+                known_of = np.repeat(np.array(facts, np.int64), sizes, axis=0)
+                columns = [pa.array(np.concatenate(item)), batch.column("doc_id").take(row), batch.column("source").take(row), *(pa.array(known_of[:, c]) for c in range(3)), pa.array(np.concatenate(shared))]
+                yield pa.table(columns, names=schema.names)
+                at, facts, item, shared, pairs = [], [], [], [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            for rows in pieces(batch, given.value):
+                kept = _firsts(rows if kept is None else pa.concat_tables([kept, rows]), each)
+                if len(kept) > KEPT_ROWS:
+                    yield from kept.to_batches()
+                    kept = None
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
+
+    found = settled(bank.select("doc_id", "source", "said", "final").mapInArrow(run, schema))
+    named = words.sparkSession.createDataFrame(list(enumerate(numbers)), T.StructType([number("item"), words.schema["item_id"]]))
+    return found.join(F.broadcast(named), "item").drop("item"), found.where("item = -1").drop("item")
+
+
+def _met_by_joins(words: DataFrame, bank: DataFrame, stop: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The same for any number of words: examples are shuffled to the lines by word."""
+    text = {c: F.coalesce(c, F.lit("")) for c in ("said", "final")}
+    counts = {f"{c}_words": F.size(t.script_tokens(x)).cast("long") for c, x in text.items()}
+    known = F.array_distinct(F.concat(*[t.content_words(x, stop) for x in text.values()]))
+    rows = bank.select("doc_id", "source", F.explode(F.array(F.struct(known.alias("known"), *[n.alias(c) for c, n in counts.items()]))).alias("e")).select("doc_id", "source", "e.*").where(F.size("known") > 0)
+    rows = rows.withColumn("size", F.size("known").cast("long"))
+    met = rows.select("doc_id", "source", *FACTS, F.explode("known").alias("word")).join(words, "word").groupBy("item_id", "doc_id", "source", *FACTS).agg(F.count(F.lit(1)).alias("shared"))
+    return met, rows.select("doc_id", "source", *FACTS, F.lit(0).cast("long").alias("shared"))
+
 
 def best_examples(wanted: DataFrame, bank: DataFrame, stop: list[str], each: int = 4, overall: int = 14) -> DataFrame:
     """(item_id, source, doc_id, score, place): of bank (doc_id, source, said, final) the best examples for each wanted line (item_id, text), ``each`` of one source at most.
 
     ``retrieval_score`` counts what an example's content words share with the line's and how much it was shortened. Examples
-    meet lines by the words they share, counted within a task first. One that shares none counts by its shortening alone: of
+    meet lines by the words they share, counted within a task. One that shares none counts by its shortening alone: of
     those only the first ``overall`` of all examples by that, ``each`` of one source, can be among a line's best, so they are few.
     Examples without a content word are left out; of equal scores the smaller doc_id comes first; repeated items count as one text.
     """
     words = wanted.select("item_id", F.explode(t.content_words(F.coalesce("text", F.lit("")), stop)).alias("word")).distinct()
-    few = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
-    text = {c: F.coalesce(c, F.lit("")) for c in ("said", "final")}
-    counts = {f"{c}_words": F.size(t.script_tokens(x)) for c, x in text.items()}
-    known = F.array_distinct(F.concat(*[t.content_words(x, stop) for x in text.values()]))
-    rows = bank.select("doc_id", "source", F.explode(F.array(F.struct(known.alias("known"), *[n.alias(c) for c, n in counts.items()]))).alias("e")).select("doc_id", "source", "e.*").where(F.size("known") > 0)
-    facts = rows.select("doc_id", "source", F.size("known").alias("size"), "said_words", "final_words", F.explode("known").alias("word"))
-    columns = ["doc_id", "source", "size", "said_words", "final_words"]
-    met = facts.join(few, "word").groupBy("item_id", *columns).agg(F.count(F.lit(1)).alias("shared"))
-    none = F.lit(0).cast("long")
-    alone = rows.select("doc_id", "source", F.size("known").alias("size"), "said_words", "final_words").withColumn("score", overlap_score(none, F.col("size"), F.col("said_words"), F.col("final_words")))
+    met, alone = _met_in_tasks(words, bank, stop, each) if words.count() <= BROADCAST_WORDS else _met_by_joins(words, bank, stop)
+    columns = ["doc_id", "source", *FACTS]
+    score = overlap_score(*[F.col(c) for c in ("shared", *FACTS)])
     order = [F.desc("score"), F.col("doc_id")]
-    own = alone.withColumn("own", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("own") <= each)
-    shortest = own.orderBy(*order).limit(overall).select(F.lit(0).alias("one"), *columns)
+    own = alone.withColumn("score", score).withColumn("own", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("own") <= each)
+    shortest = own.orderBy(*order).limit(overall).select(F.lit(0).alias("one"), *columns, "shared")
     items = wanted.select("item_id").distinct().withColumn("one", F.lit(0))
-    unmet = items.join(F.broadcast(shortest), "one").select("item_id", *columns, none.alias("shared"))
+    unmet = items.join(F.broadcast(shortest), "one").drop("one")
     scored = met.unionByName(unmet).groupBy("item_id", *columns).agg(F.max("shared").alias("shared"))
-    scored = scored.select("item_id", "source", "doc_id", overlap_score(F.col("shared"), F.col("size"), F.col("said_words"), F.col("final_words")).alias("score"))
-    return capped(scored, ["item_id"], "source", order, each, overall)
+    return capped(scored.select("item_id", "source", "doc_id", score.alias("score")), ["item_id"], "source", order, each, overall)
 
 
 def hold_out(groups: DataFrame, key: str, size: str, seed: int = 7, least: int = 12) -> DataFrame:
