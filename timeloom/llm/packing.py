@@ -21,12 +21,16 @@ RANK_ROWS = 500_000
 CHUNK = 1_000_000
 CACHED_WORDS, CACHED_PARTS = 300_000, 600_000
 
-#: Letters, then ASCII marks other than the apostrophe, which begins contractions.
-_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: Lower-case letters that no normaliser changes and that are one word to the tokenizer.
+_LOW = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.islower())
+
+#: Such letters, then ASCII marks other than the apostrophe, which begins contractions.
+_PLAIN = re.compile(rf"([{_LOW}]+)([!-&(-/:-@\[-`{{-~]*)").fullmatch
 
 #: The characters that byte-level vocabularies write bytes as: printable ones as themselves, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_AS_BYTES = {ord(c): "".join(_BYTE_CHARS.get(b, chr(b)) for b in c.encode()) for c in _LOW if not c.isascii()}
 
 #: Tokenizers and the ids of words met so far, by file, in each Python worker.
 _LOADED: dict[str, tuple] = {}
@@ -37,7 +41,8 @@ def _ids_of(path: str, texts: list[bytes]) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers.
 
     The tokenizer drops white space and no token reaches over it, so words between ASCII
-    white space are encoded one by one and remembered, and so are the parts of plain ones.
+    white space are encoded one by one and remembered. Plain words are lower-cased, and the marks
+    behind their letters encoded apart, as the tokenizer does.
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,33 +54,27 @@ def _ids_of(path: str, texts: list[bytes]) -> list[bytes]:
         if len(cache) > most:
             cache.clear()
     split = [t.split() for t in texts]
-    new = {w: _parts(w.decode()) for w in set().union(*split).difference(known)}
-    fresh = {p for found in new.values() for p in found}.difference(parts)
-    whole = [p for p in fresh if not _is_plain(p)]
-    for part, found in zip(whole, tokenizer.encode_batch(whole, add_special_tokens=False), strict=True):
-        parts[part] = array("I", found.ids).tobytes()
+    new = [*set().union(*split).difference(known)]
+    # words lower-cased together: none reaches over a blank, and a blank is no letter that another's form depends on
+    said = b" ".join(new).decode()
+    firsts, tails, plain, whole = [], [], set(), set()
+    for text, low in zip(said.split(" "), said.lower().split(" "), strict=True):
+        found = _PLAIN(low)
+        letters, marks = found.groups() if found else (text, "")
+        (plain if found else whole).add(letters)
+        firsts.append(letters)
+        tails.append(marks)
+    whole.update(tails)
+    whole.discard("")
     merge = tokenizer.model.tokenize
-    for part in fresh.difference(whole):
-        parts[part] = array("I", [t.id for t in merge(part.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-    for word, found in new.items():
-        known[word] = b"".join([parts[p] for p in found])
-    return [b"".join([known[w] for w in words]) for words in split]
-
-
-def _is_plain(part: str) -> bool:
-    """Lower-case letters that no normaliser changes and that are one word to the tokenizer."""
-    return part.isalpha() and max(part) < "\u0250" and part.islower() and "\u0130" not in part
-
-
-def _parts(word: str) -> tuple[str, ...]:
-    """A plain word, lower-cased, and the marks behind it, which the tokenizer encodes apart; else the word itself."""
-    found = _PLAIN.fullmatch(word)
-    if found is None:
-        return (word,)
-    letters, marks = found[1].lower(), found[2]
-    if not _is_plain(letters) or "\u0130" in word:
-        return (word,)
-    return (letters, marks) if marks else (letters,)
+    for part in plain.difference(parts):
+        parts[part] = array("I", [t.id for t in merge(part if part.isascii() else part.translate(_AS_BYTES))]).tobytes()
+    rest = [*whole.difference(parts)]
+    for part, found in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+        parts[part] = array("I", found.ids).tobytes()
+    for word, first, marks in zip(new, firsts, tails):  # noqa: B905, of nothing new, the text is one empty word
+        known[word] = parts[first] + parts[marks] if marks else parts[first]
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def tokenize(docs: DataFrame, path: str, keep: list[str], text: str = "text", length: int = 2048, end: int = 0) -> DataFrame:
