@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import LONG, TEXT, chunks, discard, fields, lists, own_name, written
+from .common import LONG, TEXT, chunks, discard, fields, lists, own_name, text_bytes, written
 from .components import LOOK, connected, meetings, sides
 
 U = np.uint64
@@ -233,7 +233,8 @@ def _nodes(found: W.Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _sizes(found: W.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Characters of each line, with one blank between its words."""
-    begins = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+    begins = np.zeros(len(found.data) + 1, np.int32)
+    np.cumsum((found.data & 0xC0) != 0x80, dtype=np.int32, out=begins[1:])
     length = begins[found.end] - begins[found.start]
     return (np.add.reduceat(length, first) if len(first) else length) + count - 1
 
@@ -284,12 +285,14 @@ def _line_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, texts = [], []
-            for body, wanted in zip(batch.column("body").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                lines = body.encode().split(b"\n") if wanted else []
-                nodes += [w["node"] for w in wanted]
-                texts += [b" ".join(lines[w["line"]].translate(_NORMAL).split()).decode() for w in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], names=schema.names)
+            data, offsets = text_bytes(batch.column("body"))
+            wanted = batch.column("wanted")
+            its, ends = wanted.flatten(), np.append(0, np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False)))
+            raw, line, texts = data.tobytes(), its.field("line").to_pylist(), []
+            for a, b, begin, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                lines = raw[a:b].split(b"\n")
+                texts += [b" ".join(lines[n].translate(_NORMAL).split()) for n in line[begin:end]]
+            yield pa.RecordBatch.from_arrays([its.field("node"), pa.array(texts, pa.binary()).cast(pa.string())], names=schema.names)
 
     return docs.select("body", "wanted").mapInArrow(run, schema)
 
