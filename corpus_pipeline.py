@@ -13,10 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.llm import decontamination, jaccard, language_id, line_dedup, packing
-from timeloom.llm.common import BATCH_BYTES, written
+from timeloom.llm.common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of an Arrow batch. An executor's heap is full after some stages; beside it, a worker that gets batches of 4 MB has 200 MB and more.
+BATCH_BYTES = "1m"
+
+#: What a worker encodes at a time and remembers while it packs.
+PACKED = {"chunk": 250_000, "words": 60_000, "parts": 100_000}
+
 #: A text without any of these has no word.
 _WORD = "[0-9A-Za-z]|[^\\x00-\\x7F]"
 
@@ -52,12 +58,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences."""
-    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], **PACKED)
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 def _small_batches(stage: Stage) -> Stage:
-    """Python workers get Arrow batches of a few MB: five operators use them one after the other, beside the executor's heap. The session keeps the setting."""
+    """Python workers get small Arrow batches: five operators use them one after the other, beside the executor's heap. The session keeps the setting."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

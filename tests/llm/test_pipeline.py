@@ -119,3 +119,49 @@ def test_packing_stage_and_run(spark, tmp_path):
     spark.createDataFrame([(1, "nothing of this stands there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in done} == {r[0] for r in rows if r[1]} and language_id.SWITCH > 0
+
+
+def test_batches_stay_small(spark):
+    """A table that a stage writes on its way gets the stage's Arrow batches, not larger ones."""
+    import pyarrow as pa
+    from timeloom.llm.common import written
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"id": [batch.nbytes]})
+
+    def largest(df):
+        return written(df.mapInArrow(sizes, "id long"), "sizes").agg({"id": "max"}).first()[0]
+
+    try:
+        long = spark.range(0, 80, 1, 1).selectExpr("id", "repeat(string(id % 10), 100000) as text")
+        spark.conf.set(name, "64MB")
+        assert 3_000_000 < largest(long) < 5_000_000
+        assert spark.conf.get(name) == "64MB"
+        corpus_pipeline._small_batches(lambda *_: None)(spark, long, "")
+        assert 500_000 < largest(long) < 1_300_000
+        assert spark.conf.get(name) == corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_packing_remembers_little():
+    """What a worker keeps of the words it met stays within the pipeline's bounds and a chunk's words; the ids do not depend on it."""
+    import public_tokenizers
+    from timeloom.llm import packing
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    assert corpus_pipeline.PACKED["words"] <= 100_000 and corpus_pipeline.PACKED["parts"] <= 150_000
+    words = ["".join(rng.choice("abcdeé19") for _ in range(rng.randrange(1, 9))) + rng.choice(["", ",", "'s", "-X"]) for _ in range(3_000)]
+    chunks = [[" ".join(rng.choices(words, k=150)).encode() for _ in range(4)] for _ in range(12)]
+    packing._LOADED.clear()
+    want = [packing._ids_of(path, texts) for texts in chunks]
+    assert len(packing._LOADED[path][1]) > 1_500
+    packing._LOADED.clear()
+    for texts, ids in zip(chunks, want, strict=True):
+        assert packing._ids_of(path, texts, 200, 300) == ids
+        assert len(packing._LOADED[path][1]) <= 200 + 600 and len(packing._LOADED[path][2]) <= 300 + 1_200
+    packing._LOADED.clear()

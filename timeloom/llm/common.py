@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,11 +58,19 @@ def give_back(own: dict | None = None) -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def _number(size: str | None) -> float:
+    """Bytes that a setting like 4m or 256MB stands for; without a limit if there is none."""
+    found = re.fullmatch(r"(\d+)([kmg]?)b?", (size or "").strip().lower())
+    return int(found[1]) * 1024 ** " kmg".index(found[2] or " ") if found and int(found[1]) else float("inf")
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES; where the session asks for smaller ones, it gets them."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name, None)
-    spark.conf.set(name, BATCH_BYTES)
+    if _number(before) > _number(BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
     try:
         yield
     finally:

@@ -19,6 +19,10 @@ from .common import LONG, WORKER_CACHES, chunks, fields, own_name, written
 RANK_ROWS = 500_000
 
 CHUNK = 1_000_000
+
+#: Words that are encoded at once: what the tokenizer tells of a word takes a kilobyte.
+ENCODED = 1_000
+
 CACHED_WORDS, CACHED_PARTS = 300_000, 600_000
 
 #: Lower-case letters that no normaliser changes and that are one word to the tokenizer.
@@ -37,7 +41,7 @@ _LOADED: dict[str, tuple] = {}
 WORKER_CACHES.append(_LOADED)
 
 
-def _ids_of(path: str, texts: list[bytes]) -> list[bytes]:
+def _ids_of(path: str, texts: list[bytes], most_words: int = CACHED_WORDS, most_parts: int = CACHED_PARTS) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers.
 
     The tokenizer drops white space and no token reaches over it, so words between ASCII
@@ -50,7 +54,7 @@ def _ids_of(path: str, texts: list[bytes]) -> list[bytes]:
 
         _LOADED[path] = (Tokenizer.from_file(path), {}, {})
     tokenizer, known, parts = _LOADED[path]
-    for cache, most in ((known, CACHED_WORDS), (parts, CACHED_PARTS)):
+    for cache, most in ((known, most_words), (parts, most_parts)):
         if len(cache) > most:
             cache.clear()
     split = [t.split() for t in texts]
@@ -70,19 +74,22 @@ def _ids_of(path: str, texts: list[bytes]) -> list[bytes]:
     for part in plain.difference(parts):
         parts[part] = array("I", [t.id for t in merge(part if part.isascii() else part.translate(_AS_BYTES))]).tobytes()
     rest = [*whole.difference(parts)]
-    for part, found in zip(rest, tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-        parts[part] = array("I", found.ids).tobytes()
+    for at in range(0, len(rest), ENCODED):
+        some = rest[at : at + ENCODED]
+        for part, found in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            parts[part] = array("I", found.ids).tobytes()
     for word, first, marks in zip(new, firsts, tails):  # noqa: B905, of nothing new, the text is one empty word
         known[word] = parts[first] + parts[marks] if marks else parts[first]
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-def tokenize(docs: DataFrame, path: str, keep: list[str], text: str = "text", length: int = 2048, end: int = 0) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, keep: list[str], text: str = "text", length: int = 2048, end: int = 0, *, chunk: int = CHUNK, words: int = CACHED_WORDS, parts: int = CACHED_PARTS) -> DataFrame:
     """Pieces of at most ``length`` tokens: ``keep`` columns, piece, start, length and ids (32-bit little-endian).
 
     A document's ids end with ``end``; only longer documents are cut, every ``length``
     tokens. A null text is an empty one and has the end alone. Repeated rows give their
-    pieces again.
+    pieces again. A Python worker encodes about ``chunk`` bytes of text at a time and remembers
+    some ``words`` and ``parts`` of words: fewer take less memory and more time.
     """
     body = own_name(docs, "_body")
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(body))
@@ -90,18 +97,18 @@ def tokenize(docs: DataFrame, path: str, keep: list[str], text: str = "text", le
     stop = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, body, CHUNK, _LOADED):
+        for batch, data, offsets in chunks(batches, body, chunk, _LOADED):
             raw = data.tobytes()
-            row, piece, start, parts = [], [], [], []
-            for i, ids in enumerate(_ids_of(path, [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])):
+            row, piece, start, cut = [], [], [], []
+            for i, ids in enumerate(_ids_of(path, [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], words, parts)):
                 ids += stop
                 for at in range(0, len(ids), 4 * length):
                     row.append(i)
                     piece.append(at // (4 * length))
                     start.append(at // 4)
-                    parts.append(ids[at : at + 4 * length])
+                    cut.append(ids[at : at + 4 * length])
             taken = pa.array(row, pa.int64())
-            columns = [*(batch.column(c).take(taken) for c in keep), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(parts, pa.binary())]
+            columns = [*(batch.column(c).take(taken) for c in keep), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(p) // 4 for p in cut], pa.int64()), pa.array(cut, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return frame.mapInArrow(run, schema)
