@@ -6,12 +6,13 @@ import math
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from timeloom.llm import components, decontamination, embedding_dedup, fm_index, jaccard, language_id, license_scan, line_dedup, packing, quality, url_filter, warc
+from timeloom.llm import common, components, decontamination, embedding_dedup, fm_index, jaccard, language_id, license_scan, line_dedup, packing, quality, url_filter, warc
 from timeloom.llm.queries import RULES, op4_line_dedup
 
 DOCS = "doc_id long, text string, spans int, sig int"
@@ -201,6 +202,46 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == row[-1]
 
 
+def test_distances_of_unlike_lengths_are_computed_together(monkeypatch):
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abcdé漢") for _ in range(rng.choice([20, 63, 64, 65, 128, 129, 400]))) for _ in range(60)]
+    b = ["".join(rng.choice("abcdé漢") if rng.random() < 0.3 else c for c in x if rng.random() > 0.1) + "xy" for x in a]
+    wanted = [line_dedup._one_distance(*line_dedup._trimmed(x, y)) for x, y in zip(a, b, strict=True)]
+    alone, one = [], line_dedup._one_distance
+    monkeypatch.setattr(line_dedup, "_one_distance", lambda x, y: alone.append(len(x)) or one(x, y))
+    assert line_dedup.edit_distances(a, b).tolist() == wanted
+    assert len(alone) <= line_dedup.TOGETHER
+
+
+@pytest.mark.parametrize("part", [1 << 17, 16])
+def test_meetings_are_all_shared_blocks(spark, monkeypatch, part):
+    """Blocks reach their shares in few rows; the nodes of very large ones are dealt on, and none is lost."""
+    monkeypatch.setattr(line_dedup, "LOOK", 1)
+    monkeypatch.setattr(line_dedup, "PART", part)
+    rng = random.Random(5)
+    blocks = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    lines = [(n, 20 + n % 7, [blocks[0], *rng.sample(blocks, 2), rng.getrandbits(64) - (1 << 63)]) for n in range(200)]
+    lines += [(n, 20 + n % 7, b) for n, _, b in lines[:20]] + [(500, 9, [])]
+    table = line_dedup.written(spark.createDataFrame(lines, "node long, size int, blocks array<long>").repartition(3), "lines")
+    got = line_dedup.meetings(table).collect()
+    nodes = defaultdict(set)
+    for n, size, its in lines:
+        for x in its:
+            nodes[x].add((n, size))
+    assert sorted((r.sig, r.node, r.size) for r in got) == sorted((x, *n) for x, its in nodes.items() if len(its) > 1 for n in its)
+    assert all((r.leader, r.leader_size) in nodes[r.sig] and r.leader <= r.node for r in got)
+    parts = len({r.leader for r in got if r.sig == blocks[0]})
+    assert parts == 1 if part > 250 else 1 < parts <= 250 // part
+    assert all(r.leader == min(nodes[r.sig])[0] for r in got if r.sig != blocks[0])
+
+
+def test_small_tables_are_read_by_fewer_tasks(spark):
+    table = line_dedup.written(spark.range(1000).repartition(40), "rows")
+    before, after = table.rdd.getNumPartitions(), common.fewer(table)
+    assert before > 1 and after.rdd.getNumPartitions() == -(-before // 4) and after.count() == 1000
+    assert common.fewer(line_dedup.written(spark.range(0), "rows")).count() == 0
+
+
 def test_line_dedup(spark):
     rng = random.Random(7)
     long = " ".join(f"Paragraph{rng.randrange(99)}" for _ in range(60))

@@ -90,6 +90,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def fewer(table: DataFrame) -> DataFrame:
+    """A table of ``written`` read by a quarter of the tasks, for rows of a few numbers that are shuffled: each task that
+    writes a shuffle opens a file for each of its partitions, which costs as much as tens of thousands of such rows.
+    """
+    return table.coalesce(-(-table.rdd.getNumPartitions() // 4) or 1)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more."""
     for table in tables:

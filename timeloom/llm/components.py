@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, fewer, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,12 +21,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ends = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     state, before = written(ends.distinct(), "links"), None
     while True:
-        both = state.unionByName(state.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        few = fewer(state)
+        both = few.unionByName(few.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         hung = both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         hung = written(hung, "links")
-        least = hung.groupBy("u").agg(F.min("v").alias("m"))
-        small = hung.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.v", "e.u")
+        few = fewer(hung)
+        least = few.groupBy("u").agg(F.min("v").alias("m"))
+        small = few.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.v", "e.u")
         last, state = state, written(small.where(F.col("u") != F.col("v")).distinct(), "links")
         discard(last, hung)
         now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -73,34 +75,6 @@ def leader_pairs(shared: DataFrame, near: Column) -> DataFrame:
     return shared.alias("x").join(large.alias("y"), (left("sig") == right("sig")) & (left("node") != right("node")) & near).select(*pair()).distinct()
 
 
-#: Rows of which one in so many is looked at to find the buckets that stand out, and how many of those are treated apart.
-LOOK, HOT = 64, 1000
-
-
-def meetings(rows: DataFrame, some: DataFrame, *carried: str) -> DataFrame:
-    """Of rows (sig, node, …) those whose bucket holds several nodes, once each, with its least node as leader
-    and that node's ``carried`` columns as leader_….
-
-    A bucket is gathered by a window over its signature. The few hundred that ``some`` of the rows (one
-    of LOOK) show as large never are: their least node comes from partial aggregates, their
-    rows stay where they are. That changes where rows are worked on, not which come out.
-    """
-    some = some.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many >= 16").orderBy(F.desc("many"), "sig").limit(HOT)
-    hot = [r.sig for r in some.select("sig").collect()]
-    least, columns = F.struct("node", *carried), ["sig", "node", *carried]
-    told = [F.col("least.node").alias("leader"), *[F.col(f"least.{c}").alias(f"leader_{c}") for c in carried]]
-    whole = Window.partitionBy("sig")
-    if not hot:
-        alone, large = rows, None
-    else:
-        large_sigs = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in hot], "sig long"))
-        alone = rows.join(large_sigs, "sig", "left_anti")
-        large = rows.join(large_sigs, "sig")
-        large = large.join(F.broadcast(large.groupBy("sig").agg(F.min(least).alias("least"))), "sig").select(*columns, *told)
-    met = alone.withColumn("least", F.min(least).over(whole)).withColumn("most", F.max("node").over(whole)).where("least.node != most").select(*columns, *told)
-    return written((met if large is None else met.unionByName(large)).distinct(), "meetings")
-
-
 #: Times that groups are tried against one other group in each bucket before all pairs of a bucket are.
 ROUNDS = 1
 
@@ -122,29 +96,29 @@ def connected(shared: DataFrame, nodes: DataFrame, links: DataFrame, verified: C
     """
     left, right = sides()
     found = components(links)
-    groups = written(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "groups")
+    groups = written(fewer(nodes).join(fewer(found), "node", "left").select("node", F.coalesce("component", "node").alias("group")), "groups")
     discard(found, links)
     rows = shared
     for turn in range(rounds + 1):
-        last, rows = rows, _mixed(rows, groups, columns)
+        last, rows = rows, _mixed(fewer(rows), fewer(groups), columns)
         if last is not shared:
             discard(last)
         if turn < rounds:
             mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", *columns)
-            reps = rows.groupBy("sig", "group").agg(F.min(mine).alias("rep")).select("sig", "group", "rep.*")
+            reps = fewer(rows).groupBy("sig", "group").agg(F.min(mine).alias("rep")).select("sig", "group", "rep.*")
             first = reps.groupBy("sig").agg(F.min(F.struct("h", "node", *columns, "group")).alias("rep")).select("sig", "rep.*")
             met = reps.alias("x").join(first.alias("y"), (left("sig") == right("sig")) & (left("group") != right("group")) & near)
             both = F.struct(F.xxhash64(left("node"), right("node"), F.lit(turn)).alias("h"), *pair())
             of = [F.least(left("group"), right("group")).alias("g"), F.greatest(left("group"), right("group")).alias("k")]
             pairs = met.groupBy(*of).agg(F.min(both).alias("p")).select("p.a", "p.b")
         else:
-            met = rows.alias("x").join(rows.alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)
+            met = fewer(rows).alias("x").join(fewer(rows).alias("y"), (left("sig") == right("sig")) & (left("node") < right("node")) & (left("group") != right("group")) & near)
             pairs = met.select(*pair()).distinct()
         pairs = written(pairs, "pairs")
         links = verified(pairs)
-        ends = [groups.select(F.col("node").alias(c), F.col("group").alias(f"group_{c}")) for c in "ab"]
+        ends = [fewer(groups).select(F.col("node").alias(c), F.col("group").alias(f"group_{c}")) for c in "ab"]
         found = components(links.join(ends[0], "a").join(ends[1], "b"), "group_a", "group_b")
-        last, groups = groups, written(groups.join(found.select(F.col("node").alias("group"), "component"), "group", "left").select("node", F.coalesce("component", "group").alias("group")), "groups")
+        last, groups = groups, written(fewer(groups).join(fewer(found).select(F.col("node").alias("group"), "component"), "group", "left").select("node", F.coalesce("component", "group").alias("group")), "groups")
         discard(last, found, links, pairs)
     discard(rows)
     return groups

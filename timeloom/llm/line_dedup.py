@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import LONG, TEXT, chunks, discard, fields, lists, own_name, text_bytes, written
-from .components import LOOK, connected, meetings, sides
+from .common import LONG, TEXT, chunks, discard, fewer, fields, give_back, lists, own_name, text_bytes, written
+from .components import connected, sides
 
 U = np.uint64
 
@@ -44,6 +44,12 @@ BROADCAST_LINES = 2_000_000
 
 CHUNK = 1_000_000
 
+#: Lines of which one in so many is looked at to find the blocks that stand out, and how many of those are treated apart.
+LOOK, HOT = 64, 1000
+
+#: Shares that blocks are dealt to, blocks dealt in one go, and lines of a block from which its nodes are dealt to several shares.
+SHARES, DEALT, PART = 1024, 1 << 18, 1 << 17
+
 #: Places for lines of a task whose blocks are known, each for the latest of its hash; a line that was forgotten gives its blocks again.
 LATEST = 1 << 18
 
@@ -308,8 +314,8 @@ def _trimmed(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
     return x[: len(x) - end], y[: len(y) - end]
 
 
-#: Bytes of the tables of character places that distances are computed with at a time.
-PLACES_BYTES = 16_000_000
+#: Cells of 64 rows that distances are computed with at a time, bytes of their tables of character places, and pairs of some length that it takes.
+CELLS, PLACES_BYTES, TOGETHER = 4096, 16_000_000, 16
 
 
 def _one_distance(a: np.ndarray, b: np.ndarray) -> int:
@@ -330,35 +336,51 @@ def _one_distance(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _columns(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The same of many pairs together, 64 rows to a number: first texts of as many numbers, the longest second text first."""
+    """The same of many pairs together, whatever their lengths: 64 rows of a pair are a cell, and in a step all cells go one column on.
+
+    A cell is one column behind the cell above it, whose carries of the step before it takes.
+    """
     rows, columns = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
-    words, n = -(-int(rows.max()) // 64), len(pairs)
-    letters, code = np.unique(np.concatenate([x for x, _ in pairs]), return_inverse=True)
-    place, owner = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows), np.repeat(np.arange(n), rows)
-    places = np.zeros((words, n * (len(letters) + 1)), U)
-    np.bitwise_or.at(places, (place >> 6, owner * (len(letters) + 1) + code), U(1) << (place & 63).astype(U))
-    flat = np.concatenate([y for _, y in pairs])
-    at = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
+    words, n = -(-rows // 64), len(pairs)
+    pair, head = np.repeat(np.arange(n), words), np.cumsum(words) - words
+    block, cells = np.arange(len(pair)) - head[pair], len(pair)
+    # the letters of each pair's first text and one number for all others; where they stand, for each cell
+    owner, row = np.repeat(np.arange(n), rows), np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows)
+    letters, code = np.unique((owner << 32) | np.concatenate([x for x, _ in pairs]), return_inverse=True)
+    own = np.bincount(letters >> 32, minlength=n)
+    low, size = np.cumsum(own) - own, own[pair] + 1
+    base = np.cumsum(size) - size
+    places = np.zeros(int(size.sum() + size.max()), U)
+    np.add.at(places, base[head[owner] + (row >> 6)] + code - low[owner], U(1) << (row & 63).astype(U))
     owner = np.repeat(np.arange(n), columns)
-    text = np.zeros((int(columns.max()), n), np.int64)
-    text[np.arange(len(flat)) - np.repeat(np.cumsum(columns) - columns, columns), owner] = owner * (len(letters) + 1) + np.where(letters[at] == flat, at, len(letters))
-    up, down, distance = np.full((words, n), ~U(0)), np.zeros((words, n), U), rows.copy()
-    top, one, high = ((rows - 1) & 63).astype(U), U(1), U(63)
-    live = np.searchsorted(-columns, -np.arange(1, len(text) + 1), "right")
-    for j, m in enumerate(live):
-        at, grow, fall = text[j, :m], np.ones(m, U), np.zeros(m, U)
-        for k in range(words):
-            eq, pv, mv = places[k].take(at), up[k, :m], down[k, :m]
-            vertical = eq | mv
-            eq |= fall
-            level = (((eq & pv) + pv) ^ pv) | eq
-            more, less = mv | ~(level | pv), pv & level
-            if k == words - 1:
-                distance[:m] += ((more >> top[:m]) & one).astype(np.int64) - ((less >> top[:m]) & one).astype(np.int64)
-            more_in, less_in = (more << one) | grow, (less << one) | fall
-            grow, fall = more >> high, less >> high
-            up[k, :m], down[k, :m] = less_in | ~(vertical | more_in), more_in & vertical
-    return distance
+    flat = (owner << 32) | np.concatenate([y for _, y in pairs])
+    at = np.minimum(np.searchsorted(letters, flat), len(letters) - 1)
+    text = np.concatenate([np.zeros(int(words.max()), np.int64), np.where(letters[at] == flat, at - low[owner], own[owner])])
+    # cells that end last come first, so those at work are always the first ones
+    by = np.argsort(-(block + columns[pair]), kind="stable")
+    place = np.empty(cells, np.int64)
+    place[by] = np.arange(cells)
+    above = np.where(block == 0, cells, place[np.arange(cells) - 1])[by]
+    pair, block, base = pair[by], block[by], base[by]
+    at, end = int(words.max()) + (np.cumsum(columns) - columns)[pair] - block, block + columns[pair]
+    live = np.searchsorted(-end, -np.arange(int(end[0])), "left")
+    begins = np.split(np.argsort(block, kind="stable"), np.cumsum(np.bincount(block))[:-1])
+    up, down, grow, fall = np.full(cells, ~U(0)), np.zeros(cells, U), np.zeros(cells + 1, U), np.zeros(cells + 1, U)
+    grow[cells], one, high = 1, U(1), U(63)
+    for step, m in enumerate(live):
+        if step < len(begins):
+            up[begins[step]], down[begins[step]] = ~U(0), 0
+        eq, inc, dec, pv, mv = places.take(base[:m] + text.take(at[:m])), grow.take(above[:m]), fall.take(above[:m]), up[:m], down[:m]
+        at[:m] += 1
+        vertical = eq | mv
+        eq |= dec
+        level = (((eq & pv) + pv) ^ pv) | eq
+        more, less = mv | ~(level | pv), pv & level
+        grow[:m], fall[:m] = more >> high, less >> high
+        more_in, less_in = (more << one) | inc, (less << one) | dec
+        up[:m], down[:m] = less_in | ~(vertical | more_in), more_in & vertical
+    held = ~U(0) >> (64 - np.minimum(rows[pair] - 64 * block, 64)).astype(U)
+    return columns + np.bincount(pair, np.bitwise_count(up & held).astype(np.int64) - np.bitwise_count(down & held).astype(np.int64), minlength=n).astype(np.int64)
 
 
 #: Words that two lines may differ in at one place for ``_by_words`` to find where they go on alike.
@@ -407,32 +429,38 @@ def edit_distances(a: list[str], b: list[str], enough: np.ndarray | None = None)
             out[i] = abs(len(s) - len(t))
             if out[i] > enough[i]:
                 continue
+            out[i] = _by_words(s, t, enough[i])
+            if out[i] <= enough[i]:
+                continue
             for x in (s, t):
                 if x not in letters:
                     letters[x] = _two_letters(np.frombuffer(x.encode("utf-32-le"), np.uint32))
             out[i] = -(-int(np.abs(letters[s] - letters[t]).sum()) // 4)
             if out[i] > enough[i]:
                 continue
-            out[i] = _by_words(s, t, enough[i])
-            if out[i] <= enough[i]:
-                continue
         x, y = _trimmed(s, t)
         out[i] = len(y)
         if not len(x) or (enough is not None and len(y) <= enough[i]):
             continue
         rest.append((i, x, y))
-    rest.sort(key=lambda r: (-(-len(r[1]) // 64), -len(r[2])))
+    rest.sort(key=lambda r: -len(r[2]))
     begin = 0
     while begin < len(rest):
-        words, end, most = -(-len(rest[begin][1]) // 64), begin, 0
-        while end < len(rest) and -(-len(rest[end][1]) // 64) == words and end - begin < 2048:
-            most = max(most, len(rest[end][1]))
-            # distinct letters of a batch: seldom more than 256, unless its pairs are few
-            if end > begin and (end - begin + 1) * words * 8 * min(256, most) > PLACES_BYTES:
+        # a step of a few long pairs costs more together than one by one
+        if begin + TOGETHER >= len(rest) or len(rest[begin][2]) > 2 * len(rest[begin + TOGETHER][2]):
+            out[rest[begin][0]] = _one_distance(*rest[begin][1:])
+            begin += 1
+            continue
+        end, cells, room = begin, 0, 0
+        while end < len(rest):
+            words = -(-len(rest[end][1]) // 64)
+            # distinct letters of a pair: seldom more than 512
+            cells, room = cells + words, room + words * 8 * min(512, len(rest[end][1]) + 1)
+            if end > begin and (cells > CELLS or room > PLACES_BYTES):
                 break
             end += 1
         some = [r[1:] for r in rest[begin:end]]
-        out[[r[0] for r in rest[begin:end]]] = _columns(some) if len(some) >= 32 * words else [_one_distance(*p) for p in some]
+        out[[r[0] for r in rest[begin:end]]] = _columns(some)
         begin = end
     return out
 
@@ -441,9 +469,92 @@ def edit_distance(a: str, b: str) -> int:
     return int(edit_distances([a], [b])[0])
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node, body) of the nodes of ``ends``, from the documents that have their first occurrences."""
-    places = ends.join(nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print"), F.struct("first.line", "node").alias("its_line")), "node")
+def meetings(lines: DataFrame) -> DataFrame:
+    """Of lines (node, size, blocks) the blocks that several nodes have: (sig, node, size, leader, leader_size), the leader being the least of its nodes.
+
+    Each block belongs to a share, by its hash. A task sends a share all it has for it as one row of numbers, not a row for each
+    block, of which hardly one in twenty is shared. The nodes of the few blocks that one in LOOK of the lines shows as
+    very large are dealt on, to a share for each PART of them: each part has a leader of its own, no row is lost.
+    """
+    some = fewer(lines).where(F.rand(1) * LOOK < 1).select(F.explode("blocks").alias("sig")).groupBy("sig").agg((F.count(F.lit(1)) * LOOK).alias("many"))
+    large = sorted(tuple(r) for r in some.where(F.col("many") >= 2 * PART).orderBy(F.desc("many"), "sig").limit(HOT).collect())
+    hot, parts = np.array([x for x, _ in large], np.int64), np.array([n // PART for _, n in large], U)
+    held = ("sigs", "nodes", "sizes")
+    packets = T.StructType(fields(share=T.IntegerType(), **dict.fromkeys(held, T.BinaryType())))
+    found = T.StructType(fields(sig=LONG, node=LONG, size=T.IntegerType(), leader=LONG, leader_size=T.IntegerType()))
+
+    def is_hot(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+        some = np.flatnonzero(hot[at] == sig)
+        return some, at[some]
+
+    def dealt(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        sig, node, size = (np.concatenate(x) for x in zip(*rows, strict=True))
+        share = (sig.view(U) >> U(54)).astype(np.uint16)
+        if len(hot):
+            some, which = is_hot(sig)
+            share[some] = (share[some] + W.mix(node[some].view(U)) % parts[which]) % U(SHARES)
+        by = np.argsort(share, kind="stable")
+        many = np.bincount(share, minlength=SHARES)
+        which = np.flatnonzero(many)
+        ends = np.concatenate([[0], np.cumsum(many[which])])
+        columns = [pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x[by])]) for x in (sig, node, size)]
+        return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *columns], names=packets.names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = [], 0
+        for batch in batches:
+            blocks = batch.column("blocks")
+            many = blocks.value_lengths().to_numpy(zero_copy_only=False)
+            rows.append((blocks.flatten().to_numpy(), *(np.repeat(batch.column(c).to_numpy(), many) for c in ("node", "size"))))
+            total += len(rows[-1][0])
+            if total >= DEALT:
+                yield dealt(rows)
+                rows, total = [], 0
+        if total:
+            yield dealt(rows)
+        give_back()
+
+    def met(share: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sig, node, size = (np.concatenate([text_bytes(x.column(c))[0].view(kind) for x in share]) for c, kind in zip(held, (np.int64, np.int64, np.int32), strict=True))
+        by = np.argsort(sig)
+        again = sig[by[1:]] == sig[by[:-1]]
+        by = by[np.append(again, False) | np.append(False, again)] if not len(hot) else by
+        by = by[np.lexsort((node[by], sig[by]))]
+        sig, node, size = sig[by], node[by], size[by]
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
+        sig, node, size = sig[fresh], node[fresh], size[fresh]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+        many = np.diff(np.append(first, len(sig)))
+        several = many > 1
+        if len(hot):
+            several[is_hot(sig[first])[0]] = True
+        mine, lead = np.repeat(several, many), np.repeat(first, many)
+        return pa.RecordBatch.from_arrays([pa.array(x[mine]) for x in (sig, node, size, node[lead], size[lead])], names=found.names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, now = [], None
+        for batch in batches:
+            its = batch.column("share").to_numpy()
+            cuts = [0, *(np.flatnonzero(its[1:] != its[:-1]) + 1).tolist(), len(its)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if share and its[a] != now:
+                        yield met(share)
+                        share = []
+                    now = its[a]
+                    share.append(batch.slice(a, b - a))
+        if share:
+            yield met(share)
+        give_back()
+
+    shares = lines.select("node", "size", "blocks").mapInArrow(deal, packets).repartition("share").sortWithinPartitions("share")
+    return written(shares.mapInArrow(meet, found), "meetings")
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, body) of the nodes, from the documents that have their first occurrences."""
+    places = nodes.select("node", F.col("first.doc").alias("its_doc"), F.col("first.print").alias("its_print"), F.struct("first.line", "node").alias("its_line"))
     wanted = written(places.groupBy("its_doc", "its_print").agg(F.collect_list("its_line").alias("wanted")), "wanted")
     few = F.broadcast(wanted) if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_ROWS else wanted
     held = docs.join(few, F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("print") == F.col("its_print")))
@@ -463,11 +574,12 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
             most = np.array([(1 - similarity) * max(len(s), len(t)) + 1e-9 for s, t in zip(x, y, strict=True)])
             yield batch.select(["a", "b"]).filter(pa.array(edit_distances(x, y, most) <= most))
 
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
+    return written(fewer(pairs).join(side("a"), "a").join(side("b"), "b").mapInArrow(run, schema), "links")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(node, group) of the lines (node, size, blocks) whose blocks others share: those that links connect are one group.
+def line_groups(docs: DataFrame, lines: DataFrame, nodes: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(node, group) of the lines (node, size, blocks) whose blocks others share: those that links connect are one group;
+    and before it the ``nodes`` of these lines (met is true) and of those that stand in several places.
 
     Two lines link if they share a block and have the edit similarity. First every line is
     tried against one other, the least of those it shares a block with; then what is not
@@ -475,15 +587,15 @@ def line_groups(docs: DataFrame, lines: DataFrame, nodes: DataFrame, similarity:
     """
     left, right = sides()
     sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    rows = lambda df: df.select(F.explode("blocks").alias("sig"), "node", "size")
-    met = meetings(rows(lines), rows(lines.where(F.rand(1) * LOOK < 1)), "size")
-    ends = written(met.select("node").distinct(), "ends")
-    texts = _texts(docs, nodes, ends)
-    led = met.where((F.col("node") != F.col("leader")) & sizes(F.col("size"), F.col("leader_size")))
+    met = meetings(lines)
+    ends = written(fewer(met).select("node").distinct(), "ends")
+    known = written(fewer(nodes).select("node", "first", "places").join(fewer(ends).withColumn("met", F.lit(True)), "node", "left").where("met or places > 1"), "known")
+    texts = _texts(docs, fewer(known).where("met"))
+    led = fewer(met).where((F.col("node") != F.col("leader")) & sizes(F.col("size"), F.col("leader_size")))
     links = _verified(texts, led.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), similarity)
     found = connected(met, ends, links, lambda pairs: _verified(texts, pairs, similarity), sizes(left("size"), right("size")), ["size"])
     discard(met, ends, texts)
-    return found
+    return known, found
 
 
 def told_apart(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -494,7 +606,7 @@ def told_apart(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     place = F.struct("doc", "print", "line")
     while True:
-        nodes = written(lines.groupBy("node").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places"), F.min("check").alias("check"), F.max("check").alias("most")), "nodes")
+        nodes = written(fewer(lines).groupBy("node").agg(F.max("size").alias("size"), F.min(place).alias("first"), F.count(F.lit(1)).alias("places"), F.min("check").alias("check"), F.max("check").alias("most")), "nodes")
         clash = nodes.where("check != most").select("node", F.col("check").alias("least"))
         many = clash.count()
         if not many:
@@ -510,14 +622,12 @@ def keepers_of(docs: DataFrame, lines: DataFrame, similarity: float = 0.8) -> tu
     The keeper is the place (doc, print, line) that stays: the first of the connected group.
     """
     lines, nodes = told_apart(lines)
-    found = line_groups(docs, lines, nodes, similarity)
-    places = nodes.select("node", "first", "places")
-    grouped = places.join(found, "node")
+    known, found = line_groups(docs, lines, nodes, similarity)
+    discard(nodes)
+    grouped = fewer(known).join(fewer(found), "node", "left").select("node", "first", "places", F.coalesce("group", "node").alias("group"))
     first = grouped.groupBy("group").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("many"))
-    linked = grouped.join(first.where("many > 1"), "group").select("node", "keeper")
-    repeated = places.where("places > 1").join(linked, "node", "left_anti").select("node", F.col("first").alias("keeper"))
-    keepers = written(linked.unionByName(repeated), "keepers")
-    discard(nodes, found)
+    keepers = written(grouped.join(first, "group").where("many > 1 or places > 1").select("node", "keeper"), "keepers")
+    discard(known, found)
     return lines, keepers
 
 
@@ -540,7 +650,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     n_lines, n_removed = own_name(docs, "lines"), own_name(docs, "removed")
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("print"), F.col(f"`{text}`").cast("string").alias("body"))
     lines, keepers = groups(named.select("doc", "print", "body"), similarity, least_words)
-    again = lines.select("doc", "print", "line", "node").join(keepers, "node").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
+    again = fewer(lines).select("doc", "print", "line", "node").join(fewer(keepers), "node").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("keeper")))
     gone = written(again.groupBy(F.col("doc").alias("gone_doc"), F.col("print").alias("gone_print")).agg(F.collect_set("line").alias("gone")), "gone")
     discard(lines, keepers)
     if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
